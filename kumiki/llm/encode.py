@@ -1,14 +1,16 @@
 """Encoding of texts with a public byte-level BPE tokenizer, by recursive DuckDB queries inside each partition.
 
-A text is cut into words by the tokenizer's pattern. The distinct words that a task hasn't met are laid out as rows (word,
-position, token) of single bytes. A recursive query joins each position and its right neighbour with the merge table, finds the
+A text is cut into words by the tokenizer's pattern, and each word that a task hasn't met where no entry of the vocabulary can
+reach across: two neighbouring bytes that no entry holds together with the byte before or after them, and that are no entry
+themselves, are never joined. The distinct segments are laid out as rows (segment, position, token) of single bytes. A recursive
+query joins each position and its right neighbour with the merge table, finds the
 least rank of each word and contracts that pair where it stands leftmost in each run, until no word has a pair left; an
-ordered aggregation then gives the ids of each word. A text's ids are those of its words in order.
+ordered aggregation then gives the ids of each segment. A text's ids are those of its words' segments in order.
 
 The pair of least rank is contracted at all places at once that don't touch: a merge can only make pairs of a greater rank, so
 the result is that of one contraction after another, leftmost first.
 
-The rows that a query keeps are bounded: words come in pieces by the square of their length, and a query that would keep more
+The rows that a query keeps are bounded: segments come in pieces by the square of their length, and a query that would keep more
 stops after some rounds and is taken up from its last state.
 """
 
@@ -27,6 +29,8 @@ TOKENIZER = "byte_bpe_50k"
 FOLDER = "/opt/tokenizers"
 #: Rows that one recursive query may keep, and words that a task remembers.
 ROWS, WORDS = 3_000_000, 400_000
+#: Texts whose words are encoded together.
+STEP = 2_000
 #: Fixed value: the tokenizer's pattern of words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -78,22 +82,49 @@ class Encoder:
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        symbol = byte_symbols()
+        entries = [np.frombuffer(bytes(map(symbol.__getitem__, t)), np.uint8).astype(np.int32) for t in vocab if all(c in symbol for c in t)]
+        self.pair, self.triple = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in entries:
+            if len(t) == 2:
+                self.pair[t[0] << 8 | t[1]] = True
+            elif len(t) > 2:
+                self.triple[t[:-2] << 16 | t[1:-1] << 8 | t[2:]] = True
+        self.known: dict[str, bytes] = {}
+        self.segments: dict[bytes, bytes] = {}
         self.rows = rows
 
-    def words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each word with its ids, in pieces whose queries keep a bounded number of rows."""
+    def cut(self, raw: bytes) -> list[bytes]:
+        """The segments of a word that no entry of the vocabulary reaches across."""
+        b = np.frombuffer(raw, np.uint8).astype(np.int32)
+        if len(b) < 2:
+            return [raw]
+        joined = self.pair[b[:-1] << 8 | b[1:]]
+        t = self.triple[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
+        joined[1:] |= t
+        joined[:-1] |= t
+        ends = (np.flatnonzero(~joined) + 1).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], [*ends, len(raw)])]
+
+    def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids as bytes of 32-bit numbers."""
+        parts = [self.cut(w.encode("utf-8")) for w in words]
+        new = list({s for p in parts for s in p if s not in self.segments})
+        if len(self.segments) > WORDS:
+            self.segments = {}
+            new = list({s for p in parts for s in p})
         at = 0
-        raw = [w.encode("utf-8") for w in words]
-        while at < len(words):
+        while at < len(new):  # pieces whose queries keep a bounded number of rows
             stop, cost = at, 0
-            while stop < len(words) and (stop == at or cost + len(raw[stop]) ** 2 // 2 <= self.rows):
-                cost += len(raw[stop]) ** 2 // 2
+            while stop < len(new) and (stop == at or cost + len(new[stop]) ** 2 // 2 <= self.rows):
+                cost += len(new[stop]) ** 2 // 2
                 stop += 1
-            yield from self._piece(words[at:stop], raw[at:stop])
+            self.segments.update(self._piece(new[at:stop]))
             at = stop
+        for w, p in zip(words, parts):
+            yield w, b"".join(map(self.segments.__getitem__, p))
 
-    def _piece(self, words: list[str], raw: list[bytes]) -> Iterator[tuple[str, list[int]]]:
+    def _piece(self, raw: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         tok = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
@@ -106,26 +137,19 @@ class Encoder:
             more = [(k, ids) for k, ids, it in got if it >= rounds]
             for k, ids, it in got:
                 if it < rounds:
-                    yield words[k], ids
+                    yield raw[k], np.array(ids, np.int32).tobytes()
             w = np.concatenate([np.full(len(ids), k, np.int32) for k, ids in more]) if more else w[:0]
             tok = np.concatenate([np.array(ids, np.int32) for _, ids in more]) if more else tok[:0]
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        """Offsets and ids of each text; None is as the empty text: no ids."""
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as bytes of 32-bit numbers; None is as the empty text: no ids."""
         cut = [self.split(t) if t else [] for t in texts]
-        new = list({w for ws in cut for w in ws if w not in self.known})
         if len(self.known) > WORDS:
             self.known = {}
-            new = list({w for ws in cut for w in ws})
-        self.known.update(self.words(new))
-        flat: list[int] = []
-        offsets = np.zeros(len(texts) + 1, np.int32)
-        known = self.known
-        for i, ws in enumerate(cut):
-            for w in ws:
-                flat += known[w]
-            offsets[i + 1] = len(flat)
-        return offsets, flat
+        new = set().union(*cut).difference(self.known)
+        self.known.update(self.words(list(new)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in cut]
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
@@ -140,9 +164,13 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -
         e = None
         for b in batches:
             e = e or Encoder(path)
-            offsets, flat = e.batch(b.column("text").to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+            for k in range(0, b.num_rows, STEP):
+                part = b.slice(k, STEP)
+                ids = e.batch(part.column("text").to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return spread(docs.select("doc_id", "text"), "doc_id", per_slot=1).mapInArrow(run, f"doc_id {kind}, ids array<int>")
