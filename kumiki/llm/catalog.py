@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kumiki.llm import copy_queries, neardup_queries, pair_queries, survivor_queries, token_queries, visual_queries
+from kumiki.llm import copy_queries, neardup_queries, pair_queries, survivor_queries, token_queries, topic_queries, visual_queries
 
-MODULES = [copy_queries, neardup_queries, pair_queries, survivor_queries, token_queries, visual_queries]
+MODULES = [copy_queries, neardup_queries, pair_queries, survivor_queries, token_queries, topic_queries, visual_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
