@@ -255,3 +255,18 @@ def explanation_of(trans: Column, note: Column, source: Column, fallback: str, u
     """TXT29: own note, else own translation, else the source's explanation if wanted, else the fallback."""
     own = [F.nullif(strip(x), F.lit("")) for x in (note, trans)]
     return F.coalesce(*own, *([F.nullif(strip(source), F.lit(""))] if use_source else []), F.lit(fallback))
+
+
+@F.pandas_udf(StringType())
+def _norm_list(s: pd.Series) -> pd.Series:
+    drop = re.compile(IGNORED)
+
+    def one(x) -> str:
+        return "\u0001".join(drop.sub("", unicodedata.normalize("NFKC", o or "")).lower() for o in (x if x is not None else ()))
+
+    return s.map(one)
+
+
+def norm_list(c: Column) -> Column:
+    """TXT1 of every part of a list in one transfer, joined by U+0001. A null list is as an empty one."""
+    return _norm_list(F.coalesce(c, F.array().cast("array<string>")))
