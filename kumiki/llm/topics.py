@@ -34,28 +34,27 @@ from kumiki.session import checkpointed, slots, spread
 BUCKETS, RANK, LABELLED = 1 << 17, 48, 50_000
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
 POWER = 2
+#: Documents that are multiplied at a time.
+STEP = 500
 BINS = 64
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>|https?://\S+")
-_TOKEN = re.compile(r"([。｡!?！？\n]|[.．](?!\d))|([一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]+)|([^\W\d_぀-ヿ一-鿿々ー]+)")
+_STOP = re.compile(r"[。｡!?！？\n]|[.．](?!\d)")
+_JAPANESE = re.compile(r"[一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]+")
+_WORD = re.compile(r"[^\W\d_぀-ヿ一-鿿々ー]+")
 _VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĩũ]")
 
 
-class Terms:
+class Terms(dict):
     """Hashed terms, remembered."""
 
-    def __init__(self):
-        self.seen: dict[str, int] = {}
-
-    def id(self, term: str) -> int:
-        k = self.seen.get(term)
-        if k is None:
-            if len(self.seen) > 1_000_000:
-                self.seen.clear()
-            k = self.seen[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+    def __missing__(self, term: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        k = self[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
         return k
 
-    def sentences(self, text: str) -> Iterator[tuple[list[int], int]]:
+    def sentences(self, text: str) -> Iterator[tuple[set[int], int]]:
         """(terms, script) of each sentence with a word; script is 0 Japanese, 1 Vietnamese, 2 other."""
         if "<" in text or "http" in text:
             text = _MARKUP.sub("\n", text)
@@ -63,25 +62,16 @@ class Terms:
             text = html.unescape(text)
         if not unicodedata.is_normalized("NFKC", text):
             text = re.sub("[​-‏­⁠﻿]", "", unicodedata.normalize("NFKC", text))
-        terms: set[int] = set()
-        kind, before, word_before = 2, "", False
-        for stop, ja, word in _TOKEN.findall(text.lower()):
-            if stop:
-                if terms:
-                    yield list(terms), kind
-                terms, kind, before = set(), 2, ""
-            elif ja:
-                kind, before = 0, ""
-                terms.add(self.id(ja))
-            else:
-                terms.add(self.id(word))
-                if before:
-                    terms.add(self.id(f"{before} {word}"))
-                before = word
-                if kind == 2 and _VIETNAMESE.search(word):
-                    kind = 1
-        if terms:
-            yield list(terms), kind
+        get = self.__getitem__
+        for s in _STOP.split(text.lower()):
+            ja = _JAPANESE.findall(s)
+            terms = set(map(get, ja))
+            words = _WORD.findall(s)
+            if words:
+                terms.update(map(get, words))
+                terms.update(map(get, map(" ".join, zip(words, words[1:]))))
+            if terms:
+                yield terms, 0 if ja else 1 if _VIETNAMESE.search(s) else 2
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +88,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     w += ids
                 sizes.append(s)
                 kinds.append(bytes(g))
-                terms.append(np.array(w, np.int32))
+                terms.append(zlib.compress(np.array(w, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("labels"), pa.array(sizes, pa.list_(pa.int32())), pa.array(kinds, pa.binary()), pa.array(terms, pa.list_(pa.int32()))],
+                [part.column("doc_id"), part.column("labels"), pa.array(sizes, pa.list_(pa.int32())), pa.array(kinds, pa.binary()), pa.array(terms, pa.binary())],
                 ["doc_id", "labels", "sizes", "kinds", "terms"],
             )
 
 
+def _planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+
+
 class Block:
     """A batch of documents as flat arrays: terms, the sentence of each, the document of each sentence."""
 
@@ -113,7 +107,8 @@ class Block:
             return b.column(c).flatten().to_numpy(zero_copy_only=False)
 
         self.n = b.num_rows
-        self.term = flat("terms")
+        # each document's terms are kept compressed, byte planes apart: most of what a term repeats is in its upper bytes
+        self.term = np.concatenate([np.empty(0, np.int32), *(_planes(x) for x in b.column("terms").to_pylist())])
         sizes = flat("sizes")
         self.per = np.fromiter((len(x) for x in b.column("kinds").to_pylist()), np.int64, self.n)
         self.sentences = len(sizes)
@@ -132,6 +127,13 @@ class Block:
         return t / np.maximum(t.sum(1, keepdims=True), 1)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of a bounded number of documents, so that what a block is multiplied with stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, STEP):
+            yield Block(b.slice(k, STEP))
+
+
 def _rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """out[at] += values, row by row, where rows may repeat."""
     if len(at):
@@ -155,9 +157,8 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(shape, np.float64)
-        for b in batches:
-            if b.num_rows:
-                add(Block(b), table)
+        for x in _blocks(batches):
+            add(x, table)
         for k in range(parts):
             own = table[cuts[k] : cuts[k + 1]]
             if own.any():
@@ -280,12 +281,12 @@ def _embedded(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray]:
     return e / np.maximum(size, 1e-9)[:, None], np.where(size > 1e-6, top, 0)
 
 
-def _assigned(x: Block, w: Weighing, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest centroid of each sentence, whether it is near, and the sentence vectors."""
+def _assigned(x: Block, w: Weighing, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centroid of each sentence, whether it is near and a weight exceeds `strength`, and the sentence vectors."""
     e, top = _embedded(x, w)
     cos = e @ centroids.T
     near = cos.argmax(1)
-    return near, (cos[np.arange(len(cos)), near] > COSINE) & (top > 0), e
+    return near, (cos[np.arange(len(cos)), near] > COSINE) & (top > strength), e
 
 
 def _unit(c: np.ndarray) -> np.ndarray:
@@ -326,7 +327,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     known = known.groupBy(F.col("doc_id").alias("k")).agg(F.sort_array(F.collect_set(code[F.col("subject")])).alias("labels"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(labelled)  # the bound of what is broadcast
     text = spread(docs.select("doc_id", "text"), "doc_id", per_slot=1).join(F.broadcast(known), F.expr("doc_id = k"), "left").select("doc_id", "text", "labels")
-    features = checkpointed(text.mapInArrow(_features, "doc_id long, labels array<int>, sizes array<int>, kinds binary, terms array<int>"))
+    features = checkpointed(text.mapInArrow(_features, "doc_id long, labels array<int>, sizes array<int>, kinds binary, terms binary"))
     n = len(subjects)
     counts = _total(features, (BUCKETS + BINS + 1, 3 + n), _counts(n))
     f, sums = counts[:BUCKETS, 0], counts[BUCKETS + BINS]
@@ -343,8 +344,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     c = _centroids(features, w, lambda x: x.targets(n)[x.doc], n)
 
     def first(x: Block) -> tuple[np.ndarray, np.ndarray]:
-        near, ok, _ = _assigned(x, w, c)
-        return near % n, ok & (_embedded(x, w)[1] > 0.3)
+        near, ok, _ = _assigned(x, w, c, 0.3)
+        return near % n, ok
 
     def again(x: Block, out: np.ndarray) -> None:
         near, ok = first(x)
@@ -367,10 +368,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     c2 = _centroids(features, v, seeds, n)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = Block(b)
-            near, ok, _ = _assigned(x, v, c2)
-            ok &= _embedded(x, v)[1] > STRENGTH
+        for x in _blocks(batches):
+            near, ok, _ = _assigned(x, v, c2, STRENGTH)
             hits = np.bincount(x.doc[ok] * n + near[ok] % n, minlength=x.n * n).reshape(x.n, n)
             d, s = np.nonzero((hits > 0) & (hits >= share * x.per[:, None] - 1e-9))
             yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(d)), pa.array([subjects[k] for k in s], pa.string())], ["doc_id", "subject"])
