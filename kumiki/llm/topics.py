@@ -33,7 +33,7 @@ from kumiki.session import checkpointed, slots, spread
 
 BUCKETS, RANK, LABELLED = 1 << 17, 48, 50_000
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
-POWER = 2
+POWER, WEAK = 2, 0.3
 #: Documents that are multiplied at a time.
 STEP = 500
 BINS = 64
@@ -162,13 +162,13 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
         for k in range(parts):
             own = table[cuts[k] : cuts[k + 1]]
             if own.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([own.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, body in zip(b.column("part").to_pylist(), b.column("body").to_pylist()):
-                v = np.frombuffer(body, np.float64)
+                v = np.frombuffer(body, np.float32).astype(np.float64)
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([v.tobytes()], pa.binary())})
@@ -233,10 +233,10 @@ def _purity(held: np.ndarray, of: np.ndarray, base: float) -> np.ndarray:
 
 
 class Weighing:
-    """Weights of terms, packed to those above 0, and the vectors of their space."""
+    """Weights of terms, packed to those above WEAK (weaker ones decide nothing), and the vectors of their space."""
 
     def __init__(self, weight: np.ndarray):
-        on = np.flatnonzero(weight > 0)
+        on = np.flatnonzero(weight > WEAK)
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[on] = np.arange(len(on))
         self.weight = weight[on].astype(np.float32)
@@ -337,14 +337,14 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     sure = held / (held + 2)
     agreed = sure * _purity(held, counts[:BUCKETS, 3:], min(base, 0.9)) + (1 - sure) * 0.4
     weight = np.where(f >= 2, rarity * np.clip(_clumping(counts) - CLUMPED, 0, 1.5) * agreed, 0)
-    if not (weight > 0).any() or not sums[2]:
+    if not (weight > WEAK).any() or not sums[2]:
         return spark.createDataFrame([], "doc_id long, subject string")
     w = Weighing(weight)
     _space(features, w)
     c = _centroids(features, w, lambda x: x.targets(n)[x.doc], n)
 
     def first(x: Block) -> tuple[np.ndarray, np.ndarray]:
-        near, ok, _ = _assigned(x, w, c, 0.3)
+        near, ok, _ = _assigned(x, w, c, WEAK)
         return near % n, ok
 
     def again(x: Block, out: np.ndarray) -> None:
