@@ -6,7 +6,8 @@ Each text is taken apart in three steps:
    compatibility composition (NFKC).
 2. Where a sign that has look-alikes stands beside letters, each place of the stretch gets a lattice of the signs that look
    like it; Viterbi's algorithm finds the path of the greatest score. A step of the path scores the joint count of its two
-   signs in the whole corpus, backed off to the counts of their scripts, so that a word keeps to one script; a sign that
+   signs in the whole corpus, backed off to the counts of their scripts; a change of alphabet costs a fixed amount, so that a
+   word keeps to one script; a sign that
    isn't the written one costs a fixed amount.
 3. A field is affected if step 1 or 2 changed it, or if a word still mixes alphabets.
 
@@ -50,6 +51,9 @@ SPACE = re.compile("[   -     ]")
 MARK = re.compile("[̀-゙゚ͯ]")
 COST = 2.5
 LEAST = 0.5
+#: What a change of alphabet inside a word costs.
+MIXED = 12.0
+ALPHABETS = {"latin", "cyrillic", "greek", "armenian", "cherokee"}
 
 TO_LATIN = {a: b for written, latin in LOOKS_LATIN.items() for a, b in zip(written, latin, strict=True)}
 ALIKE: dict[str, str] = {a: a + b for a, b in TO_LATIN.items()}
@@ -125,8 +129,9 @@ class Scores:
         return script(s) if len(s) == 1 else s
 
     def step(self, a: str, b: str) -> float:
-        back = self.back.get((script(a), script(b)), 0.0)
-        return math.log(self.pairs.get((symbol(a), symbol(b)), 0) + LEAST * back + 1e-4)
+        p, q = script(a), script(b)
+        back = self.back.get((p, q), 0.0)
+        return math.log(self.pairs.get((symbol(a), symbol(b)), 0) + LEAST * back + 1e-4) - (MIXED if p != q and p in ALPHABETS and q in ALPHABETS else 0)
 
     def settle(self, text: str) -> str:
         """Step 2: the best path through the lattice of each stretch, with the signs beside it as they are."""
