@@ -12,7 +12,7 @@
 5. The sentences' subjects now say for every term of the corpus how far it belongs to one subject. With these weights steps 3
    and 4 are repeated. A document has each subject that its share of sentences reaches `SHARE` for.
 
-The fixed sizes are BUCKETS terms, RANK dimensions and LABELLED documents for the seeds. Sums of tables and blocks are made in
+The fixed sizes are BUCKETS terms, RANK dimensions a subject and LABELLED documents for the seeds. Sums of tables and blocks are made in
 parts, one task a part, and the driver gets one table of fixed size.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from kumiki.session import checkpointed, slots, spread
 
-BUCKETS, RANK, LABELLED = 1 << 17, 48, 50_000
+BUCKETS, LABELLED = 1 << 17, 50_000
+#: Dimensions of the space for each subject: enough for its words in three scripts, few enough that they fall together.
+RANK = 4
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
 POWER, WEAK = 2, 0.3
 #: Documents that are multiplied at a time.
@@ -75,48 +77,49 @@ class Terms(dict):
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each STEP documents: their ids, labels and sentence counts, and a compressed body of the sentences' sizes,
+    scripts and terms, byte planes apart (what numbers repeat is in their upper bytes)."""
     t = Terms()
     for b in batches:
-        for k in range(0, b.num_rows, 2000):
-            part = b.slice(k, 2000)
-            sizes, kinds, terms = [], [], []
+        for k in range(0, b.num_rows, STEP):
+            part = b.slice(k, STEP)
+            per, sizes, kinds, terms = [], [], bytearray(), []
             for text in part.column("text").to_pylist():
-                s, g, w = [], [], []
+                before = len(sizes)
                 for ids, kind in t.sentences(text) if text else ():
-                    s.append(len(ids))
-                    g.append(kind)
-                    w += ids
-                sizes.append(s)
-                kinds.append(bytes(g))
-                terms.append(zlib.compress(np.array(w, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+                    sizes.append(len(ids))
+                    kinds.append(kind)
+                    terms.extend(ids)
+                per.append(len(sizes) - before)
+            body = zlib.compress(_planed(sizes) + bytes(kinds) + _planed(terms), 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("labels"), pa.array(sizes, pa.list_(pa.int32())), pa.array(kinds, pa.binary()), pa.array(terms, pa.binary())],
-                ["doc_id", "labels", "sizes", "kinds", "terms"],
+                [pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("labels").to_pylist()], pa.list_(pa.list_(pa.int32()))),
+                 pa.array([per], pa.list_(pa.int32())), pa.array([body], pa.binary())],
+                ["ids", "labels", "per", "body"],
             )
 
 
-def _planes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+def _planed(numbers: list[int]) -> bytes:
+    return np.array(numbers, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _planes(body: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(body.reshape(4, -1).T).view(np.int32).reshape(-1)
 
 
 class Block:
-    """A batch of documents as flat arrays: terms, the sentence of each, the document of each sentence."""
-
-    def __init__(self, b: pa.RecordBatch):
-        def flat(c: str) -> np.ndarray:
-            return b.column(c).flatten().to_numpy(zero_copy_only=False)
-
-        self.n = b.num_rows
-        # each document's terms are kept compressed, byte planes apart: most of what a term repeats is in its upper bytes
-        self.term = np.concatenate([np.empty(0, np.int32), *(_planes(x) for x in b.column("terms").to_pylist())])
-        sizes = flat("sizes")
-        self.per = np.fromiter((len(x) for x in b.column("kinds").to_pylist()), np.int64, self.n)
-        self.sentences = len(sizes)
-        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+    """A row of documents as flat arrays: terms, the sentence of each, the document of each sentence."""
+
+    def __init__(self, ids: list[int], labels: list, per: list[int], body: bytes):
+        raw = np.frombuffer(zlib.decompress(body), np.uint8)
+        self.ids, self.labels, self.n = ids, labels, len(ids)
+        self.per = np.array(per, np.int64)
+        self.sentences = s = int(self.per.sum())
+        sizes = _planes(raw[: 4 * s])
+        self.kind = raw[4 * s : 5 * s]
+        self.term = _planes(raw[5 * s :])
+        self.sentence = np.repeat(np.arange(s), sizes)
         self.doc = np.repeat(np.arange(self.n), self.per)
-        self.kind = np.frombuffer(b"".join(b.column("kinds").to_pylist()), np.uint8)
-        self.ids = b.column("doc_id")
-        self.labels = b.column("labels").to_pylist()
 
     def targets(self, subjects: int) -> np.ndarray:
         """(document, subject): the labels of a document, together 1."""
@@ -128,10 +131,9 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of a bounded number of documents, so that what a block is multiplied with stays small."""
     for b in batches:
-        for k in range(0, b.num_rows, STEP):
-            yield Block(b.slice(k, STEP))
+        for row in zip(*(b.column(c) for c in ("ids", "labels", "per", "body"))):
+            yield Block(*(x.as_py() for x in row))
 
 
 def _rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -235,12 +237,13 @@ def _purity(held: np.ndarray, of: np.ndarray, base: float) -> np.ndarray:
 class Weighing:
     """Weights of terms, packed to those above WEAK (weaker ones decide nothing), and the vectors of their space."""
 
-    def __init__(self, weight: np.ndarray):
+    def __init__(self, weight: np.ndarray, rank: int):
         on = np.flatnonzero(weight > WEAK)
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[on] = np.arange(len(on))
         self.weight = weight[on].astype(np.float32)
-        self.vectors = np.zeros((len(on), RANK), np.float32)
+        self.rank = rank
+        self.vectors = np.zeros((len(on), rank), np.float32)
 
     def entries(self, x: Block) -> tuple[np.ndarray, np.ndarray]:
         at = self.place[x.term]
@@ -251,7 +254,7 @@ class Weighing:
 def _space(features: DataFrame, w: Weighing) -> None:
     """Sets w.vectors to the leading right singular vectors of the weighted document by term matrix."""
     n = len(w.weight)
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(RANK, max(1, n)))))[0].astype(np.float32)
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(w.rank, max(1, n)))))[0].astype(np.float32)
     for _ in range(POWER):
 
         def add(x: Block, out: np.ndarray, q: np.ndarray = q) -> None:
@@ -264,14 +267,14 @@ def _space(features: DataFrame, w: Weighing) -> None:
             _rows(out, at, y[doc] * v[:, None])
 
         q = np.linalg.qr(_total(features, (n, q.shape[1]), add))[0].astype(np.float32)
-    w.vectors = np.zeros((n, RANK), np.float32)
+    w.vectors = np.zeros((n, w.rank), np.float32)
     w.vectors[:, : q.shape[1]] = q * w.weight[:, None]
 
 
 def _embedded(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the sentences (0 without weighted terms) and the greatest weight in each."""
     at, sentence = w.entries(x)
-    e = np.zeros((x.sentences, RANK), np.float32)
+    e = np.zeros((x.sentences, w.rank), np.float32)
     top = np.zeros(x.sentences, np.float32)
     if len(at):
         _ordered(e, sentence, w.vectors[at])
@@ -305,13 +308,13 @@ def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.nda
                 s = on[x.kind[on] == g]
                 out[g * subjects : (g + 1) * subjects] += r[s].T @ e[s]
 
-    c = _unit(_total(features, (3 * subjects, RANK), seed))
+    c = _unit(_total(features, (3 * subjects, w.rank), seed))
 
     def move(x: Block, out: np.ndarray) -> None:
         near, ok, e = _assigned(x, w, c)
         _rows(out, near[ok], e[ok].astype(np.float64))
 
-    return _unit(_total(features, (3 * subjects, RANK), move) + 0.01 * c)
+    return _unit(_total(features, (3 * subjects, w.rank), move) + 0.01 * c)
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share: float = SHARE, labelled: int = LABELLED) -> DataFrame:
@@ -327,7 +330,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     known = known.groupBy(F.col("doc_id").alias("k")).agg(F.sort_array(F.collect_set(code[F.col("subject")])).alias("labels"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(labelled)  # the bound of what is broadcast
     text = spread(docs.select("doc_id", "text"), "doc_id", per_slot=1).join(F.broadcast(known), F.expr("doc_id = k"), "left").select("doc_id", "text", "labels")
-    features = checkpointed(text.mapInArrow(_features, "doc_id long, labels array<int>, sizes array<int>, kinds binary, terms binary"))
+    features = checkpointed(text.mapInArrow(_features, "ids array<long>, labels array<array<int>>, per array<int>, body binary"))
     n = len(subjects)
     counts = _total(features, (BUCKETS + BINS + 1, 3 + n), _counts(n))
     f, sums = counts[:BUCKETS, 0], counts[BUCKETS + BINS]
@@ -339,7 +342,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     weight = np.where(f >= 2, rarity * np.clip(_clumping(counts) - CLUMPED, 0, 1.5) * agreed, 0)
     if not (weight > WEAK).any() or not sums[2]:
         return spark.createDataFrame([], "doc_id long, subject string")
-    w = Weighing(weight)
+    w = Weighing(weight, RANK * n)
     _space(features, w)
     c = _centroids(features, w, lambda x: x.targets(n)[x.doc], n)
 
@@ -354,7 +357,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         out += np.bincount(x.term[use] * n + at[use], minlength=BUCKETS * n).reshape(BUCKETS, n)
 
     of = _total(features, (BUCKETS, n), again)
-    v = Weighing(np.where(f >= 2, rarity * f / (f + 2) * _purity(f, of, PURITY), 0))
+    v = Weighing(np.where(f >= 2, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
     if not len(v.weight):
         return spark.createDataFrame([], "doc_id long, subject string")
     _space(features, v)
@@ -372,6 +375,6 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
             near, ok, _ = _assigned(x, v, c2, STRENGTH)
             hits = np.bincount(x.doc[ok] * n + near[ok] % n, minlength=x.n * n).reshape(x.n, n)
             d, s = np.nonzero((hits > 0) & (hits >= share * x.per[:, None] - 1e-9))
-            yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(d)), pa.array([subjects[k] for k in s], pa.string())], ["doc_id", "subject"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.ids[i] for i in d], pa.int64()), pa.array([subjects[k] for k in s], pa.string())], ["doc_id", "subject"])
 
     return features.mapInArrow(name, "doc_id long, subject string")
