@@ -36,6 +36,8 @@ BUCKETS, LABELLED = 1 << 17, 50_000
 RANK = 4
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
 POWER, WEAK = 2, 0.3
+#: A term of a smaller share of the sentences says nothing of them.
+RARE = 2e-5
 #: Documents that are multiplied at a time.
 STEP = 500
 BINS = 64
@@ -164,13 +166,13 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
         for k in range(parts):
             own = table[cuts[k] : cuts[k + 1]]
             if own.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([zlib.compress(own.astype(np.float32).tobytes(), 1)], pa.binary())})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, body in zip(b.column("part").to_pylist(), b.column("body").to_pylist()):
-                v = np.frombuffer(body, np.float32).astype(np.float64)
+                v = np.frombuffer(zlib.decompress(body), np.float32).astype(np.float64)
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([v.tobytes()], pa.binary())})
@@ -335,11 +337,12 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     counts = _total(features, (BUCKETS + BINS + 1, 3 + n), _counts(n))
     f, sums = counts[:BUCKETS, 0], counts[BUCKETS + BINS]
     rarity = np.log(max(sums[0], 2) / (1 + f))
+    often = f >= max(2, RARE * sums[0])
     base = 2 * float((sums[3:] / max(sums[2], 1)).max())
     held = counts[:BUCKETS, 2]
     sure = held / (held + 2)
     agreed = sure * _purity(held, counts[:BUCKETS, 3:], min(base, 0.9)) + (1 - sure) * 0.4
-    weight = np.where(f >= 2, rarity * np.clip(_clumping(counts) - CLUMPED, 0, 1.5) * agreed, 0)
+    weight = np.where(often, rarity * np.clip(_clumping(counts) - CLUMPED, 0, 1.5) * agreed, 0)
     if not (weight > WEAK).any() or not sums[2]:
         return spark.createDataFrame([], "doc_id long, subject string")
     w = Weighing(weight, RANK * n)
@@ -357,7 +360,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         out += np.bincount(x.term[use] * n + at[use], minlength=BUCKETS * n).reshape(BUCKETS, n)
 
     of = _total(features, (BUCKETS, n), again)
-    v = Weighing(np.where(f >= 2, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
+    v = Weighing(np.where(often, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
     if not len(v.weight):
         return spark.createDataFrame([], "doc_id long, subject string")
     _space(features, v)
