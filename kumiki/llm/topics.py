@@ -44,7 +44,8 @@ BINS = 64
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>|https?://\S+")
 _STOP = re.compile(r"[。｡!?！？\n]|[.．](?!\d)")
-_JAPANESE = re.compile(r"[一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]+")
+_JAPANESE = re.compile(r"[一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]{3,}")
+_HIRAGANA = re.compile("[ぁ-ゖ]")
 _WORD = re.compile(r"[^\W\d_぀-ヿ一-鿿々ー]+")
 _VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĩũ]")
 
@@ -76,6 +77,8 @@ class Terms(dict):
                 terms.update(map(get, map(" ".join, zip(words, words[1:]))))
             if terms:
                 yield terms, 0 if ja else 1 if _VIETNAMESE.search(s) else 2
+            elif _HIRAGANA.search(s):
+                yield terms, 0
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
