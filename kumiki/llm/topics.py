@@ -40,6 +40,7 @@ POWER, WEAK = 2, 0.3
 RARE = 2e-5
 #: Documents that are multiplied at a time.
 STEP = 500
+assert STEP * BUCKETS < 2**31
 BINS = 64
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>|https?://\S+")
@@ -59,8 +60,8 @@ class Terms(dict):
         k = self[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
         return k
 
-    def sentences(self, text: str) -> Iterator[tuple[set[int], int]]:
-        """(terms, script) of each sentence with a word; script is 0 Japanese, 1 Vietnamese, 2 other."""
+    def sentences(self, text: str, terms: list[int], sizes: list[int], kinds: bytearray) -> None:
+        """Appends the terms of each sentence with a word, their number and its script: 0 Japanese, 1 Vietnamese, 2 other."""
         if "<" in text or "http" in text:
             text = _MARKUP.sub("\n", text)
         if "&" in text:
@@ -69,16 +70,17 @@ class Terms(dict):
             text = re.sub("[​-‏­⁠﻿]", "", unicodedata.normalize("NFKC", text))
         get = self.__getitem__
         for s in _STOP.split(text.lower()):
+            before = len(terms)
             ja = _JAPANESE.findall(s)
-            terms = set(map(get, ja))
+            terms.extend(map(get, ja))
             words = _WORD.findall(s)
             if words:
-                terms.update(map(get, words))
-                terms.update(map(get, map(" ".join, zip(words, words[1:]))))
-            if terms:
-                yield terms, 0 if ja else 1 if _VIETNAMESE.search(s) else 2
-            elif _HIRAGANA.search(s):
-                yield terms, 0
+                terms.extend(map(get, words))
+                terms.extend(map(get, map(" ".join, zip(words, words[1:]))))
+            n = len(terms) - before
+            if n or _HIRAGANA.search(s):
+                sizes.append(n)
+                kinds.append(0 if ja or not n else 1 if _VIETNAMESE.search(s) else 2)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +93,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per, sizes, kinds, terms = [], [], bytearray(), []
             for text in part.column("text").to_pylist():
                 before = len(sizes)
-                for ids, kind in t.sentences(text) if text else ():
-                    sizes.append(len(ids))
-                    kinds.append(kind)
-                    terms.extend(ids)
+                if text:
+                    t.sentences(text, terms, sizes, kinds)
                 per.append(len(sizes) - before)
             body = zlib.compress(_planed(sizes) + bytes(kinds) + _planed(terms), 1)
             yield pa.RecordBatch.from_arrays(
@@ -193,24 +193,25 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
 
 
 def _counts(subjects: int) -> Callable[[Block, np.ndarray], None]:
-    """Columns: sentences with the term, documents with it, labelled sentences with it, and of these those of each subject.
+    """Columns: places of the term, documents with it, its places in labelled sentences, and of these those of each subject.
 
     Below the terms: sentence counts of documents in BINS logarithmic bins (documents, sentences), then the sums."""
 
     def add(x: Block, out: np.ndarray) -> None:
         out[:BUCKETS, 0] += np.bincount(x.term, minlength=BUCKETS)
         doc = x.doc[x.sentence]
-        both = np.unique(doc.astype(np.int64) * BUCKETS + x.term)
+        both = np.sort(doc.astype(np.int32) * BUCKETS + x.term)  # STEP documents a block: no overflow
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         out[:BUCKETS, 1] += np.bincount(both % BUCKETS, minlength=BUCKETS)
         t = x.targets(subjects)
         on = t.sum(1) > 0
-        use = on[doc]
-        if use.any():
-            out[:BUCKETS, 2] += np.bincount(x.term[use], minlength=BUCKETS)
+        use = np.flatnonzero(on[doc])
+        if len(use):
+            term, w = x.term[use], t[doc[use]]
+            np.add.at(out[:, 2], term, 1.0)
             for c in range(subjects):
-                w = t[doc[use], c]
-                if w.any():
-                    out[:BUCKETS, 3 + c] += np.bincount(x.term[use], weights=w, minlength=BUCKETS)
+                own = w[:, c] > 0
+                np.add.at(out[:, 3 + c], term[own], w[own, c])
             s = t[x.doc]
             out[BUCKETS + BINS, 2] += on[x.doc].sum()
             out[BUCKETS + BINS, 3:] += s.sum(0)
@@ -306,7 +307,7 @@ def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.nda
 
     def seed(x: Block, out: np.ndarray) -> None:
         r = seeds(x)
-        on = np.flatnonzero(r.sum(1) > 0)
+        on = np.flatnonzero(r.sum(1) > 0) if r is not None else ()
         if len(on):
             e, _ = _embedded(x, w)
             for g in range(3):
@@ -350,7 +351,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         return spark.createDataFrame([], "doc_id long, subject string")
     w = Weighing(weight, RANK * n)
     _space(features, w)
-    c = _centroids(features, w, lambda x: x.targets(n)[x.doc], n)
+    c = _centroids(features, w, lambda x: x.targets(n)[x.doc] if any(x.labels) else None, n)
 
     def first(x: Block) -> tuple[np.ndarray, np.ndarray]:
         near, ok, _ = _assigned(x, w, c, WEAK)
@@ -360,7 +361,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         near, ok = first(x)
         at = near[x.sentence]
         use = ok[x.sentence]
-        out += np.bincount(x.term[use] * n + at[use], minlength=BUCKETS * n).reshape(BUCKETS, n)
+        np.add.at(out.reshape(-1), x.term[use] * n + at[use], 1.0)
 
     of = _total(features, (BUCKETS, n), again)
     v = Weighing(np.where(often, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
