@@ -257,11 +257,18 @@ class Weighing:
         return at[use], x.sentence[use]
 
 
-def _space(features: DataFrame, w: Weighing) -> None:
-    """Sets w.vectors to the leading right singular vectors of the weighted document by term matrix."""
+def _space(features: DataFrame, w: Weighing, near: np.ndarray | None = None, power: int = POWER) -> None:
+    """Sets w.vectors to the leading right singular vectors of the weighted document by term matrix.
+
+    `near` are vectors (bucket by column) known to lie near the wanted space; with them one pass is enough.
+    """
     n = len(w.weight)
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(w.rank, max(1, n)))))[0].astype(np.float32)
-    for _ in range(POWER):
+    start = np.random.default_rng(7).standard_normal((n, min(w.rank, max(1, n))))
+    if near is not None:
+        known = near[w.place >= 0][:, : start.shape[1]]
+        start[:, : known.shape[1]] = known / np.maximum(np.linalg.norm(known, axis=0), 1e-9) * np.sqrt(n)
+    q = np.linalg.qr(start)[0].astype(np.float32)
+    for _ in range(power):
 
         def add(x: Block, out: np.ndarray, q: np.ndarray = q) -> None:
             at, sentence = w.entries(x)
@@ -367,7 +374,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     v = Weighing(np.where(often, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
     if not len(v.weight):
         return spark.createDataFrame([], "doc_id long, subject string")
-    _space(features, v)
+    _space(features, v, of, 1)
 
     def seeds(x: Block) -> np.ndarray:
         near, ok = first(x)
