@@ -309,8 +309,8 @@ def _unit(c: np.ndarray) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.ndarray], subjects: int) -> np.ndarray:
-    """Seed centroids (script and subject) from `seeds` (sentence by subject), moved once over all sentences."""
+def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.ndarray], subjects: int, moved: bool = True) -> np.ndarray:
+    """Seed centroids (script and subject) from `seeds` (sentence by subject), `moved` once over all sentences."""
 
     def seed(x: Block, out: np.ndarray) -> None:
         r = seeds(x)
@@ -322,6 +322,8 @@ def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.nda
                 out[g * subjects : (g + 1) * subjects] += r[s].T @ e[s]
 
     c = _unit(_total(features, (3 * subjects, w.rank), seed))
+    if not moved:
+        return c
 
     def move(x: Block, out: np.ndarray) -> None:
         near, ok, e = _assigned(x, w, c)
@@ -382,7 +384,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         r[np.flatnonzero(ok), near[ok]] = 1
         return r
 
-    c2 = _centroids(features, v, seeds, n)
+    c2 = _centroids(features, v, seeds, n, moved=False)  # these seeds are sentences of all documents
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _blocks(batches):
