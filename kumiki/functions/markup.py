@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _DROP = {"rt", "rp", "script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "li", "tr", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "blockquote"}
@@ -169,3 +169,31 @@ def hydrated(s: pd.Series) -> pd.Series:
         return json.dumps(hydrate(v), ensure_ascii=False, sort_keys=True) if isinstance(v, list) else None
 
     return s.map(one, na_action="ignore")
+
+
+def walk(value: object, path: str = "$") -> list[tuple[str, str]]:
+    """ARR7: every scalar of a nested document with its path, in document order."""
+    out: list[tuple[str, str]] = []
+    todo = [(path, value)]
+    while todo:
+        p, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{p}.{k}", x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(f"{p}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        elif v is not None:
+            out.append((p, v if isinstance(v, str) else json.dumps(v)))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("text", StringType())])))
+def walked(s: pd.Series) -> pd.Series:
+    """ARR7 as a column; what is no JSON has no paths."""
+
+    def one(x: str | None) -> list[dict]:
+        try:
+            return [{"path": p, "text": t} for p, t in walk(json.loads(x))] if x else []
+        except ValueError:
+            return []
+
+    return s.map(one)

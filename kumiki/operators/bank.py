@@ -178,3 +178,10 @@ def manifest(bank: DataFrame) -> DataFrame:
         got = by.groupBy(F.col(kind).alias("key")).agg(F.sum("n").alias("n"))
         out = out.unionByName(F.broadcast(known).join(got, "key", "left").select(F.lit(kind).alias("kind"), "key", F.coalesce("n", F.lit(0)).alias("n")))
     return out.unionByName(by.groupBy(F.col("source").alias("key")).agg(F.sum("n").alias("n")).select(F.lit("source").alias("kind"), "key", "n"))
+
+
+def fixed(rows: DataFrame, fixes: DataFrame, replacements: list[tuple[str, str]] = ()) -> DataFrame:
+    """JN6: rows with their manual corrections: literal replacements in stems, and options by place (`fixes`: key, fixes map)."""
+    j = rows.join(fixes.select(F.col("key").alias("_k"), F.col("fixes").alias("_f")), F.expr("rid = _k"), "left")
+    patched = F.transform("options", lambda x, i: F.coalesce(F.try_element_at("_f", i), x))
+    return j.withColumn("question", T.replace_all(F.col("question"), list(replacements))).withColumn("options", F.when(F.col("_f").isNull(), F.col("options")).otherwise(patched)).drop("_k", "_f")

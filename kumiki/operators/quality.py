@@ -148,3 +148,11 @@ def rules_sql(rules: list[tuple[str, int, str, str]] = RULES, other: str = "othe
 def classified(rules: list[tuple[str, int, str, str]]) -> Column:
     """CLS1-CLS12: the kind of each row by rules of (source pattern, priority, predicate, kind), compiled into one CASE."""
     return F.expr(rules_sql(rules))
+
+
+def aligned(reasons: Column, options: Column, answer: Column) -> Column:
+    """ARR9: a reason for each option: one each, or one for each wrong option in order; other numbers of reasons fit none."""
+    n = F.size(options)
+    wrong = F.transform(options, lambda o, i: F.when(i != answer, F.get(reasons, F.when(i > answer, i - 1).otherwise(i))))
+    none = F.transform(options, lambda o: F.lit(None).cast("string"))
+    return F.when(F.size(reasons) == n, reasons).when(F.size(reasons) == n - 1, wrong).otherwise(none)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kumiki import dims
 from kumiki.functions import text as T
+from kumiki.functions.markup import walked
 from kumiki.operators import bank as B
 from kumiki.operators import quality as Q
 from kumiki.plans.registry import Registry
@@ -209,3 +210,12 @@ R.add("cls7_script_mix", "SELECT rid, CASE WHEN k = len(options) THEN 'reading'
     lambda spark, d: raw(spark, d).select("rid", Q.script_kind(F.col("options")).alias("kind"))
 )
 QUERIES["txt10_is_kana"] = lambda spark, d: raw(spark, d).select("rid", T.is_kana(F.col("question")).alias("v"))
+R.add("arr7_paths", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS text FROM events")(
+    lambda spark, d: table(spark, d, "events").select("event_id", F.explode(walked("props")).alias("x")).select("event_id", "x.path", "x.text")
+)
+R.add("arr9_reasons", "SELECT rid, CASE WHEN answer IS NULL THEN list_transform(options, lambda o: NULL) ELSE list_transform(options, lambda o, i: CASE WHEN i - 1 <> answer THEN options[1:len(options) - 1][CASE WHEN i - 1 > answer THEN i - 1 ELSE i END] END) END AS reasons FROM raw WHERE answer IS NOT NULL")(
+    lambda spark, d: raw(spark, d).where("answer IS NOT NULL").select("rid", Q.aligned(F.slice("options", F.lit(1), F.size("options") - 1), F.col("options"), F.col("answer")).alias("reasons"))
+)
+R.add("jn6_fixed", "SELECT rid, replace(question, '下線', '＿') AS question, list_transform(options, lambda x, i: CASE WHEN i = 1 AND source = 'asagiri' THEN upper(x) ELSE x END) AS options FROM raw")(
+    lambda spark, d: B.fixed(raw(spark, d), raw(spark, d).where("source = 'asagiri'").select(F.col("rid").alias("key"), F.create_map(F.lit(0), F.upper(F.get("options", F.lit(0)))).alias("fixes")), [("下線", "＿")]).select("rid", "question", "options")
+)

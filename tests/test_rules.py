@@ -268,3 +268,30 @@ def test_compare_and_set(tmp_path):
     assert folds.put_if(p, 0, "a") == (True, 1) and folds.put_if(p, 0, "b") == (False, 1)
     assert folds.synced(p + "2", {"x": 1}, lambda a, b: {**b, **a}) == {"x": 1}
     assert folds.synced(p + "2", {"y": 2}, lambda a, b: {**b, **a}) == {"x": 1, "y": 2}
+
+
+def test_build_job(spark, tmp_path):
+    from kumiki import jobs
+
+    q = {"source": "a", "exam": "x", "section": "moji", "type": "context", "mondai": 3, "answer": 0, "level": "N3"}
+    items = [{**q, "id": f"a:{i}", "question": f"stem number {i}", "options": ["x", "y", "z", "w"]} for i in range(12)]
+    items += [{**q, "id": "a:dup", "question": "Stem number 3", "options": ["w", "z", "y", "x"], "answer": 3, "explanation": "kept"}, {**q, "id": "a:bad", "question": "", "options": ["x"]}]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.json").write_text(json.dumps(items))
+    jobs.build(spark, f"{tmp_path}/raw/*.json", f"{tmp_path}/out", [], ["a"], [])
+    bank = spark.read.parquet(f"{tmp_path}/out/bank")
+    assert bank.count() == 12 and bank.where("id = 'a:3'").first().explanation == "kept"
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/aliases").collect()] == [("a:dup", "a:3")]
+    assert spark.read.parquet(f"{tmp_path}/out/exams").first().total == 12
+    m = {(r.kind, r.key): r.n for r in spark.read.json(f"{tmp_path}/out/manifest").collect()}
+    assert m["total", None if ("total", None) in m else ""] == 12 and m["dropped", "options"] == 1
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done/a.json").write_text(json.dumps({"a:0": {"trans": "t"}}))
+    jobs.batches(spark, f"{tmp_path}/out/bank", f"{tmp_path}/done/*.json", f"{tmp_path}/batches", 5)
+    got = spark.read.json(f"{tmp_path}/batches").groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 5, 5]
+    assert jobs.validate(spark, f"{tmp_path}/out/bank") == 1
+
+
+def test_paths_of_a_document():
+    assert markup.walk({"a": [1, {"b": "x"}], "c": None, "d": True}) == [("$.a[0]", "1"), ("$.a[1].b", "x"), ("$.d", "true")]
