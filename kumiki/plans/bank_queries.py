@@ -70,6 +70,18 @@ def win3(spark, d):
     return raw(spark, d).groupBy("id").agg(F.min("rid").alias("rid"))
 
 
+@R.add(
+    "ded3_documents",
+    "WITH x AS (SELECT doc_id, md5(substr(lower(coalesce(text, '')), 1, 160)) AS k, md5(right(lower(coalesce(text, '')), 160)) AS l FROM documents), "
+    "r AS (SELECT list_reduce(list({'ks': [k], 'ls': [l], 'ids': [doc_id]} ORDER BY doc_id), lambda a, b: CASE WHEN list_contains(a.ks, b.ks[1]) OR list_contains(a.ls, b.ls[1]) THEN a "
+    "ELSE {'ks': list_concat(a.ks, b.ks), 'ls': list_concat(a.ls, b.ls), 'ids': list_concat(a.ids, b.ids)} END) AS a FROM x) SELECT unnest(a.ids) AS doc_id FROM r",
+)
+def ded3_documents(spark, d):
+    t = F.lower(F.coalesce("text", F.lit("")))
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("rank"), F.md5(F.substring(t, 1, 160)).alias("k"), F.md5(F.expr("right(lower(coalesce(text, '')), 160)")).alias("lk"))
+    return B.linked(x).where("kept").select(F.col("rank").alias("doc_id"))
+
+
 def ded4(spark, d):
     r = B.with_keys(ranked(spark, d))
     return B.survivors(r, B.linked(r)).select("rid", "id", "explanation", "exam", "donors")
@@ -209,7 +221,7 @@ def cls_rules(spark, d):
 R.add("cls7_script_mix", "SELECT rid, CASE WHEN k = len(options) THEN 'reading' WHEN h = len(options) THEN 'orthography' ELSE 'meaning' END AS kind FROM (SELECT rid, options, len(list_filter(options, lambda o: regexp_matches(o, '^[ぁ-ゖァ-ヺー・　 ]+\\n?$'))) AS k, len(list_filter(options, lambda o: regexp_matches(o, '[一-龯㐀-䶿]'))) AS h FROM raw)")(
     lambda spark, d: raw(spark, d).select("rid", Q.script_kind(F.col("options")).alias("kind"))
 )
-QUERIES["txt10_is_kana"] = lambda spark, d: raw(spark, d).select("rid", T.is_kana(F.col("question")).alias("v"))
+R.add("txt10_is_kana", "SELECT rid, regexp_matches(question, '^[ぁ-ゖァ-ヺー・　 ]+\\n?$') AS v FROM raw")(lambda spark, d: raw(spark, d).select("rid", T.is_kana(F.col("question")).alias("v")))
 R.add("arr7_paths", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS text FROM events")(
     lambda spark, d: table(spark, d, "events").select("event_id", F.explode(walked("props")).alias("x")).select("event_id", "x.path", "x.text")
 )

@@ -36,10 +36,11 @@ def slots(spark: SparkSession) -> int:
 def spread(df: DataFrame, *keys: str, per_slot: int = 3) -> DataFrame:
     """`df` in at least `per_slot` partitions for each task slot, hashed by `keys`; as it is where the scan gives enough.
 
-    Python stages cost CPU, not bytes, so partitions of the scan's size leave slots idle on few large files.
+    Python stages cost CPU, not bytes, so partitions of the scan's size leave slots idle on few large files. Only plans without
+    a shuffle are looked at: to count the partitions of others would run them, and Spark has chosen theirs by size.
     """
     want = slots(df.sparkSession) * per_slot
-    if df.rdd.getNumPartitions() >= want:
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *[F.col(k) for k in keys])
 
