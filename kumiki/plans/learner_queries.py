@@ -56,14 +56,39 @@ R.add("srs6_first_outcomes", f"WITH {FOLD} SELECT user_id, CAST(ts AS DATE) AS s
 )
 
 
+_OP = """CASE WHEN e.kind = 'flag' AND NOT a.alive THEN 'newflag' WHEN e.kind = 'flag' AND a.reps = 0 AND a.reason = 'flag' THEN 'drop' WHEN e.kind = 'flag' THEN 'flip'
+  WHEN e.kind = 'wrong' AND NOT a.alive THEN 'newwrong' WHEN e.kind = 'wrong' AND a.box = 0 THEN 'same' WHEN e.kind = 'wrong' THEN 'again' ELSE e.kind END"""
+_KEEP, _NEW = "('flip', 'same', 'drop')", "('newflag', 'newwrong')"
+
+
+def _field(name: str, fresh: str, none: str, review: str) -> str:
+    """One field of a card after an event: of a new card, of one that stays, of a reviewed one (`none`: its value before, of no card)."""
+    return f"'{name}': CASE WHEN {_OP} IN {_NEW} THEN {fresh} WHEN {_OP} IN {_KEEP} THEN a.{name} ELSE {review.replace('@', f'(CASE WHEN a.alive THEN a.{name} ELSE {none} END)')} END"
+
+
+_B0 = "(CASE WHEN a.alive THEN a.box ELSE 0 END)"
+_UP = f"least(5, {_B0} + CASE {_OP} WHEN 'easy' THEN 2 ELSE 1 END)"
+_STEP = "{'kind': e.kind, 'ts': e.ts, " + ", ".join([
+    f"'alive': CASE WHEN {_OP} = 'drop' THEN false WHEN {_OP} IN {_KEEP} THEN a.alive ELSE true END",
+    _field("box", "0", "0", f"CASE {_OP} WHEN 'again' THEN 0 WHEN 'hard' THEN @ ELSE {_UP} END"),
+    _field("due", "CAST(e.ts AS DATE)", "NULL", f"CAST(e.ts AS DATE) + CASE {_OP} WHEN 'again' THEN 1 WHEN 'hard' THEN 2 ELSE [1, 3, 7, 14, 30, 60][{_UP} + 1] END"),
+    _field("reps", "0", "0", "@ + 1"), _field("lapses", "0", "0", f"@ + CASE {_OP} WHEN 'again' THEN 1 ELSE 0 END"),
+    _field("reason", "e.kind", "'review'", "@"), _field("flagged", "e.kind = 'flag'", "false", "@"),
+]).replace("THEN a.flagged ELSE", f"THEN (CASE WHEN {_OP} = 'flip' THEN NOT a.flagged ELSE a.flagged END) ELSE", 1) + "}"
+
+
+@R.add(
+    "srs3_enrolled",
+    f"""WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts, event_id, CASE event_type WHEN 'error' THEN 'wrong' WHEN 'signup' THEN 'flag' WHEN 'view' THEN 'hard' WHEN 'purchase' THEN 'easy' ELSE 'good' END AS kind FROM events),
+    l AS (SELECT user_id, k, list({{'kind': kind, 'ts': ts, 'alive': false, 'box': 0, 'due': NULL::DATE, 'reps': 0, 'lapses': 0, 'reason': '', 'flagged': false}} ORDER BY ts, event_id) AS l FROM e GROUP BY ALL),
+    r AS (SELECT user_id, k, list_reduce(list_concat([l[1]], l), lambda a, e: {_STEP}) AS c FROM l)
+    SELECT user_id, k, c.box AS box, c.due AS due, c.reps AS reps, c.lapses AS lapses, c.reason AS reason, c.flagged AS flagged FROM r WHERE c.alive""",
+)
 def srs3(spark, d):
     """Missed answers and flags: errors are missed answers, signups flags, the rest reviews."""
     kind = F.expr("CASE event_type WHEN 'error' THEN 'wrong' WHEN 'signup' THEN 'flag' WHEN 'view' THEN 'hard' WHEN 'purchase' THEN 'easy' ELSE 'good' END")
     e = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "ts", F.col("event_id").alias("id"), kind.alias("kind"))
-    return S.cards(e, ["user_id", "k"])
-
-
-QUERIES["srs3_enrolled"] = srs3
+    return S.cards(e, ["user_id", "k"]).select("user_id", "k", "box", "due", "reps", "lapses", "reason", "flagged")
 
 
 @R.add("srs8_migrated", "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (answer = 0) AS c, count_if(coalesce(answer, 1) <> 0) AS w, max(crawled_at) AS last FROM raw GROUP BY id), l AS (SELECT old_id, min(kept_id) AS kept FROM aliases WHERE old_id IS NOT NULL AND kept_id IS NOT NULL GROUP BY old_id) SELECT coalesce(kept, id) AS id, sum(n) AS n, sum(c) AS c, sum(w) AS w, max(last) AS last FROM s LEFT JOIN l ON id = old_id GROUP BY 1")

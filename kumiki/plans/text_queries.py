@@ -144,3 +144,33 @@ def txt29(spark, d):
     n = table(spark, d, "explain_out").groupBy(F.col("id").alias("nid")).agg(F.max("trans").alias("trans"), F.max("note").alias("note"))
     b = table(spark, d, "bank").join(n, F.expr("nid = id"), "left")
     return b.select("id", "built_at", T.explanation_of(F.col("trans"), F.col("note"), F.col("explanation"), "none").alias("v"))
+
+_STRIP = r"regexp_replace({}, '^[\s\x{{3000}}\x{{a0}}]+|[\s\x{{3000}}\x{{a0}}]+$', '', 'g')"
+_RUBY = r"regexp_replace({}, '([一-龯々])[（(][ぁ-ゖァ-ヺー]+[)）]', '\1', 'g')"
+_ESC = "replace(replace(replace(replace(replace(question, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_CELLS = r"regexp_replace(regexp_replace(text, '(?i)</t[dh]>\s*<t[dh][^>]*>', ' | ', 'g'), '(?i)<br\s*/?>|</tr>|</p>|</div>', chr(10), 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+_SPACED = r"regexp_replace(regexp_replace({}, '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\1\2', 'g'), '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\1\2', 'g')"
+_LATIN = r"regexp_replace({}, '([A-Za-z0-9,.])\n([A-Za-z0-9])', '\1 \2', 'g')"
+ORACLES["txt12_render"] = (
+    "SELECT rid, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace("
+    + _ESC
+    + r", '\{([^{}|]+)\|([^{}|]*)\}', '<ruby>\1<rt>\2</rt></ruby>', 'g'), '\[\[u:(.*?)\]\]', '<u>\1</u>', 'g'), '＿([^＿★\s]+)＿', '<u>\1</u>', 'g'), '★', '<b>★</b>'), '\n', '<br>', 'g') AS v FROM raw"
+)
+ORACLES["txt15_pseudo_markup"] = "SELECT doc_id, " + _STRIP.format(_CLEAN.format(_RUBY.format(_RUBY.format(f"regexp_replace({_CELLS}, '<[^>]+>', '', 'g')")))) + " AS v FROM documents"
+ORACLES["txt16_ocr_newlines"] = (
+    "SELECT doc_id, translate(regexp_replace("
+    + _LATIN.format(_LATIN.format(r"regexp_replace(regexp_replace(text, '([。！？!?」])\n', '\1' || chr(1), 'g'), '\n([・●■①-⑳\-•])', chr(1) || '\1', 'g')"))
+    + r", '\n', '', 'g'), chr(1), chr(10)) AS v FROM documents"
+)
+ORACLES["txt17_ocr_line"] = "SELECT rid, regexp_replace(" + _SPACED.format("question") + r", '(?m)^([0-9])[)）]\s*', '\1 ', 'g') AS v FROM raw"
+ORACLES["txt18_options"] = (
+    r"WITH a AS (SELECT rid, options, len(list_filter(options, lambda x: regexp_matches(x, '^\s*[1-4１-４][.．)）、:：\s]'))) AS numbered, "
+    r"len(list_filter(options, lambda x, i: translate(regexp_extract(x, '^\s*([1-4１-４])', 1), '１２３４', '1234') = CAST(i AS VARCHAR))) AS own FROM raw) "
+    "SELECT rid, CASE WHEN numbered >= 3 OR (own = len(options) AND len(options) > 0) THEN list_transform(options, lambda x: " + _STRIP.format(r"regexp_replace(x, '^\s*[1-4１-４][.．)）、:：\s]*', '')") + ") ELSE options END AS v FROM a"
+)
+ORACLES["txt19_furigana"] = "SELECT rid, " + _RUBY.format(_RUBY.format("question")) + " AS v FROM raw"
+ORACLES["txt27_transcript"] = (
+    r"WITH a AS (SELECT rid, list_reduce(list_filter([transcript, passage, question], lambda x: x IS NOT NULL AND NOT regexp_matches(x, '^(\s*[1-4１-４][.．)）、 ].*\n?)+$')), lambda p, q: CASE WHEN length(q) > length(p) THEN q ELSE p END) AS x FROM raw) "
+    "SELECT rid, " + _STRIP.format(r"regexp_split_to_array(x, '\n\s*[-‐—–ー]{5,}\s*\n')[1]") + " AS v FROM a"
+)
