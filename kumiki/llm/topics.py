@@ -96,7 +96,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text:
                     t.sentences(text, terms, sizes, kinds)
                 per.append(len(sizes) - before)
-            body = zlib.compress(_planed(sizes) + bytes(kinds) + _planed(terms), 1)
+            flat = _planed(sizes) + bytes(kinds) + _planed(terms)
+            body = len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("labels").to_pylist()], pa.list_(pa.list_(pa.int32()))),
                  pa.array([per], pa.list_(pa.int32())), pa.array([body], pa.binary())],
@@ -116,7 +117,7 @@ class Block:
     """A row of documents as flat arrays: terms, the sentence of each, the document of each sentence."""
 
     def __init__(self, ids: list[int], labels: list, per: list[int], body: bytes):
-        raw = np.frombuffer(zlib.decompress(body), np.uint8)
+        raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), np.uint8)
         self.ids, self.labels, self.n = ids, labels, len(ids)
         self.per = np.array(per, np.int64)
         self.sentences = s = int(self.per.sum())
