@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,23 @@ def spread(df: DataFrame, *keys: str, per_slot: int = 3) -> DataFrame:
 def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
     """A partition count that follows the data: `rows` / `per_partition`, at least one for each slot."""
     return max(slots(spark), ceil(rows / per_partition))
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """`spark`, with this package on its Python workers wherever they run; sent once a session.
+
+    Needed only where the package isn't installed on the executors; it is served to them by the driver.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_kumiki_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="kumiki-"), "kumiki.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, files in os.walk(here):
+                for f in files:
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        z.write(path, os.path.join("kumiki", os.path.relpath(path, here)))
+        sc.addPyFile(target)
+        sc._kumiki_shipped = True
+    return spark
