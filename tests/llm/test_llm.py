@@ -93,6 +93,39 @@ def test_true_values_survive_many_silent_sources(spark):
     assert len(z) == 12 and all(r[0] > 0.5 for r in z)
 
 
+def judged_many(spark, rows):
+    """z and n of the explanations of (question, source, explanation), by rid."""
+    full = [(i, "p", q, ["a"], s, e, None, D(2024, 1, 1)) for i, (q, s, e) in enumerate(rows)]
+    df = spark.createDataFrame(full, "rid long, passage string, question string, options array<string>, source string, explanation string, transcript string, crawled_at timestamp_ntz")
+    df = df.repartition(4)
+    return {r.rid: r for r in survivors.judged(df, copies.copy_pairs(df, ["passage", "question", "options"], ("options",))).select("rid", "z_explanation", "n_explanation").collect()}
+
+
+def test_fillers_elsewhere_leave_values_true(spark):
+    """Thousands of fillers of every source beside a hot group whose sources all give all of its wordings."""
+    sources = [f"s{k}" for k in range(6)]
+    hot = [("hot", s, f"wording number {w}") for s in sources for w in "abcd"]
+    fill = [(f"q{i}", s, "N/A" if s in (sources[i % 6], sources[(i + 1) % 6]) else "trống") for i in range(900) for s in sources[i % 3 :: 3] + [sources[(i + 1) % 6]]]
+    some = [("two", "s0", "one wording"), ("two", "s1", "another wording"), ("two", "s2", "none")]
+    got = judged_many(spark, hot + some + fill)
+    assert all(got[i].z_explanation > 0.5 and got[i].n_explanation > 0 for i in range(len(hot) + 2))
+    assert all(got[i].z_explanation < 1e-6 and got[i].n_explanation == 0 for i in range(len(hot) + 2, len(got))) and len(got) > 2500
+
+
+def test_empty_talk_of_all_trusted_sources_stays_false(spark):
+    sources = [f"s{k}" for k in range(12)]
+    got = judged_many(spark, [("filler", s, "N/A") for s in sources] + [(f"q{i}", s, "the same value") for i in range(100) for s in sources])
+    assert all((r.z_explanation < 0.5) == (rid < 12) for rid, r in got.items()) and len(got) == 1212
+
+
+def test_one_doubtful_source_against_many_trusted_ones(spark):
+    sources = [f"s{k}" for k in range(12)]
+    rows = [("two", "s0", "the longer value of a doubtful source")] + [("two", s, "a value") for s in sources[1:]]
+    rows += [(f"q{i}", s, "N/A" if s == "s0" else "the same value") for i in range(200) for s in sources]
+    got = judged_many(spark, rows)
+    assert all(got[i].z_explanation > 0.5 for i in range(12)) and got[12].n_explanation == 0
+
+
 # near-duplicates
 
 
