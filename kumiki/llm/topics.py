@@ -6,9 +6,10 @@
    (residual frequency), and by how far the labelled documents that hold them agree on a subject; common words and the frames
    of sentences get a weight near 0.
 3. A truncated singular value decomposition of the weighted document by term matrix comes from subspace iteration: each pass
-   multiplies the matrix and its transpose with a block of vectors, inside the tasks; only the block is summed up.
+   multiplies the matrix and its transpose with a block of vectors, inside the tasks; only the block is summed up. Passes go on
+   until the subspace has settled.
 4. Labelled documents seed one centroid for each subject and kind of script; each sentence goes to the centroid of the greatest
-   cosine, and centroids move to their sentences.
+   cosine, and centroids move to their sentences until few sentences change.
 5. The sentences' subjects now say for every term of the corpus how far it belongs to one subject. With these weights steps 3
    and 4 are repeated. A document has each subject that its share of sentences reaches `SHARE` for.
 
@@ -36,6 +37,9 @@ BUCKETS, LABELLED = 1 << 17, 50_000
 RANK = 4
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
 POWER, WEAK = 2, 0.3
+#: A subspace has settled if its directions keep this share (mean squared cosine) in a pass, centroids if no more than this share
+#: of the sentences near one changes. More than LONGEST passes are an error.
+SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
 #: A term of a smaller share of the sentences says nothing of them.
 RARE = 2e-5
 #: Documents that are multiplied at a time.
@@ -258,10 +262,18 @@ class Weighing:
         return at[use], x.sentence[use]
 
 
+def _kept(q: np.ndarray, z: np.ndarray) -> float:
+    """Mean squared cosine of the directions of `z` with the span of `q`, without directions that `z` holds nothing of."""
+    u, size, _ = np.linalg.svd(z, full_matrices=False)
+    u = u[:, size > 1e-6 * max(size.max(initial=0), 1e-30)]
+    return float(((q.T @ u) ** 2).sum() / max(1, u.shape[1]))
+
+
 def _space(features: DataFrame, w: Weighing, near: np.ndarray | None = None, power: int = POWER) -> None:
     """Sets w.vectors to the leading right singular vectors of the weighted document by term matrix.
 
-    `near` are vectors (bucket by column) known to lie near the wanted space; with them one pass is enough.
+    Passes go on until the subspace has settled, `power` at least. `near` are vectors (bucket by column) known to lie near the
+    wanted space; with them fewer are enough.
     """
     n = len(w.weight)
     start = np.random.default_rng(7).standard_normal((n, min(w.rank, max(1, n))))
@@ -269,18 +281,27 @@ def _space(features: DataFrame, w: Weighing, near: np.ndarray | None = None, pow
         known = near[w.place >= 0][:, : start.shape[1]]
         start[:, : known.shape[1]] = known / np.maximum(np.linalg.norm(known, axis=0), 1e-9) * np.sqrt(n)
     q = np.linalg.qr(start)[0].astype(np.float32)
-    for _ in range(power):
+    for k in range(LONGEST):
 
         def add(x: Block, out: np.ndarray, q: np.ndarray = q) -> None:
             at, sentence = w.entries(x)
-            doc, v = x.doc[sentence], w.weight[at]
-            size = np.sqrt(np.maximum(np.bincount(doc, weights=v * v, minlength=x.n), 1e-12)).astype(np.float32)
+            both, c = np.unique(x.doc[sentence] * n + at, return_counts=True)  # a document's terms once each
+            doc, at = both // n, both % n
+            v = w.weight[at]
+            size = np.maximum(np.bincount(doc, weights=c * v * v, minlength=x.n), 1e-12).astype(np.float32)
+            v *= c
             y = np.zeros((x.n, q.shape[1]), np.float32)
             _ordered(y, doc, q[at] * v[:, None])
-            y /= (size * size)[:, None]
+            y /= size[:, None]
             _rows(out, at, y[doc] * v[:, None])
 
-        q = np.linalg.qr(_total(features, (n, q.shape[1]), add))[0].astype(np.float32)
+        z = _total(features, (n, q.shape[1]), add)
+        kept = _kept(q, z)
+        q = np.linalg.qr(z)[0].astype(np.float32)
+        if k + 1 >= power and kept >= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"the space did not settle in {LONGEST} passes")
     w.vectors = np.zeros((n, w.rank), np.float32)
     w.vectors[:, : q.shape[1]] = q * w.weight[:, None]
 
@@ -298,20 +319,24 @@ def _embedded(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray]:
     return e / np.maximum(size, 1e-9)[:, None], np.where(size > 1e-6, top, 0)
 
 
-def _assigned(x: Block, w: Weighing, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest centroid of each sentence, whether it is near and a weight exceeds `strength`, and the sentence vectors."""
-    e, top = _embedded(x, w)
+def _nearest(e: np.ndarray, top: np.ndarray, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each sentence, whether it is near and a weight exceeds `strength`."""
     cos = e @ centroids.T
     near = cos.argmax(1)
-    return near, (cos[np.arange(len(cos)), near] > COSINE) & (top > strength), e
+    return near, (cos[np.arange(len(cos)), near] > COSINE) & (top > strength)
+
+
+def _assigned(x: Block, w: Weighing, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """`_nearest` of the sentences of a block."""
+    return _nearest(*_embedded(x, w), centroids, strength)
 
 
 def _unit(c: np.ndarray) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.ndarray], subjects: int, moved: bool = True) -> np.ndarray:
-    """Seed centroids (script and subject) from `seeds` (sentence by subject), `moved` once over all sentences."""
+def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.ndarray], subjects: int) -> np.ndarray:
+    """Seed centroids (script and subject) from `seeds` (sentence by subject), moved over all sentences until few change."""
 
     def seed(x: Block, out: np.ndarray) -> None:
         r = seeds(x)
@@ -323,14 +348,21 @@ def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.nda
                 out[g * subjects : (g + 1) * subjects] += r[s].T @ e[s]
 
     c = _unit(_total(features, (3 * subjects, w.rank), seed))
-    if not moved:
-        return c
+    before = np.zeros_like(c)  # near nothing
+    for _ in range(LONGEST):
 
-    def move(x: Block, out: np.ndarray) -> None:
-        near, ok, e = _assigned(x, w, c)
-        _rows(out, near[ok], e[ok].astype(np.float64))
+        def move(x: Block, out: np.ndarray, c: np.ndarray = c, before: np.ndarray = before) -> None:
+            e, top = _embedded(x, w)
+            near, ok = _nearest(e, top, c)
+            old, was = _nearest(e, top, before)
+            _rows(out, near[ok], e[ok].astype(np.float64))
+            out[-1, :2] += (ok != was).sum() + (ok & was & (near != old)).sum(), (ok | was).sum()
 
-    return _unit(_total(features, (3 * subjects, w.rank), move) + 0.01 * c)
+        t = _total(features, (3 * subjects + 1, w.rank), move)
+        if t[-1, 0] <= CHANGED * t[-1, 1]:
+            return c
+        before, c = c, _unit(t[:-1] + 0.01 * c)
+    raise RuntimeError(f"centroids did not settle in {LONGEST} passes")
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share: float = SHARE, labelled: int = LABELLED) -> DataFrame:
@@ -364,7 +396,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     c = _centroids(features, w, lambda x: x.targets(n)[x.doc] if any(x.labels) else None, n)
 
     def first(x: Block) -> tuple[np.ndarray, np.ndarray]:
-        near, ok, _ = _assigned(x, w, c, WEAK)
+        near, ok = _assigned(x, w, c, WEAK)
         return near % n, ok
 
     def again(x: Block, out: np.ndarray) -> None:
@@ -377,7 +409,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     v = Weighing(np.where(often, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
     if not len(v.weight):
         return spark.createDataFrame([], "doc_id long, subject string")
-    _space(features, v, of, 1)
+    _space(features, v, of)
 
     def seeds(x: Block) -> np.ndarray:
         near, ok = first(x)
@@ -385,11 +417,11 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         r[np.flatnonzero(ok), near[ok]] = 1
         return r
 
-    c2 = _centroids(features, v, seeds, n, moved=False)  # these seeds are sentences of all documents
+    c2 = _centroids(features, v, seeds, n)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _blocks(batches):
-            near, ok, _ = _assigned(x, v, c2, STRENGTH)
+            near, ok = _assigned(x, v, c2, STRENGTH)
             hits = np.bincount(x.doc[ok] * n + near[ok] % n, minlength=x.n * n).reshape(x.n, n)
             d, s = np.nonzero((hits > 0) & (hits >= share * x.per[:, None] - 1e-9))
             yield pa.RecordBatch.from_arrays([pa.array([x.ids[i] for i in d], pa.int64()), pa.array([subjects[k] for k in s], pa.string())], ["doc_id", "subject"])

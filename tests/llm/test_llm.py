@@ -319,6 +319,67 @@ def test_subjects_of_held_out_documents(spark):
     assert right >= 0.95 * len(truth) and not {1000, 1001, 1002} & set(got)
 
 
+def topic_features(spark, docs):
+    """Features of (doc_id, text, labels), and all of their blocks."""
+    df = spark.createDataFrame(docs, "doc_id long, text string, labels array<int>").repartition(2)
+    f = df.mapInArrow(topics._features, "ids array<long>, labels array<array<int>>, per array<int>, body binary").cache()
+    return f, list(topics._blocks(iter(f.toArrow().to_batches())))
+
+
+def mixed_documents(n=300):
+    """Documents of several of 6 subjects, whose words overlap, and a label on a few."""
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [[rnd.choice(letters) + letters[k] + rnd.choice(letters) * 2 + letters[j % 26] for j in range(60)] for k in range(6)]
+    docs = []
+    for i in range(n):
+        ks = rnd.sample(range(6), rnd.choice([1, 2, 3]))
+        sents = [" ".join(rnd.choice(words[rnd.choice([k, k, (k + 1) % 6])]) for _ in range(5)) for k in ks for _ in range(3)]
+        docs.append((i, ". ".join(sents), [ks[0]] if i % 30 == 0 else None))
+    return docs
+
+
+@pytest.fixture(scope="module")
+def topic_space(spark):
+    f, blocks = topic_features(spark, mixed_documents())
+    weight = np.zeros(topics.BUCKETS)
+    weight[np.unique(np.concatenate([x.term for x in blocks]))] = 1.0
+    return f, blocks, topics.Weighing(weight, 12)
+
+
+def test_a_space_settles_on_the_leading_singular_vectors(topic_space):
+    f, blocks, w = topic_space
+    rows = []
+    for x in blocks:
+        at, sentence = w.entries(x)
+        a = np.zeros((x.n, len(w.weight)))
+        np.add.at(a, (x.doc[sentence], at), 1.0)
+        rows.append(a / np.sqrt(np.maximum(a.sum(1, keepdims=True), 1e-12)))
+    best = np.linalg.svd(np.concatenate(rows), compute_uv=False)[:4]
+    for near in (None, np.random.default_rng(1).random((topics.BUCKETS, 4))):
+        topics._space(f, w, near)
+        assert np.allclose(w.vectors.T @ w.vectors, np.eye(12), atol=1e-3)  # all weights are 1
+        got = np.linalg.svd(np.concatenate(rows) @ w.vectors, compute_uv=False)[:4]
+        assert (got > 0.99 * best).all()
+        z = sum(a.T @ (a @ w.vectors) for a in rows)
+        assert topics._kept(w.vectors.astype(np.float64), z) > 0.99  # one more pass leaves the subspace as it is
+
+
+def test_centroids_move_until_few_sentences_change(topic_space):
+    f, blocks, w = topic_space
+    topics._space(f, w)
+    c = topics._centroids(f, w, lambda x: x.targets(6)[x.doc] if any(x.labels) else None, 6)
+    sums, near = np.zeros_like(c, dtype=np.float64), []
+    for x in blocks:
+        e, _ = topics._embedded(x, w)
+        k, ok, *_ = topics._assigned(x, w, c)
+        topics._rows(sums, k[ok], e[ok].astype(np.float64))
+        near.append(np.where(ok, k, -1))
+    moved = topics._unit(sums + 0.01 * c)
+    changed = sum((np.where(ok, k, -1) != old).sum() for (k, ok, *_), old in zip((topics._assigned(x, w, moved) for x in blocks), near))
+    assert changed <= 0.005 * sum(map(len, near))
+
+
 def test_subjects_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert topics.subject_areas(spark.createDataFrame([(1, "some text. more text.")], "doc_id long, text string"), none, ["law"]).count() == 0
