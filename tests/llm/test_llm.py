@@ -167,6 +167,22 @@ def test_versions_of_nothing(spark):
     assert p.count() == 0 and m.count() == 0
 
 
+def test_groups_have_a_row_for_each_row(spark):
+    rows = edited_rows(7)
+    rows += [(9001, None, None), (9002, "short", "text"), (9003, "x" * 40 + "the same long text " * 9, "question"), (9004, "X" * 40 + "the same long text! " * 9, "question")]
+    df = spark.createDataFrame(rows, "rid long, passage string, question string")
+    got = {r.rid: (r.group_rid, r.links) for r in neardup.groups(df, least=60).collect()}
+    p, m = neardup.versions(df, least=60)
+    cls = {r.rid: r.cls for r in m.collect()}
+    edges = [tuple(r) for r in p.collect()]
+    root = {r.node: r.root for r in neardup.components(p).collect()}
+    assert len(got) == len(rows)
+    for rid, *_ in rows:
+        c = cls.get(rid, rid)
+        assert got[rid] == (root.get(c, c), sum(c in e for e in edges))
+    assert got[9001] == (9001, 0) and got[9002] == (9002, 0) and got[9003] == got[9004] == (9003, 0)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + a, 100 + b) for a, b in (rnd.sample(range(60), 2) for _ in range(50))]
