@@ -106,39 +106,62 @@ def broken(text: str, options: int = 0) -> bool:
     return bool(listed and options and s.startswith("1") and len(items) < options) or bool(re.search(r"(?:^|[/\n]\s*)\d{1,2}[.)]$", s) and listed)
 
 
+def _free(marked: bytearray) -> list[int]:
+    """How many unmarked characters follow from each place on."""
+    out = [0] * (len(marked) + 1)
+    for i in range(len(marked) - 1, -1, -1):
+        out[i] = 0 if marked[i] else out[i + 1] + 1
+    return out
+
+
 def tiles(text: str, source: str, least: int = 5) -> int:
     """Characters of `text` that greedy string tiling covers with pieces of `source`, longest first, none shorter than `least`.
 
-    Starts are found by an index of `least`-character seeds of the source; marked characters of both are not used again.
+    The greatest length of a common piece is found by halving, over all places of both; marked characters are not used again.
     """
     if len(text) < least or len(source) < least:
         return len(text) if text and text in source else 0
     used, taken, total = bytearray(len(text)), bytearray(len(source)), 0
-    index: dict[str, list[int]] = {}
-    for j in range(len(source) - least + 1):
-        index.setdefault(source[j : j + least], []).append(j)
-    while True:
-        top, found = least - 1, []
-        i = 0
-        while i <= len(text) - least:
-            longest = 0
-            if not used[i]:
-                for j in index.get(text[i : i + least], ())[:64]:
-                    k = 0
-                    while i + k < len(text) and j + k < len(source) and text[i + k] == source[j + k] and not used[i + k] and not taken[j + k]:
-                        k += 1
-                    longest = max(longest, k)
-                    if k > top:
-                        top, found = k, [(i, j)]
-                    elif k == top and k >= least:
-                        found.append((i, j))
-            i += 1 if longest < 64 else longest // 2
-        if top < least or not found:
+    top = min(len(text), len(source))
+    while top >= least:
+        own, other = _free(used), _free(taken)
+
+        def places(k: int) -> dict[int, list[int]]:
+            at: dict[int, list[int]] = {}
+            for j in range(len(source) - k, -1, -1):
+                if other[j] >= k:
+                    at.setdefault(hash(source[j : j + k]), []).append(j)  # the last is the first place
+            return at
+
+        def common(k: int) -> bool:
+            at = places(k)
+            for i in range(len(text) - k + 1):
+                if own[i] >= k:
+                    piece = text[i : i + k]
+                    if (js := at.get(hash(piece))) and source.startswith(piece, js[-1]):
+                        return True
+            return False
+
+        low = least - 1
+        while low < top:
+            k = (low + top + 1) // 2
+            low, top = (k, top) if common(k) else (low, k - 1)
+        if top < least:
             return total
-        for i, j in found:
-            if not any(used[i : i + top]) and not any(taken[j : j + top]):
+        at = places(top)
+        for i in range(len(text) - top + 1):
+            if own[i] < top or used[i] or used[i + top - 1]:
+                continue
+            piece = text[i : i + top]
+            js = at.get(hash(piece), [])
+            while js and (taken[js[-1]] or taken[js[-1] + top - 1]):  # this round's pieces have one length
+                js.pop()
+            if js and source.startswith(piece, js[-1]):
+                j = js.pop()
                 used[i : i + top] = taken[j : j + top] = b"\x01" * top
                 total += top
+        top -= 1
+    return total
 
 
 def copied(text: str, question: str, options: list[str]) -> bool:

@@ -237,6 +237,36 @@ def test_tiles():
     assert pairs.tiles("abcabcabc", "abcabcabc", 3) == 9 and pairs.tiles("", "abc") == 0
 
 
+def plain_tiles(text, source, least):
+    used, taken, total = set(), set(), 0
+    for k in range(min(len(text), len(source)), least - 1, -1):
+        for i in range(len(text) - k + 1):
+            for j in range(len(source) - k + 1):
+                if text[i : i + k] == source[j : j + k] and not used & set(range(i, i + k)) and not taken & set(range(j, j + k)):
+                    used |= set(range(i, i + k))
+                    taken |= set(range(j, j + k))
+                    total += k
+    return total
+
+
+def test_tiles_equal_a_plain_search():
+    rnd = random.Random(5)
+    for _ in range(150):
+        a, b = ("".join(rnd.choice("abc"[: rnd.choice([1, 2, 3])]) for _ in range(rnd.randrange(1, 30))) for _ in range(2))
+        if min(len(a), len(b)) >= 3:
+            assert pairs.tiles(a, b, 3) == plain_tiles(a, b, 3)
+
+
+def test_edited_copies_of_long_repetitive_questions():
+    rnd = random.Random(6)
+    q = "".join(rnd.choice("ab") for _ in range(4000))
+    assert pairs.tiles(q[-600:], q) == 600
+    t = list(q)
+    for i in range(100, 4000, 200):
+        t[i] = "c"
+    assert pairs.copied("".join(t), q, [])
+
+
 @pytest.mark.parametrize(
     "text,defect",
     [
