@@ -3,7 +3,7 @@
 A container has three capacities: tokens, documents and attention cost (the sum of the squared lengths). Items go in by
 descending length; of the open containers that can take an item under every capacity, the one whose remaining capacities,
 each as a share and weighted, are of the least norm takes it. Open containers are kept by their remaining tokens, so a search
-begins at the tightest.
+begins at the tightest and ends where no further container can have a lesser norm.
 
 Items are packed in groups of about `group_tokens` tokens, hashed by document; every group leaves its `loose` emptiest
 containers to the next level, where one group gets those of `merge` groups, until one group is left. No task ever gets more
@@ -26,8 +26,6 @@ from kumiki.session import checkpointed, spread
 CAPACITY, DOCUMENTS = 2048, 512
 WEIGHTS = (1.0, 0.1, 0.1)
 GROUP_TOKENS, LOOSE, MERGE = 20_000_000, 16, 16
-#: Feasible containers that are compared for an item.
-COMPARED = 6
 
 
 def sized(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
@@ -49,44 +47,47 @@ def sized(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) ->
 def best_fit(sizes: list[int], capacity: int, documents: int, attention: int, weights: tuple[float, float, float] = WEIGHTS) -> list[int]:
     """The container of each item; `sizes` descends and none exceeds the capacity alone."""
     left: list[int] = []
-    room: list[list[int]] = []
-    at: dict[int, list[int]] = {}
+    room: list[tuple[int, int, int]] = []  # documents, attention, and the container
+    at: dict[int, list[tuple[int, int, int]]] = {}
     levels: list[int] = []
     out: list[int] = []
     wt, wd, wa = weights[0] / capacity, weights[1] / documents, weights[2] / attention
+    least_d, least_a = documents, attention  # no container has less
     for n in sizes:
-        best, norm, seen = -1, 0.0, 0
-        k = bisect_left(levels, n)
-        while k < len(levels) and seen < COMPARED:
-            for c in reversed(at[levels[k]]):
-                _, d, a = room[c]
-                if d and a >= n * n:
-                    x, y, z = (left[c] - n) * wt, (d - 1) * wd, (a - n * n) * wa
-                    v = x * x + y * y + z * z
+        best, norm, square = -1, 0.0, n * n
+        rest = (max(least_d - 1, 0) * wd) ** 2 + (max(least_a - square, 0) * wa) ** 2
+        for k in range(bisect_left(levels, n), len(levels)):
+            x = ((levels[k] - n) * wt) ** 2
+            if best >= 0 and x + rest >= norm:
+                break
+            for d, a, c in at[levels[k]]:
+                v = x + ((d - 1) * wd) ** 2
+                if best >= 0 and v >= norm:
+                    break  # the others of this level have no fewer documents left
+                if a >= square:
+                    v += ((a - square) * wa) ** 2
                     if best < 0 or v < norm:
                         best, norm = c, v
-                    seen += 1
-                    break
-            k += 1
         if best < 0:
             best = len(left)
             left.append(capacity)
-            room.append([capacity, documents, attention])
+            room.append((documents, attention, best))
         else:
             old = at[left[best]]
-            old.remove(best)
+            del old[bisect_left(old, room[best])]
             if not old:
                 del at[left[best]]
                 levels.pop(bisect_left(levels, left[best]))
         left[best] -= n
-        room[best][1] -= 1
-        room[best][2] -= n * n
+        d, a = room[best][0] - 1, room[best][1] - square
+        room[best] = (d, a, best)
         out.append(best)
-        if left[best] and room[best][1] and room[best][2]:  # a container without room for one more token is closed
+        if left[best] and d and a:  # a container without room for one more token is closed
+            least_d, least_a = min(least_d, d), min(least_a, a)
             if left[best] not in at:
                 insort(levels, left[best])
                 at[left[best]] = []
-            at[left[best]].append(best)
+            insort(at[left[best]], room[best])
     return out
 
 

@@ -334,6 +334,22 @@ def test_packing(spark, group_tokens, documents):
         assert len(load) <= 1.03 * sum(n or 0 for _, n in sizes) / 2048 + 2
 
 
+@pytest.mark.parametrize("documents,attention", [(512, 2048**2), (20, 2048**2), (40, 300_000)])
+def test_best_fit_takes_the_least_norm(documents, attention):
+    rnd = random.Random(documents)
+    sizes = sorted((min(500, int(rnd.paretovariate(0.6) * 5)) for _ in range(1200)), reverse=True)
+    w = packing.WEIGHTS
+    room = {}
+    for n, c in zip(sizes, packing.best_fit(sizes, 2048, documents, attention)):
+        norms = {
+            k: (w[0] * (t - n) / 2048) ** 2 + (w[1] * (d - 1) / documents) ** 2 + (w[2] * (a - n * n) / attention) ** 2
+            for k, (t, d, a) in room.items() if t >= n and d and a >= n * n
+        }
+        assert c not in room if not norms else norms[c] <= min(norms.values()) + 1e-12
+        t, d, a = room.get(c, (2048, documents, attention))
+        room[c] = (t - n, d - 1, a - n * n)
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, n long")).count() == 0
     with pytest.raises(ValueError):
