@@ -40,8 +40,8 @@ POWER, WEAK = 2, 0.3
 #: A subspace has settled if its directions keep this share (mean squared cosine) in a pass, centroids if no more than this share
 #: of the sentences near one changes. More than LONGEST passes are an error.
 SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
-#: A term of a smaller share of the sentences says nothing of them.
-RARE = 2e-5
+#: A term of fewer places says nothing of the sentences, however many there are.
+PLACES = 2
 #: Documents that are multiplied at a time.
 STEP = 500
 assert STEP * BUCKETS < 2**31
@@ -383,7 +383,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
     counts = _total(features, (BUCKETS + BINS + 1, 3 + n), _counts(n))
     f, sums = counts[:BUCKETS, 0], counts[BUCKETS + BINS]
     rarity = np.log(max(sums[0], 2) / (1 + f))
-    often = f >= max(2, RARE * sums[0])
+    often = f >= PLACES
     base = 2 * float((sums[3:] / max(sums[2], 1)).max())
     held = counts[:BUCKETS, 2]
     sure = held / (held + 2)

@@ -442,6 +442,18 @@ def test_centroids_move_until_few_sentences_change(topic_space):
     assert changed <= 0.005 * sum(map(len, near))
 
 
+def test_niche_words_decide_at_every_size(spark):
+    niche = {"law": "flumen ordax vintel", "music": "sorbet kalimba trovan"}
+    docs, labels = [], []
+    for k, (s, w) in enumerate(niche.items()):
+        docs += [(10 * k, f"{w}. {w}. {w}."), (10 * k + 1, f"{w}. {w}.")]
+        labels.append((10 * k, s))
+    docs += [(100 + i, f"the {'shop bus rain phone'.split()[i % 4]} was late. " * 1000) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = topics.subject_areas(df, spark.createDataFrame(labels, "doc_id long, subject string"), sorted(niche)).collect()
+    assert {(r.doc_id, r.subject) for r in got if r.doc_id < 100} == {(0, "law"), (1, "law"), (10, "music"), (11, "music")}
+
+
 def test_subjects_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert topics.subject_areas(spark.createDataFrame([(1, "some text. more text.")], "doc_id long, text string"), none, ["law"]).count() == 0
