@@ -38,7 +38,7 @@ def batches(spark: SparkSession, bank: str, done: str, out: str, size: int) -> N
     """Bank items that no annotation file holds, in numbered batches of each section and tier."""
     b = readers.bank_sections(spark, bank).join(readers.annotations(spark, done).select("id"), "id", "left_anti")
     order = [F.col("passage_id").isNull(), F.col("id")]
-    writers.batches(Q.batches(b, ["section", "tier"], order, size, "id"), out)
+    writers.batches(Q.batches(b, ["section", "tier"], order, size), out)
 
 
 def validate(spark: SparkSession, bank: str) -> int:

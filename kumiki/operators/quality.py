@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumiki.functions import text as T
+from kumiki.session import checkpointed
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
@@ -66,45 +67,107 @@ def blob_ok(rev: Column, blob: Column, pattern: str, most: int = 3_500_000) -> C
     return F.coalesce((rev >= 0) & blob.rlike(pattern) & (F.length(blob) <= most), F.lit(False))
 
 
-def batches(df: DataFrame, by: list[str], order: list[Column], size: int, key: str) -> DataFrame:
-    """WIN5, TOP17: numbers of batches of a fixed size in each group, in two levels so that no group is sorted in one task.
+def _ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """`df` ranged over tasks by group and order, with `_p`, the number of each row's part, and `_o0`, `_o1`, ... the order.
 
-    Rows are ranged over tasks by group and order; a row's place is its place in its task's part of the group after the rows of
-    the parts before.
+    A group of any size is cut into parts of a task's size; what goes over the parts' borders is taken from a table of parts.
     """
     names = [f"_o{i}" for i in range(len(order))]
     o = df.select("*", *(c.alias(n) for c, n in zip(order, names)))
-    r = o.repartitionByRange(*by, *names).withColumn("_p", F.spark_partition_id())
-    from kumiki.session import checkpointed
+    # partition numbers must not change between uses
+    return checkpointed(o.repartitionByRange(*by, *names).withColumn("_p", F.spark_partition_id()))
 
-    r = checkpointed(r)  # partition numbers must not change between the two uses
-    n = r.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.select(*by, "_p", before.alias("_b"))
-    place = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*names)) + F.col("_b")
-    out = r.join(n, [*by, "_p"]).withColumn("batch", (F.floor((place - 1) / size) + 1).cast("int"))
-    return out.drop("_p", "_b", *names)
+
+def _same(by: list[str]) -> Column:
+    """Rows and parts of one group; null keys are a group too."""
+    return F.expr(" AND ".join([*(f"r.`{c}` <=> s.`{c}`" for c in by), "r._p = s._p"]))
+
+
+def _with_parts(r: DataFrame, parts: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    return r.alias("r").join(parts.alias("s"), _same(by)).select("r.*", *(f"s.{c}" for c in columns))
+
+
+def _earlier(by: list[str]):
+    return Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _orders(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("_o")]
+
+
+def _placed(r: DataFrame, by: list[str]) -> DataFrame:
+    n = r.groupBy(*by, "_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*_orders(r))) + F.col("_b")
+    return _with_parts(r, n, by, "_b").withColumn("place", place.cast("long")).drop("_b")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """`df` with `place`, 1, 2, ... in each group, in two levels so that no group is sorted in one task."""
+    r = _ranged(df, by, order)
+    return _placed(r, by).drop("_p", *_orders(r))
+
+
+def batches(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
+    """WIN5: numbers of batches of a fixed size in each group."""
+    return numbered(df, by, order).withColumn("batch", (F.floor((F.col("place") - 1) / size) + 1).cast("int")).drop("place")
 
 
 def passage_items(items: DataFrame, by: str, order: list[str]) -> DataFrame:
     """WIN1: runs of neighbouring items of one passage; items without a passage stand alone."""
-    w = Window.partitionBy(by).orderBy(*order)
-    pid = F.col("passage_id")
-    same = pid.isNotNull() & (pid == F.lag("passage_id").over(w))
-    q = items.withColumn("pos", F.row_number().over(w)).withColumn("s", F.when(same, 0).otherwise(1))
-    q = q.withColumn("item", F.sum("s").over(Window.partitionBy(by).orderBy("pos")))
-    return q.groupBy(by, "item").agg(F.min("passage_id").alias("pid"), F.count("*").alias("n"), F.min("pos").alias("pos"))
+    r = _placed(_ranged(items.select(by, "passage_id", *order), [by], [F.col(c) for c in order]), [by])
+    ends = r.groupBy(by, "_p").agg(F.max_by(F.struct("passage_id"), "place").alias("_last"))
+    ends = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(by).orderBy("_p")))
+    w = Window.partitionBy(by, "_p").orderBy("place")
+    q = _with_parts(r, ends, [by], "_before")
+    previous = F.coalesce(F.lag(F.struct("passage_id")).over(w), F.col("_before"))
+    q = q.withColumn("_new", (~F.coalesce(F.col("passage_id") == previous["passage_id"], F.lit(False))).cast("long"))
+    runs = q.groupBy(by, "_p").agg(F.sum("_new").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(_earlier([by])), F.lit(0)))
+    q = _with_parts(q, runs, [by], "_b").withColumn("item", F.sum("_new").over(w) + F.col("_b"))
+    return q.groupBy(by, "item").agg(F.min("passage_id").alias("pid"), F.count("*").alias("n"), F.min("place").alias("pos"))
+
+
+def carry_forward(df: DataFrame, by: str | list[str], order: str, value: str) -> DataFrame:
+    """WIN6: the last value seen so far in each group."""
+    return _carried(df, [by] if isinstance(by, str) else by, F.col(order), value)
 
 
-def carry_forward(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """WIN6: the last value seen so far in each group."""
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(order)))
+def back_fill(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """WIN7: the next value of the group, of which a heading is part, for rows that come before it. `order` must be a number."""
+    return _carried(df, by, -F.col(order), value)
+
 
+def _carried(df: DataFrame, by: list[str], order: Column, value: str) -> DataFrame:
+    r = _ranged(df, by, [order])
+    last = r.groupBy(*by, "_p").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_o0"))).alias("_v"))
+    last = last.withColumn("_b", F.last("_v", ignorenulls=True).over(_earlier(by)))
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, "_p").orderBy("_o0"))
+    return _with_parts(r, last, by, "_b").withColumn(value, F.coalesce(here, "_b")).select(*df.columns)
 
-def neighbours(units: DataFrame, key: str) -> DataFrame:
-    """WIN9: previous and next unit; for lists of fixed size."""
-    w = Window.orderBy(key)
-    return units.select(key, F.lag(key).over(w).alias("before"), F.lead(key).over(w).alias("after"))
+
+def sub_passages(items: DataFrame, by: list[str], order: str, expected: Column, passage: str) -> DataFrame:
+    """WIN8: `items` with `part`, the number of the sub-passage that an item belongs to by its place in the group.
+
+    A group of `expected` passages and a multiple of as many items gives each passage the same number of items; else all of its
+    items are of part 0.
+    """
+    g = items.groupBy(*by).agg(F.count("*").alias("_n"), F.countDistinct(passage).alias("_t"))
+    q = numbered(items, by, [F.col(order)])
+    j = q.alias("q").join(g.alias("g"), F.expr(" AND ".join(f"q.`{c}` <=> g.`{c}`" for c in by))).select("q.*", "g._n", "g._t")
+    fits = (expected > 1) & (F.col("_t") == expected) & (F.col("_n") % expected == 0)
+    part = F.when(fits, F.floor((F.col("place") - 1) / (F.col("_n") / expected))).otherwise(0)
+    return j.withColumn("part", part.cast("int")).drop("place", "_n", "_t")
+
+
+def neighbours(units: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
+    """WIN9: previous and next unit of each group; by joins of the numbered units, so that no group is in one task."""
+    n = checkpointed(numbered(units.select(*by, key), list(by), [F.col(key)]))
+    at = [F.col(c) for c in by]
+    before = n.select(*(c.alias(f"_{i}") for i, c in enumerate(at)), F.col(key).alias("before"), (F.col("place") + 1).alias("_at"))
+    after = n.select(*(c.alias(f"_{i}") for i, c in enumerate(at)), F.col(key).alias("after"), (F.col("place") - 1).alias("_at"))
+    on = F.expr(" AND ".join([*(f"`{c}` <=> _{i}" for i, c in enumerate(by)), "place = _at"]))
+    mine = [*(f"_{i}" for i in range(len(at))), "_at"]
+    out = n.join(before, on, "left").drop(*mine).join(after, on, "left").drop(*mine)
+    return out.select(*by, key, "before", "after")
 
 
 def patched(values: Column, fixes: Column) -> Column:
@@ -126,30 +189,6 @@ def script_kind(options: Column) -> Column:
     return F.when(kana == F.size(options), "reading").when(kanji == F.size(options), "orthography").otherwise("meaning")
 
 
-#: CLS1-CLS12 as data: source pattern, priority, predicate, kind. The first rule that fits decides.
-RULES = [
-    ("%", 10, "type = 'listening' OR audio IS NOT NULL", "choukai:listening"),
-    ("%", 20, "question LIKE '%★%'", "bunpo:sentence_order"),
-    ("%", 30, "question LIKE '%使い方として%'", "moji:usage"),
-    ("%", 40, "passage IS NOT NULL AND length(passage) <= 350", "dokkai:reading_short"),
-    ("%", 50, "passage IS NOT NULL AND length(passage) <= 900", "dokkai:reading_mid"),
-    ("%", 60, "passage IS NOT NULL", "dokkai:reading_long"),
-    ("%quiz%", 70, "question LIKE '%＿%'", "moji:kanji_reading"),
-    ("%", 80, "question LIKE '%（%'", "bunpo:grammar_form"),
-    ("%", 90, "question LIKE '%＿%'", "moji:context"),
-]
-
-
-def rules_sql(rules: list[tuple[str, int, str, str]] = RULES, other: str = "other") -> str:
-    cases = " ".join(f"WHEN source LIKE '{s}' AND ({p}) THEN '{k}'" for s, _, p, k in sorted(rules, key=lambda r: r[1]))
-    return f"CASE {cases} ELSE '{other}' END"
-
-
-def classified(rules: list[tuple[str, int, str, str]]) -> Column:
-    """CLS1-CLS12: the kind of each row by rules of (source pattern, priority, predicate, kind), compiled into one CASE."""
-    return F.expr(rules_sql(rules))
-
-
 def aligned(reasons: Column, options: Column, answer: Column) -> Column:
     """ARR9: a reason for each option: one each, or one for each wrong option in order; other numbers of reasons fit none."""
     n = F.size(options)

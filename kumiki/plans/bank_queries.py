@@ -162,7 +162,7 @@ R.add("jn10_to_translate", "SELECT DISTINCT pid FROM passages p WHERE NOT EXISTS
 @R.add("win5_batches", "WITH b AS (SELECT id, section, tier, min(passage_id) AS p FROM bank GROUP BY ALL) SELECT id, section, tier, CAST(floor((row_number() OVER (PARTITION BY section, tier ORDER BY p IS NULL, CASE WHEN p IS NULL THEN id ELSE regexp_replace(id, '-[0-9]+$', '') END, id) - 1) / 40) + 1 AS INT) AS batch FROM b")
 def win5(spark, d):
     b = table(spark, d, "bank").groupBy("id", "section", "tier").agg(F.min("passage_id").alias("p"))
-    return Q.batches(b, ["section", "tier"], [F.col("p").isNull(), F.when(F.col("p").isNull(), F.col("id")).otherwise(F.regexp_replace("id", "-[0-9]+$", "")), F.col("id")], 40, "id").select("id", "section", "tier", "batch")
+    return Q.batches(b, ["section", "tier"], [F.col("p").isNull(), F.when(F.col("p").isNull(), F.col("id")).otherwise(F.regexp_replace("id", "-[0-9]+$", "")), F.col("id")], 40).select("id", "section", "tier", "batch")
 
 
 @R.add("win1_passage_items", "WITH q AS (SELECT exam, id, passage_id AS pid, row_number() OVER (PARTITION BY exam ORDER BY built_at, id, question) AS pos FROM bank WHERE exam IS NOT NULL), f AS (SELECT *, CASE WHEN pid IS NOT NULL AND pid = lag(pid) OVER (PARTITION BY exam ORDER BY pos) THEN 0 ELSE 1 END AS s FROM q), g AS (SELECT *, sum(s) OVER (PARTITION BY exam ORDER BY pos) AS item FROM f) SELECT exam, CAST(item AS BIGINT) AS item, min(pid) AS pid, count(*) AS n, min(pos) AS pos FROM g GROUP BY exam, item")
@@ -173,11 +173,11 @@ def win1(spark, d):
 R.add("win6_carry_forward", "SELECT rid, last_value(mondai IGNORE NULLS) OVER (PARTITION BY source ORDER BY rid) AS mondai FROM raw")(
     lambda spark, d: Q.carry_forward(raw(spark, d), "source", "rid", "mondai").select("rid", "mondai")
 )
-R.add("win7_back_fill", "SELECT rid, first_value(passage_id IGNORE NULLS) OVER (PARTITION BY source, exam ORDER BY rid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS passage_id FROM raw WHERE exam IS NOT NULL")(
-    lambda spark, d: raw(spark, d).where("exam IS NOT NULL").select("rid", F.first("passage_id", ignorenulls=True).over(Window.partitionBy("source", "exam").orderBy("rid").rowsBetween(0, Window.unboundedFollowing)).alias("passage_id"))
+R.add("win7_back_fill", "SELECT rid, first_value(passage_id IGNORE NULLS) OVER (PARTITION BY source, exam, section, mondai ORDER BY rid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS passage_id FROM raw WHERE exam IS NOT NULL")(
+    lambda spark, d: Q.back_fill(raw(spark, d).where("exam IS NOT NULL").select("rid", "source", "exam", "section", "mondai", "passage_id"), ["source", "exam", "section", "mondai"], "rid", "passage_id").select("rid", "passage_id")
 )
-R.add("win8_positions", "SELECT rid, CAST((row_number() OVER (PARTITION BY exam, section ORDER BY rid) - 1) // 4 AS INT) AS part FROM raw WHERE exam IS NOT NULL")(
-    lambda spark, d: raw(spark, d).where("exam IS NOT NULL").select("rid", F.floor((F.row_number().over(Window.partitionBy("exam", "section").orderBy("rid")) - 1) / 4).cast("int").alias("part"))
+R.add("win8_positions", "WITH q AS (SELECT rid, exam, mondai, passage, CASE mondai WHEN 4 THEN 4 WHEN 5 THEN 2 ELSE 1 END AS e FROM raw WHERE exam IS NOT NULL AND section = 'dokkai'), g AS (SELECT exam, mondai, count(*) AS n, count(DISTINCT passage) AS t FROM q GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY exam, mondai ORDER BY rid) - 1 AS i FROM q) SELECT rid, CAST(CASE WHEN e > 1 AND t = e AND n % e = 0 THEN i // (n // e) ELSE 0 END AS INT) AS part FROM p JOIN g ON p.exam = g.exam AND p.mondai IS NOT DISTINCT FROM g.mondai")(
+    lambda spark, d: Q.sub_passages(raw(spark, d).where("exam IS NOT NULL AND section = 'dokkai'").select("rid", "exam", "mondai", "passage"), ["exam", "mondai"], "rid", F.when(F.col("mondai") == 4, 4).when(F.col("mondai") == 5, 2).otherwise(1), "passage").select("rid", "part")
 )
 R.add("win9_neighbours", "SELECT subject, lag(subject) OVER (ORDER BY subject) AS before, lead(subject) OVER (ORDER BY subject) AS after FROM subjects")(
     lambda spark, d: Q.neighbours(table(spark, d, "subjects"), "subject")
@@ -210,14 +210,6 @@ R.add("set1_union", "SELECT source, count(*) AS n FROM (SELECT source FROM raw U
     lambda spark, d: raw(spark, d).select("source").unionByName(table(spark, d, "bank").select("source"), allowMissingColumns=True).unionByName(table(spark, d, "passages").select("source"), allowMissingColumns=True).groupBy("source").agg(F.count("*").alias("n"))
 )
 R.add("set3_difference", "SELECT id FROM raw EXCEPT SELECT id FROM bank")(lambda spark, d: raw(spark, d).select("id").distinct().join(table(spark, d, "bank").select("id"), "id", "left_anti"))
-CLS = Q.RULES
-
-
-@R.add("cls_rules", f"SELECT rid, {Q.rules_sql()} AS kind FROM raw")
-def cls_rules(spark, d):
-    return raw(spark, d).select("rid", Q.classified(CLS).alias("kind"))
-
-
 R.add("cls7_script_mix", "SELECT rid, CASE WHEN k = len(options) THEN 'reading' WHEN h = len(options) THEN 'orthography' ELSE 'meaning' END AS kind FROM (SELECT rid, options, len(list_filter(options, lambda o: regexp_matches(o, '^[ぁ-ゖァ-ヺー・　 ]+\\n?$'))) AS k, len(list_filter(options, lambda o: regexp_matches(o, '[一-龯㐀-䶿]'))) AS h FROM raw)")(
     lambda spark, d: raw(spark, d).select("rid", Q.script_kind(F.col("options")).alias("kind"))
 )

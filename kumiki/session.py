@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read again, so that a lost executor costs no recomputation.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query has ended, not when the driver happens to collect its garbage.
+
+    Only plans made within it are swept; whatever is read again later must be checkpointed or is computed again.
+    """
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEEP, before) if before is not None else spark.conf.unset(SWEEP)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in which lineage is cut: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests on one machine) a local
-    folder is made.
+    Only where that is unset on a single machine a local folder is made; on a cluster that is an error, as executors share none.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kumiki-checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder and read again, so that a lost executor costs no recomputation.
+
+    The shuffle files that led to it are removed.
+    """
+    shared_folder(df.sparkSession)
+    with swept(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def slots(spark: SparkSession) -> int:
@@ -34,14 +64,14 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str, per_slot: int = 3) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_slot: int = 1, scanned: bool = True) -> DataFrame:
     """`df` in at least `per_slot` partitions for each task slot, hashed by `keys`; as it is where the scan gives enough.
 
-    Python stages cost CPU, not bytes, so partitions of the scan's size leave slots idle on few large files. Only plans without
-    a shuffle are looked at: to count the partitions of others would run them, and Spark has chosen theirs by size.
+    Python stages cost CPU, not bytes, so partitions of the scan's size leave slots idle on few large files. `scanned` says that
+    `df` comes straight from a scan or a checkpoint; the partitions of other plans aren't counted, as that would run them.
     """
     want = slots(df.sparkSession) * per_slot
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= want:
+    if not scanned or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *[F.col(k) for k in keys])
 

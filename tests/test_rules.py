@@ -181,7 +181,7 @@ def test_contained_patterns(spark):
 
 def test_batches_are_whole_and_in_order(spark):
     df = spark.createDataFrame([(f"{i:04d}", "ab"[i % 2]) for i in range(501)], "id string, s string")
-    got = quality.batches(df, ["s"], [F.col("id")], 40, "id").collect()
+    got = quality.batches(df, ["s"], [F.col("id")], 40).collect()
     assert len(got) == 501
     for s in "ab":
         ids = sorted(r.id for r in got if r.s == s)
