@@ -23,10 +23,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kumiki.llm.fold import codes
 from kumiki.session import spread
 
 #: Signs that look like another, each row written first and what it looks like second.
@@ -35,7 +37,7 @@ LOOKS_LATIN = {
     "АВЕКМНОРСТУХІЈЅѴԚԜҮ": "ABEKMHOPCTYXIJSVQWY",
     "οναικρυϲϳ": "ovaikpucj",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹ": "ABEZHIKMNOPTYXFC",
-    "ոցսօհզյտԼՏՕՍ": "ngouhqjmLSOU".replace("ngou", "nguo"),
+    "ոցսօհզյտԼՏՕՍ": "nguohqjmLSOU",
     "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏢᏟᏞᏦᏴ": "DRTAJEWMHGZSVPCLKB",
     "ɑɡıʏʟ": "agiyl",
 }
@@ -176,23 +178,102 @@ class Normalizer:
         new = self.of(text)
         return new != text or MARK.search(text) is not None or mixed(new)
 
+    def all_of(self, texts: list[str | None]) -> list[str | None]:
+        """`of` each text; only those with anything unusual are looked at one by one."""
+        out = list(texts)
+        for i in np.flatnonzero(suspects([x or "" for x in texts])):
+            out[i] = self.of(texts[i])
+        return out
+
+
+#: Classes of characters for a first look at many texts at once.
+_SLOW, _KATAKANA, _HANZI, _HIRA, _AFTER, _KANA = 1, 2, 4, 8, 16, 32
+_first: dict = {}
+
+
+def _odd(c: str) -> bool:
+    """Whether steps 1 or 3 could look at a character: compatibility forms, marks, jamo, letters of other alphabets than Latin."""
+    if c in USUAL:
+        return False
+    if INVISIBLE.match(c) or SPACE.match(c) or ord(c) in RADICALS or c in TO_LATIN:
+        return True
+    if c.isascii():
+        return False
+    if unicodedata.category(c)[0] == "M" or MARK.match(c) or "ᄀ" <= c <= "ᇿ" or unicodedata.normalize("NFKC", c) != c:
+        return True
+    return ALPHABET.match(2 * c) is not None and script(c) != "latin"
+
+
+def _classes() -> np.ndarray:
+    """Classes of the basic plane; all other characters count as slow."""
+    if "classes" not in _first:
+        kata, han, hira = re.compile(f"[{_KATA}]"), re.compile(f"[{_HAN}]"), re.compile("[ぁ-ゖ]")
+        after, kana = set("力口二工夕卜八才千一へべぺり‐‑‒–—―−－─-"), set("カロニエタトハオチヘベペリー")
+        t = np.zeros(0x10001, np.uint8)
+        t[0x10000] = _SLOW
+        for o in range(0x10000):
+            c = chr(o)
+            t[o] = _SLOW * _odd(c) | _KATAKANA * bool(kata.match(c)) | _HANZI * bool(han.match(c)) | _HIRA * bool(hira.match(c)) | _AFTER * (c in after) | _KANA * (c in kana)
+        _first["classes"] = t
+    return _first["classes"]
+
+
+def suspects(texts: list[str]) -> np.ndarray:
+    """Which texts hold anything that steps 1 to 3 could change or name. All others stay as they are.
+
+    The places that STRETCH could match are found by the classes of three neighbours, never too few of them.
+    """
+    hit = np.zeros(len(texts), bool)
+    if not texts:
+        return hit
+    c = codes("\n\n" + "\n\n".join(texts) + "\n\n")
+    t = _classes()[np.minimum(c, 0x10000)]
+    a, b, d = t[:-2], t[1:-1], t[2:]
+    on = (b & _SLOW) > 0
+    on |= (b & _AFTER > 0) & ((a | d) & _KATAKANA > 0)
+    on |= (b & _KANA > 0) & ((a & (_HANZI | _HIRA) > 0) & ((d & _KATAKANA == 0) | (d & _KANA > 0)) | (d & _HANZI > 0) & ((a & _KATAKANA == 0) | (a & _KANA > 0)))
+    places = np.flatnonzero(on) + 1
+    starts = np.cumsum([2, *(len(x) + 2 for x in texts[:-1])])
+    hit[np.searchsorted(starts, places, "right") - 1] = True
+    return hit
+
+
+def _symbols() -> tuple[np.ndarray, list[str]]:
+    """The number of each character's symbol in the basic plane, and the symbols; a number for all others is taken apart."""
+    if "symbols" not in _first:
+        names: dict[str, int] = {}
+        t = np.fromiter((names.setdefault(symbol(chr(o)), len(names)) for o in range(0x10000)), np.int64, 0x10000)
+        _first["symbols"] = t, names
+    return _first["symbols"]
+
+
+def _numbered(c: np.ndarray) -> np.ndarray:
+    t, names = _symbols()
+    out = t[np.minimum(c, 0xFFFF)]
+    for o in np.unique(c[c > 0xFFFF]).tolist():
+        out[c == o] = names.setdefault(symbol(chr(o)), len(names))
+    return out
+
 
 def _count(fields: list[str], lists: tuple[bool, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        wide = 1 << 20
         for b in batches:
+            texts: list[str] = []
             for f, many in zip(fields, lists):
-                for x in b.column(f).to_pylist():
-                    for t in (x or ()) if many else (x,):
-                        if t:
-                            t = plain(t)
-                            seen.update(zip("\n" + t, t + "\n"))
-        out: Counter = Counter()
-        for (a, b), n in seen.items():
-            p, q = symbol(a), symbol(b)
-            out[p, q] += n
-        if out:
-            yield pa.RecordBatch.from_pydict({"a": [k[0] for k in out], "b": [k[1] for k in out], "n": list(out.values())})
+                col = b.column(f).to_pylist()
+                texts += [t for x in col for t in x or () if t] if many else [x for x in col if x]
+            for i in np.flatnonzero(suspects(texts)):
+                texts[i] = plain(texts[i])
+            if texts:
+                s = _numbered(codes("\n" + "\n".join(texts) + "\n"))
+                pairs, n = np.unique(s[:-1] * wide + s[1:], return_counts=True)
+                for k, m in zip(pairs.tolist(), n.tolist()):
+                    seen[k] += m
+        if seen:
+            names = [*_symbols()[1]]
+            yield pa.RecordBatch.from_pydict({"a": [names[k // wide] for k in seen], "b": [names[k % wide] for k in seen], "n": list(seen.values())})
 
     return run
 
@@ -220,11 +301,21 @@ def normalized(rows: DataFrame, fields: list[str], list_fields: tuple[str, ...]
             hit: list[list[str]] = [[] for _ in range(b.num_rows)]
             for f, many in zip(fields, lists):
                 col = cols[f].to_pylist()
-                for i, x in enumerate(col):
-                    if any(n.affected(t) for t in (x or ())) if many else n.affected(x):
-                        hit[i].append(f)
-                new = [None if x is None else [n.of(t) for t in x] if many else n.of(x) for x in col]
-                cols[f] = pa.array(new, cols[f].type)
+                flat = [t or "" for x in col for t in x or ()] if many else [x or "" for x in col]
+                odd = np.flatnonzero(suspects(flat))
+                if not len(odd):
+                    continue
+                of = np.repeat(np.arange(len(col)), [len(x or ()) for x in col]) if many else None
+                for i in odd.tolist():
+                    k = int(of[i]) if many else i
+                    if n.affected(flat[i]) and hit[k][-1:] != [f]:
+                        hit[k].append(f)
+                    if not many:
+                        col[k] = n.of(flat[i])
+                if many:
+                    for k in np.unique(of[odd]).tolist():
+                        col[k] = [n.of(t) for t in col[k]]
+                cols[f] = pa.array(col, cols[f].type)
             cols["affected"] = pa.array(hit, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
