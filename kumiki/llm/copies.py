@@ -3,9 +3,9 @@
 1. Each row's fields stream through the skip-and-fold table into rolling polynomial hashes (two of 64 bits); the hashes of a
    list's parts are added, so their order is without effect. Only (id, fingerprint) rows are shuffled to count groups, with
    map-side combine.
-2. Groups of a bounded number (each at least a fixed share of all rows) are hot; their rows are salted, and the group's first
-   row is copied to every salt.
-3. Rows are hashed to tasks by (fingerprint, salt) and sorted there; each row is compared with its group's first row by two
+2. Groups of a bounded number (each at least a fixed share of all rows) are hot; their rows are salted before any shuffle of
+   whole rows, and the group's first row is copied to every salt.
+3. Rows of groups are hashed to tasks by (fingerprint, salt) and sorted there; each row is compared with its group's first row by two
    skipping pointers, one row at a time. Rows that differ in spite of equal fingerprints are grouped by a 256-bit digest.
 """
 
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumiki.llm import fold
-from kumiki.session import checkpointed, spread
+from kumiki.session import checkpointed, partitions_for, spread
 
 HOT_SHARE = 0.02
 HOT_LEAST = 50_000
+#: Rows of groups that a task compares.
+PER_TASK = 100_000
 
 
 def _fingerprints(fields: list[str], lists: tuple[bool, ...], counts: list[str], bits: int):
@@ -64,8 +66,8 @@ def _compare(fields: list[str], lists: tuple[bool, ...]):
         for b in batches:
             out: dict[str, list] = {"first": [], "rid": [], "digest": []}
             cols = [b.column(c).to_pylist() for c in fields]
-            for i, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("f1", "f2", "salt")))):
-                rid, row = b.column("rid")[i].as_py(), tuple(c[i] for c in cols)
+            keys = zip(*(b.column(c).to_pylist() for c in ("f1", "f2", "salt")))
+            for k, rid, row in zip(keys, b.column("rid").to_pylist(), zip(*cols)):
                 if k != key:
                     key, first, head = k, rid, row
                 elif rid != first:
@@ -105,18 +107,16 @@ def copy_pairs(
     least = max(hot_least, int(total * hot_share))
     # at most 1 / hot_share groups, each of that share of all rows in groups
     hot = F.broadcast(groups.where(F.col("n") >= least).select("f1", "f2", "first", F.ceil(F.col("n") / least).alias("salts")))
-    members = marked.join(groups.select("f1", "f2"), ["f1", "f2"], "left_semi")
-    salted = members.join(hot, ["f1", "f2"], "left").withColumn(
-        "salt",
-        F.explode(
-            F.when(F.col("salts").isNull(), F.array(F.lit(0).cast("long")))
-            .when(F.col("rid") == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-            .otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("salts"))))
-        ),
-    )
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    zero = F.lit(0).cast("long")
+    every = F.sequence(zero, F.col("salts") - 1)
+    salt = F.when(F.col("salts").isNull(), F.array(zero)).when(F.col("rid") == F.col("first"), every).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("salts"))))
+    salted = marked.join(hot, ["f1", "f2"], "left").withColumn("salt", F.explode(salt))
+    salts = F.when(F.col("n") >= least, F.sequence(zero, F.ceil(F.col("n") / least) - 1)).otherwise(F.array(zero))
+    wanted = groups.select("f1", "f2", F.explode(salts).alias("salt"))
+    n = partitions_for(total, PER_TASK, rows.sparkSession)
     sorted_ = (
-        salted.select("rid", *fields, "f1", "f2", "salt")
+        salted.join(wanted, ["f1", "f2", "salt"], "left_semi")
+        .select("rid", *fields, "f1", "f2", "salt")
         .repartition(n, "f1", "f2", "salt")
         .sortWithinPartitions("f1", "f2", "salt", "rid")
     )
