@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kumiki.llm.survivors import best_rows, fused
+from kumiki.llm.survivors import best_rows, fused, true_values
 from kumiki.session import table
 
 FIELDS = ["passage", "question", "options"]
@@ -16,9 +16,14 @@ def p6_records(spark, d):
     return fused(table(spark, d, "raw"), table(spark, d, "sources"), FIELDS, ("options",))
 
 
+def p6_values(spark, d):
+    """Every value judged true, not only the one that the built record shows."""
+    return true_values(table(spark, d, "raw"), FIELDS, ("options",))
+
+
 _F = r"regexp_replace(lower(coalesce({}, '')), '[\p{{Z}}\p{{P}}\p{{S}}\p{{C}}\s]', '', 'g')"
 _NONE = "none null nil nan na nocontent noexplanation notavailable tbd tba todo pending trống không khôngcó chưacó なし 無し 説明なし 解説なし 準備中".split()
-QUERIES = {"p6_found": p6_found, "p6_records": p6_records}
+QUERIES = {"p6_found": p6_found, "p6_records": p6_records, "p6_values": p6_values}
 ORACLES = {
     "p6_found": "WITH k AS (SELECT rid, crawled_at AS seen, -trust AS t, "
     + f"{_F.format('passage')} AS k0, {_F.format('question')} AS k1, list_sort(list_transform(coalesce(options, []), lambda o: {_F.format('o')})) AS k2, "
