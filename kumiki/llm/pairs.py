@@ -25,38 +25,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumiki.llm import fold
-from kumiki.llm.survivors import EMPTY_TALK
+from kumiki.llm.survivors import EMPTY_TALK, made_of
 from kumiki.session import checkpointed, spread
 
 ENDS_RARELY, GOES_ON = 0.02, 5
 #: A label alone is no content; as letters and digits in lower case.
 LABELS = "dịch bảndịch dịchnghĩa dịchcâu nghĩa ghichú giảithích chúthích note translation trans answer đápán trảlời câuhỏi đề đềbài question 問題 訳 翻訳 では".split()
+NOTHING = [*EMPTY_TALK, *LABELS]
 OPEN = dict(zip("（([{「『【〈《“‘«", "）)]}」』】〉》”’»"))
 CLOSE = {b: a for a, b in OPEN.items()}
+#: What the parser looks at: fences, quotation marks, tags and brackets.
+SIGNS = re.compile("```|[\"<" + re.escape("".join(OPEN) + "".join(CLOSE)) + "]")
+TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)((?:\s[^<>]*)?)(/?)(>?)")
 TERMINAL = ".。?？!！｡．"
 #: Vietnamese words that open a phrase and end none.
 DANGLING = set("và vì của với cho để rằng là thì mà nhưng nên hoặc hay bởi do tại từ đến ở trong ngoài trên dưới bằng như đã đang sẽ hãy những các một mỗi mọi nếu khi lúc tuy dù bị được cùng về theo".split()) - set("trong ngoài trên dưới về theo được đến hay cùng".split())
 VIETNAMESE = re.compile("[ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]", re.I)
+LATIN = re.compile("[A-Za-zÀ-ỿ]")
 JAPANESE = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ々〆ー"
+_JA = re.compile(f"[{JAPANESE}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 QUOTED = re.compile("「[^」]*」|『[^』]*』|“[^”]*”|\"[^\"]*\"|«[^»]*»|`[^`]*`")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 #: Vietnamese syllables in frequent use that have no mark, so that short plain sentences keep their language.
 PLAIN = set("anh em con cho trong khi theo nhau hai ba năm sau trung ga kinh xem nghe hay ai cao xa ra đi sao tin thang giao nhanh quan tham gia cam trang hoa ban chia tay thay chung chi du khu mua thi thu tra vui văn yên an bao cung dung giang hoan huy lao nam ngay nghi nhanh nhi phong qua san sinh thanh theo tiên tung vai xin".split())
 
-_SPEAKER = r"(?:tôi|mình|em|chúng tôi|chúng em|trợ lý(?: tự động| ảo| ai)?|ai|hệ thống|i|we)"
-_ACT = r"(?:dịch|trả lời|giải thích|giải đáp|đưa ra|cung cấp|giúp|hỗ trợ|thực hiện|xử lý|đáp ứng|phản hồi|bình luận|hoàn thành|trợ giúp)"
-REFUSAL = re.compile(
-    rf"(?<!\w)(?:{_SPEAKER})(?: (?:rất tiếc|xin lỗi|e rằng|hiện|hiện tại))*,? (?:(?:không|chưa) (?:thể|được phép|có quyền|có khả năng|đủ khả năng|tiện|biết cách)|từ chối|xin phép (?:không|từ chối)|đành từ chối) {_ACT}"
-    rf"|(?<!\w){_SPEAKER} (?:không|chưa) (?:có )?đủ (?:thông tin|dữ liệu|ngữ cảnh)"
-    r"|(?:nằm |vượt )(?:ngoài|quá) (?:khả năng|phạm vi|quyền hạn)(?: xử lý)? của (?:tôi|mình|trợ lý)"
-    r"|(?:không thể|chưa thể|từ chối) (?:hỗ trợ|đáp ứng|thực hiện|xử lý) yêu cầu|với tư cách (?:là )?(?:một )?(?:trợ lý|mô hình)"
-    r"|\b(?:i|we)(?:'m| am| are|’m)? (?:sorry,? (?:but )?)?(?:(?:i|we) )?(?:am |are )?(?:unable|not able|not allowed|can(?:no|')?t|cannot|can not|can’t|won't|must decline|decline) (?:to )?(?:help|assist|provide|comply|translate|answer|explain|fulfil|give|do|respond|offer|complete|discuss)"
-    r"|\bas an? (?:ai|(?:\w+ )?(?:assistant|language model))\b.{0,40}\b(?:cannot|can't|can’t|unable|not able)"
-    r"|^(?:i'm |i am |we are )?sorry,? (?:but )?(?:no |i |we |this |that )|\bno (?:explanation|translation|answer) (?:can|could) be (?:given|provided)"
-    r"|申し訳(?:あり|ござい)ません.{0,30}(?:でき|かね|控え)|(?:お答え|回答|翻訳|説明|お手伝い|対応)(?:することは|は|を)?(?:でき(?:ません|かね|ない)|いたしかね|しかね|控え)|回答を控え|お答えを控え"
-    r"|(?:抱歉|对不起|很遗憾).{0,20}(?:无法|不能)|죄송(?:합니다|하지만)|답변(?:할|드릴) 수 없|tut mir (?:leid|sehr leid)|kann (?:ich )?(?:leider )?nicht (?:helfen|übersetzen|beantworten)|je (?:suis désolé|ne peux pas)|maaf,? saya tidak",
-    re.I,
+#: The lexicon of the refusal grammar, phrases by category.
+LEXICON = {
+    # S who speaks, P a softening, D a denied ability, permission or will, A an act of answering, R a request
+    "S": "tôi|mình|em|chúng tôi|chúng em|trợ lý|trợ lý tự động|trợ lý ảo|trợ lý ai|ai|hệ thống|i|we|i'm|i’m|i am|we are|we're",
+    "P": "rất tiếc|xin lỗi|e rằng|hiện|hiện tại",
+    "D": "không thể|chưa thể|không được phép|chưa được phép|không có quyền|không có khả năng|không đủ khả năng|chưa đủ khả năng|không tiện|không biết cách|từ chối|xin phép không|xin phép từ chối|đành từ chối"
+    "|unable|unable to|not able to|not allowed to|can not|cannot|can't|can’t|won't|won’t|must decline|must decline to|decline|decline to",
+    "A": "dịch|trả lời|giải thích|giải đáp|đưa ra|cung cấp|giúp|hỗ trợ|thực hiện|xử lý|đáp ứng|phản hồi|bình luận|hoàn thành|trợ giúp"
+    "|help|assist|provide|comply|translate|answer|explain|fulfil|fulfill|give|do|respond|offer|complete|discuss|helfen|übersetzen|beantworten",
+    "R": "yêu cầu|yêu cầu này",
+    # L lack of knowledge, B beyond the powers of
+    "L": "không đủ thông tin|chưa đủ thông tin|không có đủ thông tin|chưa có đủ thông tin|không đủ dữ liệu|chưa đủ dữ liệu|không có đủ dữ liệu|chưa có đủ dữ liệu|không đủ ngữ cảnh|chưa đủ ngữ cảnh|không có đủ ngữ cảnh|chưa có đủ ngữ cảnh",
+    "B": "ngoài khả năng của|ngoài phạm vi của|ngoài quyền hạn của|quá khả năng của|quá phạm vi của|quá quyền hạn của|ngoài khả năng xử lý của|ngoài phạm vi xử lý của|quá khả năng xử lý của|quá phạm vi xử lý của",
+    # Z a speaker that is a tool; Q the same, which nobody writes but to decline
+    "Z": "as an ai|as a language model|as an assistant|as an ai assistant|as an ai language model|as an automated assistant|as a virtual assistant",
+    "Q": "với tư cách trợ lý|với tư cách là trợ lý|với tư cách một trợ lý|với tư cách là một trợ lý|với tư cách mô hình|với tư cách là mô hình|với tư cách một mô hình|với tư cách là một mô hình",
+    # E and F an English apology, T what may follow it, N what isn't given, G that it isn't
+    "E": "sorry",
+    "F": "sorry but",
+    "T": "no|this|that",
+    "N": "explanation|translation|answer",
+    "G": "can be given|could be given|can be provided|could be provided",
+    # K whole refusals of other languages, H a denial that only an act completes
+    "K": "tut mir leid|tut mir sehr leid|je suis désolé|je ne peux pas|maaf saya tidak|maaf, saya tidak",
+    "H": "kann nicht|kann leider nicht|kann ich nicht|kann ich leider nicht",
+}
+#: Productions over the categories; W stands for the beginning of a sentence, w for any other word, a comma for a pause.
+PRODUCTIONS = re.compile("S[PEF,]*S?[P,]*DA|S[P,]*L|BS|DAR|Q|Z[^W]{0,8}D|WS?(?:E,+|F,*)S|WS?[EF],*T|TNG|K|HA")
+#: The same for languages without spaces, as patterns: an apology, a denied act.
+DENIED = re.compile(
+    r"申し訳(?:あり|ござい)ません.{0,30}(?:でき|かね|控え)|(?:お答え|回答|翻訳|説明|お手伝い|対応)(?:することは|は|を)?(?:でき(?:ません|かね|ない)|いたしかね|しかね|控え)|回答を控え|お答えを控え"
+    r"|(?:抱歉|对不起|很遗憾).{0,20}(?:无法|不能)|죄송(?:합니다|하지만)|답변(?:할|드릴) 수 없"
 )
+_CATEGORY = {x: k for k, v in LEXICON.items() for x in v.split("|")}
+_PHRASE = re.compile(rf"(?<!\w)({'|'.join(re.escape(x) for x in sorted(_CATEGORY, key=len, reverse=True))})(?!\w)|([,，;:])|([.!?。！？\n])|(\w[\w'’]*)")
+_DENIES = re.compile(r"không|chưa|từ chối|quá |tư cách|ngoài |can|unable|not |won|decline|sorry|as an? |nicht|pas|tidak|xin lỗi|rất tiếc|désolé|maaf|leid|no ", re.I)
+
+
+def refuses(text: str) -> bool:
+    """Whether the refusal grammar derives a piece of the text. Words become categories, productions are found in their row."""
+    if DENIED.search(text):
+        return True
+    if not _DENIES.search(text):
+        return False
+    row = "".join(_CATEGORY[m[1]] if m[1] else ",Ww"[m.lastindex - 2] for m in _PHRASE.finditer(text.strip().lower()))
+    return PRODUCTIONS.search("W" + row) is not None
 
 
 def broken(text: str, options: int = 0) -> bool:
@@ -68,27 +107,18 @@ def broken(text: str, options: int = 0) -> bool:
         return True
     stack: list[str] = []
     i = 0
-    while i < len(s):
-        if s.startswith("```", i):
-            if stack and stack[-1] == "```":
-                stack.pop()
+    while m := SIGNS.search(s, i):
+        i, c = m.end(), m.group()
+        if c in ("```", '"'):
+            if c in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(c) :]
             else:
-                stack.append("```")
-            i += 3
-            continue
-        c = s[i]
-        if c in OPEN and not (c == "‘" and i and s[i - 1].isalnum()):
+                stack.append(c)
+        elif c in OPEN and not (c == "‘" and m.start() and s[m.start() - 1].isalnum()):
             stack.append(c)
-        elif c in CLOSE and stack and stack[-1] == CLOSE[c]:
-            stack.pop()
         elif c in CLOSE and CLOSE[c] in stack:  # crossed: what it closes and all above it
             del stack[len(stack) - 1 - stack[::-1].index(CLOSE[c]) :]
-        elif c == '"':
-            if '"' in stack:
-                del stack[len(stack) - 1 - stack[::-1].index('"') :]
-            else:
-                stack.append('"')
-        elif c == "<" and (m := re.match(r"<(/?)([A-Za-z][\w-]*)((?:\s[^<>]*)?)(/?)(>?)", s[i:])):
+        elif c == "<" and (m := TAG.match(s, m.start())):
             closing, tag, _, empty, end = m.groups()
             if not end:
                 stack.append("<")
@@ -97,8 +127,7 @@ def broken(text: str, options: int = 0) -> bool:
                     del stack[len(stack) - 1 - stack[::-1].index("<" + tag) :]
             elif not empty and tag.lower() not in ("br", "hr", "img", "p", "li", "wbr"):
                 stack.append("<" + tag)
-            i += m.end() - 1
-        i += 1
+            i = m.end()
     if stack:
         return True
     items = [int(x) for x in re.findall(r"(?:^|[/\n])\s*(\d{1,2})[.)]\s", s)]
@@ -164,37 +193,46 @@ def tiles(text: str, source: str, least: int = 5) -> int:
     return total
 
 
-def copied(text: str, question: str, options: list[str]) -> bool:
-    """Whether `text` is the question again, with no more than an option and a label beside it."""
-    t, q = fold.folded(text), fold.folded(question)
-    if len(q) < 4 or not t or len(t) > 3 * len(q) + 400:
+def coverable(text: str, source: str, least: int = 5) -> int:
+    """Characters of `text` inside a common piece of `least` characters: no tiling covers more."""
+    have = {source[j : j + least] for j in range(len(source) - least + 1)}
+    total = end = 0
+    for i in range(len(text) - least + 1):
+        if text[i : i + least] in have:
+            total += i + least - max(end, i)
+            end = i + least
+    return total
+
+
+def copied(t: str, q: str, options: list[str]) -> bool:
+    """Whether a text is the question again, with no more than an option and a label beside it; all as letters and digits."""
+    if len(q) < 4 or not t:
         return False
     if q in t:
         rest = t.replace(q, "", 1)
-        return len(rest) <= 12 or any(len(rest.replace(o, "", 1)) <= 12 for o in map(fold.folded, options) if o and o in rest)
+        return len(rest) <= 12 or any(len(rest.replace(o, "", 1)) <= 12 for o in options if o and o in rest)
+    extra = max([0, *(len(o) for o in options if o and o in t)])
+    spare = max(4, 0.1 * len(t))
+    if len(t) - len(q) - extra > spare or len(t) >= 5 and len(q) >= 5 and coverable(q, t) < 0.75 * len(q):
+        return False  # tiles can't reach what is asked below
     both = tiles(t, q)
-    if both < 0.75 * len(q):
-        return False
-    rest = len(t) - both
-    extra = max([0, *(len(o) for o in map(fold.folded, options) if o and o in t)])
-    return rest - extra <= max(4, 0.1 * len(t))
+    return both >= 0.75 * len(q) and len(t) - both - extra <= spare
 
 
 def foreign(text: str) -> bool:
     """Whether a text, quotations aside, is in a language other than Vietnamese. Texts without words are in none."""
     bare = QUOTED.sub(" ", text)
-    latin = [w for w in re.findall(r"[^\W\d_]+", re.sub(f"[{JAPANESE}]+", " ", bare))]
-    other = [w for w in latin if not re.match(r"[A-Za-zÀ-ỿ]", w)]
-    latin = [w for w in latin if re.match(r"[A-Za-zÀ-ỿ]", w)]
-    if sum(map(len, other)) > sum(len(w) for w in latin if VIETNAMESE.search(w)):
+    japanese = len(_JA.findall(bare))
+    every = _LETTERS.findall(_JA.sub(" ", bare) if japanese else bare)
+    latin = [w for w in every if LATIN.match(w)]
+    marks = [VIETNAMESE.search(w) is not None for w in latin]
+    if len(latin) < len(every) and sum(len(w) for w in every if not LATIN.match(w)) > sum(len(w) for w, m in zip(latin, marks) if m):
         return True
-    weighed = [w for w in latin if VIETNAMESE.search(w) or not w[0].isupper()]
-    marked = sum(bool(VIETNAMESE.search(w)) or w in PLAIN for w in weighed)
-    strong = sum(bool(VIETNAMESE.search(w)) for w in weighed)
-    japanese = len(re.findall(f"[{JAPANESE}]", bare))
+    weighed = [(w, m) for w, m in zip(latin, marks) if m or not w[0].isupper()]
+    strong = sum(m for _, m in weighed)
     if not strong:
         return japanese > 0 or len(latin) > 1 and sum(map(len, latin)) > 6
-    if len(weighed) >= 4 and marked < 0.45 * len(weighed):
+    if len(weighed) >= 4 and sum(m or w in PLAIN for w, m in weighed) < 0.45 * len(weighed):
         return True
     return japanese > 12 and len(latin) < 3 and strong < 2
 
@@ -205,32 +243,41 @@ def words(text: str) -> list[str]:
 
 def judge(text: str | None, question: str, options: list[str], must: bool) -> str | None:
     """The defect of one field, 'open?' where its ending must be weighed, or None. `must`: the field may not be empty."""
-    f = fold.folded(text)
-    if not f or len(f) <= 60 and re.fullmatch(f"(?:{'|'.join(map(re.escape, [*EMPTY_TALK, *LABELS]))})+", f):
+    return _judge(text, fold.folded(text), fold.folded(question), [fold.folded(o) for o in options], must)
+
+
+def _judge(text: str | None, f: str, question: str, options: list[str], must: bool) -> str | None:
+    """`judge`, with the letters and digits of the text, the question and the options."""
+    if not f or made_of(f, NOTHING):
         return "empty" if must else None
-    if REFUSAL.search(text.strip()):
+    if refuses(text):
         return "refusal"
-    if copied(text, question, options):
+    if copied(f, question, options):
         return "copy"
     if foreign(text):
         return "language"
     if broken(text, len(options)):
         return "truncated"
     s = text.rstrip().rstrip("」』”\"）)]*_ ")
-    if not s or s[-1] in TERMINAL or not s[-1].isalnum() or re.search(f"[{JAPANESE}\\d]$", s):
+    if not s or s[-1] in TERMINAL or not s[-1].isalnum() or s[-1].isdigit() or _JA.match(s[-1]):
         return None
-    return "truncated" if words(s)[-1] in DANGLING else "open?"
+    return "truncated" if words(s[-200:] if " " in s[-200:-100] else s)[-1] in DANGLING else "open?"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {"oid": [], "field": [], "defect": [], "w1": [], "w2": [], "short": []}
-        for oid, trans, note, q, opts in zip(*(b.column(c).to_pylist() for c in ("oid", "trans", "note", "question", "options"))):
-            for field, text in enumerate((trans, note)):
-                d = judge(text, q or "", [o for o in opts or () if o], field == 0)
+        col = {c: b.column(c).to_pylist() for c in ("oid", "trans", "note", "question", "options")}
+        lists = [[o for o in x or () if o] for x in col["options"]]
+        every = fold.folded_many([*col["trans"], *col["note"], *col["question"], *(o for x in lists for o in x)])
+        n, at = b.num_rows, 3 * b.num_rows
+        for i, oid in enumerate(col["oid"]):
+            opts, at = every[at : at + len(lists[i])], at + len(lists[i])
+            for field, text in enumerate((col["trans"][i], col["note"][i])):
+                d = _judge(text, every[field * n + i], every[2 * n + i], opts, field == 0)
                 if d:
                     tail = (text or "").rstrip().rstrip("」』”\"）)]*_ ")
-                    last = ["", "", *words(tail)][-2:] if d == "open?" else (None, None)
+                    last = ["", "", *words(tail[-200:] if " " in tail[-200:-100] else tail)][-2:] if d == "open?" else (None, None)
                     for k, v in zip(out, (oid, field, d, *last, d == "open?" and len(last[1]) < 5 and tail.endswith(last[1]))):
                         out[k].append(v)
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
@@ -276,7 +323,7 @@ def defects(answers: DataFrame, prompts: DataFrame) -> DataFrame:
     seen = checkpointed(spread(rows, "oid").mapInArrow(_judged, "oid long, field int, defect string, w1 string, w2 string, short boolean"))
     unsure = seen.where("defect = 'open?'")
     counts = spread(rows.select("trans", "note")).mapInArrow(_endings, "w1 string, w2 string, ends long, goes long, bare long")
-    counts = counts.groupBy("w1", "w2").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"), F.sum("bare").alias("bare"))
+    counts = checkpointed(counts.groupBy("w1", "w2").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"), F.sum("bare").alias("bare")))
     two = counts.where("w1 IS NOT NULL").drop("bare")
     one = counts.where("w1 IS NULL").select("w2", (F.col("ends") + F.col("goes") - F.col("bare")).alias("whole"), "bare")
     cut = (

@@ -282,6 +282,25 @@ def test_defects_of_a_text(text, defect):
     assert pairs.judge(text, "駅の前で友だちを待っています。", ["待つ", "来る"], True) == defect
 
 
+@pytest.mark.parametrize(
+    "text,declines",
+    [("Tôi xin lỗi, tôi không thể dịch câu này.", True), ("Xin lỗi, tôi đến muộn.", False), ("Với tư cách là một giáo viên, anh ấy nói", False), ("Với tư cách là một trợ lý, tôi", True),
+     ("I'm sorry, but I can't help with that.", True), ("I am sorry I was late.", False), ("As an AI language model, I cannot", True), ("Anh ấy không thể dịch", False),
+     ("Việc này nằm ngoài khả năng của tôi", True), ("Không thể hỗ trợ yêu cầu này", True), ("申し訳ありませんが、お答えできません", True), ("Leider kann ich nicht helfen", True), ("", False)],
+)
+def test_refusal_grammar(text, declines):
+    assert pairs.refuses(text) == declines
+
+
+def test_fillers_of_any_length():
+    assert survivors.says_nothing("N/A " * 500) and not survivors.says_nothing("N/A " * 500 + "x") and survivors.says_nothing("。。。")
+
+
+def test_long_padding_is_no_copy():
+    q = "".join(chr(0x4E00 + i) for i in range(60))
+    assert pairs.copied(q, q, []) and not pairs.copied(q + "đ" * 600, q, []) and pairs.coverable(q, q[:30] + "x" + q[30:]) == 60
+
+
 def test_defects(spark):
     a = [(1, "x", "Tôi đang đợi bạn.", None), (2, "y", "Tôi đang đợi bạn.", "-"), (3, None, None, "駅で待つ"), (4, "x", "Tôi đang đợi b", None)] + [(10 + i, "x", "Tôi đang đợi bạn ở ga.", None) for i in range(9)]
     p = [("x", "駅で待つ", ["a"], D(2024, 1, 1)), ("x", "駅で待つ。", ["a"], None), (None, "z", None, None)]
@@ -409,7 +428,7 @@ def topic_space(spark):
     return f, blocks, topics.Weighing(weight, 12)
 
 
-def test_a_space_settles_on_the_leading_singular_vectors(topic_space):
+def test_a_space_settles_on_the_leading_singular_vectors(topic_space, monkeypatch):
     f, blocks, w = topic_space
     rows = []
     for x in blocks:
@@ -418,19 +437,20 @@ def test_a_space_settles_on_the_leading_singular_vectors(topic_space):
         np.add.at(a, (x.doc[sentence], at), 1.0)
         rows.append(a / np.sqrt(np.maximum(a.sum(1, keepdims=True), 1e-12)))
     best = np.linalg.svd(np.concatenate(rows), compute_uv=False)[:4]
-    for near in (None, np.random.default_rng(1).random((topics.BUCKETS, 4))):
-        topics._space(f, w, near)
+    for first in (1, 20):
+        monkeypatch.setattr(topics, "START", first)
+        topics._space(f, w)
         assert np.allclose(w.vectors.T @ w.vectors, np.eye(12), atol=1e-3)  # all weights are 1
         got = np.linalg.svd(np.concatenate(rows) @ w.vectors, compute_uv=False)[:4]
         assert (got > 0.99 * best).all()
         z = sum(a.T @ (a @ w.vectors) for a in rows)
-        assert topics._kept(w.vectors.astype(np.float64), z) > 0.99  # one more pass leaves the subspace as it is
+        assert topics.Iteration(w.vectors).advance(z)  # one more pass leaves the subspace as it is
 
 
 def test_centroids_move_until_few_sentences_change(topic_space):
     f, blocks, w = topic_space
     topics._space(f, w)
-    c = topics._centroids(f, w, lambda x: x.targets(6)[x.doc] if any(x.labels) else None, 6)
+    c = topics._centroids(f, w, lambda x: (x.labelled(), x.labelled().targets(6)[x.labelled().doc]), 6)
     sums, near = np.zeros_like(c, dtype=np.float64), []
     for x in blocks:
         e, _ = topics._embedded(x, w)
@@ -442,6 +462,25 @@ def test_centroids_move_until_few_sentences_change(topic_space):
     assert changed <= 0.005 * sum(map(len, near))
 
 
+def test_labelled_part_of_a_block(topic_space):
+    _, blocks, _ = topic_space
+    for x in blocks:
+        y = x.labelled()
+        on = [bool(k) for k in x.labels]
+        assert y.n == sum(on) and y.sentences == x.per[on].sum() and y.ids == [i for i, k in zip(x.ids, on) if k]
+        want = [x.term[x.doc[x.sentence] == d].tolist() for d in np.flatnonzero(on)]
+        assert [y.term[y.doc[y.sentence] == d].tolist() for d in range(y.n)] == want and (np.diff(y.sentence) >= 0).all()
+
+
+def test_sentences_of_texts():
+    """Terms, sizes and scripts of sentences against a plain reading, one sentence at a time."""
+    texts = ["a b. c d e!", None, "", "漢字テストです。<b>x</b> ơi là", "...", "ａｂ １．５ cd\x00\x01ef", "one"]
+    per, sizes, kinds, terms = topics.Terms().sentences(texts)
+    assert per.tolist() == [2, 0, 0, 3, 0, 1, 1] and sizes.tolist() == [3, 5, 3, 1, 3, 5, 1] and kinds.tolist() == [2, 2, 0, 2, 1, 2, 2]
+    alone = [t for x in texts if x for t in topics.Terms().sentences([x])[3].tolist()]
+    assert terms.tolist() == alone and terms.min() >= 0 and terms.max() < topics.BUCKETS
+
+
 def test_niche_words_decide_at_every_size(spark):
     niche = {"law": "flumen ordax vintel", "music": "sorbet kalimba trovan"}
     docs, labels = [], []
