@@ -69,11 +69,29 @@ def grade(answers: DataFrame, key: DataFrame) -> DataFrame:
     return answers.join(key, "qid").withColumn("ok", F.coalesce(F.col("given") == F.col("answer"), F.lit(False)))
 
 
+def review(graded: DataFrame, flagged: DataFrame) -> DataFrame:
+    """FLT12: graded answers with `shown`, one row for each list that shows them: all, wrong, right and flag (`flagged` has qid)."""
+    f = flagged.select(F.col("qid").alias("_q")).distinct()
+    lists = F.array(F.lit("all"), F.when(F.col("ok"), "right").otherwise("wrong"), F.when(F.col("_q").isNotNull(), F.lit("flag")))
+    j = graded.join(f, F.expr("qid = _q"), "left")
+    return j.withColumn("shown", F.explode(F.filter(lists, lambda x: x.isNotNull()))).drop("_q")
+
+
 def session_scores(graded: DataFrame, elapsed: DataFrame) -> DataFrame:
-    """AGG6: score of each session, its counts by section, and seconds for each question (elapsed time over questions)."""
-    s = graded.groupBy("session", "section").agg(F.count("*").alias("n"), F.count_if("ok").alias("c"))
-    by = F.array_sort(F.collect_list(F.struct("section", "c", "n")))  # at most one entry a section
-    t = s.groupBy("session").agg(F.sum("n").alias("total"), F.sum("c").alias("correct"), by.alias("sections"))
+    """AGG6: score of each session, its counts by section and by type, and seconds for each question (elapsed time over questions)."""
+    s = graded.groupBy("session", "section", "type").agg(F.count("*").alias("n"), F.count_if("ok").alias("c"))
+    types = F.array_sort(F.collect_list(F.struct("type", "section", "c", "n")))  # at most one entry a type and section
+    t = s.groupBy("session").agg(F.sum("n").alias("total"), F.sum("c").alias("correct"), types.alias("x"))
+
+    def summed(key: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("x", lambda e: e[key])))
+
+        def total(k: Column, f: str) -> Column:
+            return F.aggregate(F.filter("x", lambda e: e[key] == k), F.lit(0).cast("long"), lambda a, e: a + e[f])
+
+        return F.transform(names, lambda k: F.struct(k.alias(key), total(k, "c").alias("c"), total(k, "n").alias("n")))
+
+    t = t.select("session", "total", "correct", summed("section").alias("sections"), summed("type").alias("types"))
     return t.join(elapsed, "session").withColumn("secs_each", F.floor(F.col("elapsed") / F.col("total") * 1000 + 0.5) / 1000)
 
 
@@ -88,10 +106,22 @@ def estimates(graded: DataFrame) -> DataFrame:
 
 
 def time_spent(attempts: DataFrame, most: int = 300) -> DataFrame:
-    """WIN11: seconds since the device's previous answer, at most `most`; null for the first."""
+    """WIN11: seconds since the device's previous answer, at most `most`; 0 for the first."""
     w = Window.partitionBy("device").orderBy("ts", "attempt")
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    return attempts.select("attempt", F.least(F.lit(float(most)), gap / 1e6).alias("spent"))
+    return attempts.select("attempt", F.least(F.lit(float(most)), F.coalesce(gap / 1e6, F.lit(0.0))).alias("spent"))
+
+
+def recent(history: DataFrame, by: list[str], order: list[Column], cap: int = 300) -> DataFrame:
+    """TOP3: the newest `cap` sessions of each owner with `place` (1 is the newest) and the places in the lists shown: home (3),
+    chart (12, oldest first) and list (60); null where a list doesn't show the session."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    h = history.withColumn("place", place).where(F.col("place") <= cap)
+    shown = h.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.least(F.count("*"), F.lit(12)).cast("int").alias("_n"))
+    h = h.join(shown, F.expr(" AND ".join(f"`{c}` <=> `_{c}`" for c in by)))
+    return h.select(
+        *history.columns, "place", F.when(F.col("place") <= 3, F.col("place")).alias("home"), F.when(F.col("place") <= 12, F.col("_n") + 1 - F.col("place")).alias("chart"), F.when(F.col("place") <= 60, F.col("place")).alias("list")
+    )
 
 
 def lockouts(failures: DataFrame, gap_s: int, most: int) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumiki.functions.scalars import draw
+from kumiki.operators import srs
+from kumiki.operators.quality import numbered
+
+#: Parts into which a type's groups are spread before they are ranked.
+SHARDS = 64
 
 
 def staleness(c: Column, w: Column) -> Column:
@@ -32,19 +37,57 @@ def paper(items: DataFrame, stats: DataFrame, blueprint: DataFrame, seed: str, s
     """TOP6, TOP7: a paper: of each type as many items as the blueprint wants, freshest first; passages whole.
 
     `items` has qid, type, tier, suspect, passage_id; `blueprint` type, want, passage. Passage groups are taken while fewer
-    items than wanted are. Before ranking, each type is cut to its best groups by an aggregation, so no task sorts a type.
+    items than wanted are. Each type is spread over SHARDS parts, each of which keeps its best groups, so no task ranks a type.
     """
     p = fresh(_pooled(items, blueprint, scale), stats)
     p = p.withColumn("grp", F.when(F.col("whole"), F.coalesce("passage_id", "qid")).otherwise(F.col("qid")))
     g = p.groupBy("type", "wanted", "grp").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
-    g = g.withColumn("place", F.col("m") + draw(seed, F.col("grp")) * 0.5)
-    w = Window.partitionBy("type").orderBy("place", "grp")
-    best = g.withColumn("k", F.row_number().over(w)).where("k <= wanted")  # each group has an item, so more are never needed
+    g = g.withColumn("place", F.col("m") + draw(seed, F.col("grp")) * 0.5).withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(SHARDS)))
+    shard, w = Window.partitionBy("type", "shard").orderBy("place", "grp"), Window.partitionBy("type").orderBy("place", "grp")
+    few = g.withColumn("k", F.row_number().over(shard)).where("k <= wanted")  # each group has an item, so more are never needed
+    best = few.withColumn("k", F.row_number().over(w)).where("k <= wanted")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = best.withColumn("before", before).where("before < wanted").select(F.col("type").alias("ty"), F.col("grp").alias("gr"), "k")
     return p.join(taken, F.expr("type = ty AND grp = gr")).select("type", "qid", "grp", "k")
 
 
+def deck(points: DataFrame, cards: DataFrame, mode: str, today: Column, limit: int = 0, group: str = "", official: bool = False, seed: str = "") -> DataFrame:
+    """TOP5: (id, place): one learner's deck: due (earliest first), new (no card yet; official: by exam frequency first, then by
+    number of items), weak (lapses, not yet known, most lapses first), or all points in a drawn order; `limit` 0 means all.
+
+    `points` has id, grp, n and exams (official exams); `cards` one row an id with box, due, reps, lapses. Equals go by id.
+    """
+    p = points.where(F.col("grp") == group) if group else points
+    p = p.where("exams > 0") if official else p
+    c = cards.select(F.col("id").alias("_id"), "box", "due", "lapses")
+    if mode == "due":
+        d, order = p.join(c, F.expr("id = _id")).where(F.col("due") <= today), [F.col("due"), F.col("id")]
+    elif mode == "new":
+        d, order = p.join(c, F.expr("id = _id"), "left_anti"), [*([-F.col("exams")] if official else []), -F.col("n"), F.col("id")]
+    elif mode == "weak":
+        d, order = p.join(c, F.expr("id = _id")).where("lapses > 0 AND box < 4"), [-F.col("lapses"), F.col("id")]
+    else:
+        d, order = p, [draw(seed, F.col("id").cast("string")), F.col("id")]
+    if limit:
+        return d.orderBy(*order).limit(limit).select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return numbered(d, [], order).select("id", "place")
+
+
+def quiz(points: DataFrame, cards: DataFrame, scope: str, seed: str, often: int = 10) -> DataFrame:
+    """TOP13: (id, kind): the points of a scope (all, weak: not known, freq: in `often` official exams or more) with the kind of
+    question drawn for each: p2m, m2p, and twice as likely ex2p where the point has examples.
+
+    `points` has id, exams and examples (their number); `cards` as in `deck`.
+    """
+    if scope == "weak":
+        known = cards.where(srs.status(F.col("reps"), F.col("box")) == "known").select(F.col("id").alias("_id"))
+        points = points.join(known, F.expr("id = _id"), "left_anti")
+    elif scope == "freq":
+        points = points.where(F.col("exams") >= often)
+    kinds = F.when(F.col("examples") > 0, F.array(*map(F.lit, ("p2m", "m2p", "ex2p", "ex2p")))).otherwise(F.array(F.lit("p2m"), F.lit("m2p")))
+    return points.select("id", F.get(kinds, F.floor(draw(seed, F.col("id").cast("string")) * F.size(kinds)).cast("int")).alias("kind"))
+
+
 def drill(items: DataFrame, stats: DataFrame, seed: str, count: int, strategy: str = "mixed") -> DataFrame:
     """TOP9: `count` items without passage: unseen ones if there are enough, missed ones if there are any, or the best 3 * count."""
     p = fresh(items.where("NOT coalesce(suspect, false) AND passage_id IS NULL"), stats).join(stats.select(F.col("qid").alias("q"), "w"), F.expr("qid = q"), "left")

@@ -68,7 +68,8 @@ def blob_ok(rev: Column, blob: Column, pattern: str, most: int = 3_500_000) -> C
 
 
 def _ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """`df` ranged over tasks by group and order, with `_p`, the number of each row's part, and `_o0`, `_o1`, ... the order.
+    """`df` ranged over tasks by group and order, with `_p`, the number of each row's part, and `_o0`, `_o1`, ... the order
+    (ascending; numbers are negated for the other way).
 
     A group of any size is cut into parts of a task's size; what goes over the parts' borders is taken from a table of parts.
     """

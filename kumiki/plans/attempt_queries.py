@@ -78,12 +78,15 @@ def win2(spark, d):
     return A.streaks(attempts(spark, d), F.lit(t))
 
 
-@R.add("agg6_sessions", f"WITH {GRADED}, x AS (SELECT session, section, count(*) AS n, count_if(ok) AS c FROM g GROUP BY ALL), t AS (SELECT session, sum(n) AS total, sum(c) AS correct, string_agg(section || ':' || c || '/' || n, ' ' ORDER BY section) AS sections FROM x GROUP BY session) SELECT session, total, correct, sections, floor(o_totalprice / total * 1000 + 0.5) / 1000 AS secs_each FROM t JOIN orders ON o_orderkey = session")
+@R.add("agg6_sessions", f"WITH {GRADED}, x AS (SELECT session, section, count(*) AS n, count_if(ok) AS c FROM g GROUP BY ALL), y AS (SELECT session, type, count(*) AS n, count_if(ok) AS c FROM g GROUP BY ALL), t AS (SELECT session, sum(n) AS total, sum(c) AS correct, string_agg(section || ':' || c || '/' || n, ' ' ORDER BY section) AS sections FROM x GROUP BY session), u AS (SELECT session, string_agg(type || ':' || c || '/' || n, ' ' ORDER BY type) AS types FROM y GROUP BY session) SELECT session, total, correct, sections, types, floor(o_totalprice / total * 1000 + 0.5) / 1000 AS secs_each FROM t JOIN u USING (session) JOIN orders ON o_orderkey = session")
 def agg6(spark, d):
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("session"), F.col("o_totalprice").alias("elapsed"))
     s = A.session_scores(graded(spark, d), e)
-    text = F.array_join(F.transform("sections", lambda x: F.concat(x["section"], F.lit(":"), x["c"].cast("string"), F.lit("/"), x["n"].cast("string"))), " ")
-    return s.select("session", "total", "correct", text.alias("sections"), "secs_each")
+
+    def text(c: str):
+        return F.array_join(F.transform(c + "s", lambda x: F.concat(x[c], F.lit(":"), x["c"].cast("string"), F.lit("/"), x["n"].cast("string"))), " ").alias(c + "s")
+
+    return s.select("session", "total", "correct", text("section"), text("type"), "secs_each")
 
 
 EST = f"{GRADED}, p AS (SELECT session, CASE WHEN section IN ('moji', 'bunpo') THEN 'language' WHEN section = 'dokkai' THEN 'reading' ELSE 'listening' END AS part, ok FROM g), e AS (SELECT session, " + ", ".join(f"CAST(floor(60 * count_if(ok AND part = '{p}') / nullif(count_if(part = '{p}'), 0) + 0.5) AS INT) AS {p}" for p in ("language", "reading", "listening")) + " FROM p GROUP BY session)"
@@ -101,10 +104,10 @@ R.add("agg24_progress", "SELECT l_orderkey AS session, count_if(l_returnflag <>
 R.add("top2_recommended", f"WITH {GRADED}, t AS (SELECT session, type, count(*) AS n, count_if(ok) AS c FROM g GROUP BY ALL) SELECT session, type, n, {PCT.format(n='n', c='c')} AS pct FROM t WHERE n >= 3 AND {PCT.format(n='n', c='c')} < 60")(
     lambda spark, d: graded(spark, d).groupBy("session", "type").agg(F.count("*").alias("n"), F.count_if("ok").alias("c")).withColumn("pct", S.pct(F.col("c"), F.col("n"))).where("n >= 3 AND pct < 60").drop("c")
 )
-R.add("top3_history", "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")(
-    lambda spark, d: table(spark, d, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).where("k <= 3").select("o_custkey", "o_orderkey", "o_orderdate")
+R.add("top3_history", "WITH h AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders), n AS (SELECT o_custkey, least(count(*), 12) AS shown FROM h GROUP BY ALL) SELECT h.*, CASE WHEN place <= 3 THEN place END AS home, CASE WHEN place <= 12 THEN shown + 1 - place END AS chart, CASE WHEN place <= 60 THEN place END AS list FROM h JOIN n USING (o_custkey) WHERE place <= 300")(
+    lambda spark, d: A.recent(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
 )
-R.add("win11_time_spent", f"WITH {ATT} SELECT attempt, least(300.0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6) AS spent FROM a WINDOW w AS (PARTITION BY device ORDER BY ts, attempt)".replace("least(300.0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6)", "CASE WHEN lag(ts) OVER w IS NULL THEN 300.0 ELSE least(300.0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6) END"))(
+R.add("win11_time_spent", f"WITH {ATT}, g AS (SELECT attempt, epoch_us(ts) AS t, epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts, attempt)) AS before FROM a) SELECT attempt, CASE WHEN before IS NULL THEN 0.0 WHEN t - before > 300000000 THEN 300.0 ELSE (t - before) / 1e6 END AS spent FROM g")(
     lambda spark, d: A.time_spent(attempts(spark, d))
 )
 R.add("win4_number_before", "SELECT l_orderkey, l_linenumber, coalesce(CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM lineitem")(
@@ -113,6 +116,10 @@ R.add("win4_number_before", "SELECT l_orderkey, l_linenumber, coalesce(CAST(sum(
 R.add("api5_score_pivot", f"WITH {GRADED}, t AS (SELECT session, section, {PCT.format(n='count(*)', c='count_if(ok)')} AS pct FROM g GROUP BY ALL) SELECT session, max(pct) FILTER (section = 'moji') AS moji, max(pct) FILTER (section = 'bunpo') AS bunpo, max(pct) FILTER (section = 'dokkai') AS dokkai, max(pct) FILTER (section = 'choukai') AS choukai FROM t GROUP BY session")(
     lambda spark, d: graded(spark, d).groupBy("session").pivot("section", ["moji", "bunpo", "dokkai", "choukai"]).agg(S.pct(F.count_if("ok"), F.count(F.lit(1))))
 )
+R.add("api5_series", f"WITH {GRADED} SELECT section, count(DISTINCT session) AS points FROM g GROUP BY section")(
+    # sections without a score have no series
+    lambda spark, d: graded(spark, d).groupBy("session").pivot("section", ["moji", "bunpo", "dokkai", "choukai"]).agg(S.pct(F.count_if("ok"), F.count(F.lit(1)))).unpivot("session", ["moji", "bunpo", "dokkai", "choukai"], "section", "pct").where("pct IS NOT NULL").groupBy("section").agg(F.count("*").alias("points"))
+)
 R.add("api4_rings", f"WITH {GRADED}, t AS (SELECT section, {PCT.format(n='count(*)', c='count_if(ok)')} AS pct FROM g GROUP BY section) SELECT section, pct, CASE WHEN pct >= 75 THEN 'good' WHEN pct >= 55 THEN 'warn' ELSE 'bad' END AS tone FROM t")(
     lambda spark, d: graded(spark, d).groupBy("section").agg(S.pct(F.count_if("ok"), F.count("*")).alias("pct")).withColumn("tone", F.when(F.col("pct") >= 75, "good").when(F.col("pct") >= 55, "warn").otherwise("bad"))
 )

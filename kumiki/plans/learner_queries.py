@@ -40,6 +40,14 @@ def cards(spark, d):
     return S.cards(card_events(spark, d), ["user_id", "k"])
 
 
+#: One learner's cards: of each key the card of the last user.
+ONE_CARD = "cx AS (SELECT k AS id, arg_max({'box': box, 'due': due, 'reps': reps, 'lapses': lapses}, user_id) AS x FROM l GROUP BY k), cd AS (SELECT id, x.box AS box, x.due AS due, x.reps AS reps, x.lapses AS lapses FROM cx)"
+
+
+def one_learner(spark, d):
+    return cards(spark, d).groupBy(F.col("k").alias("id")).agg(F.max_by(F.struct("box", "due", "reps", "lapses"), "user_id").alias("x")).select("id", "x.*")
+
+
 R.add("srs2_cards", LAST + " SELECT user_id, k, box, due, reps, lapses FROM l")(lambda spark, d: cards(spark, d).select("user_id", "k", "box", "due", "reps", "lapses"))
 DUE = "DATE '2024-01-25'"
 R.add("srs5_due", LAST + f" SELECT user_id, k, due, row_number() OVER (PARTITION BY user_id ORDER BY due, k) AS place FROM l WHERE due <= {DUE} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY due, k) <= 50")(
@@ -137,7 +145,6 @@ R.add("agg14_state_summary", f"WITH {SIDES} SELECT coll, count(*) AS keys, count
 DRAW = "CAST(('0x' || substr(md5('{seed}|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
 BP = "bp(type, want, passage) AS (VALUES " + ", ".join(f"('{t}', {w}, {str(p).lower()})" for t, _, _, w, p in dims.TYPES if w) + ")"
 ST = "st AS (SELECT id AS qid, count(*) AS n, count(*) FILTER (answer = 0) AS c, count_if(coalesce(answer, 1) <> 0) AS w FROM raw GROUP BY id)"
-ITEM = "it AS (SELECT id AS qid, any_value(type) AS type, min(tier) AS tier, bool_or(coalesce(suspect, false)) AS suspect, min(passage_id) AS passage_id FROM (SELECT DISTINCT id, type, tier, suspect, passage_id FROM bank) GROUP BY id)"
 ITEM = "it AS (SELECT id AS qid, min(type) AS type, min(tier) AS tier, bool_or(coalesce(suspect, false)) AS suspect, min(passage_id) AS passage_id FROM bank GROUP BY id)"
 SCORE = "CASE WHEN st.qid IS NULL THEN 0 WHEN w > 0 AND c = 0 THEN 1 ELSE 2 + c END"
 
@@ -195,9 +202,24 @@ def top12(spark, d):
     return C.distractors(p, "d")
 
 
-R.add("top13_quiz_scope", "SELECT p_partkey, CASE CAST(('0x' || substr(md5('q|' || p_partkey), 1, 8)) AS BIGINT) % 4 WHEN 0 THEN 'p2m' WHEN 1 THEN 'm2p' ELSE 'ex2p' END AS kind FROM part WHERE p_size >= 10")(
-    lambda spark, d: table(spark, d, "part").where("p_size >= 10").select("p_partkey", F.element_at(F.array(*map(F.lit, ("p2m", "m2p", "ex2p", "ex2p"))), (F.conv(F.substring(F.md5(F.concat(F.lit("q|"), F.col("p_partkey").cast("string"))), 1, 8), 16, 10).cast("long") % 4 + 1).cast("int")).alias("kind"))
-)
+POINTS = "pz AS (SELECT p_partkey AS id, p_brand AS grp, p_size AS n, length(p_name) AS exams, length(p_name) - length(replace(p_name, 'e', '')) AS examples FROM part)"
+
+
+def points(spark, d):
+    e = F.length("p_name") - F.length(F.replace("p_name", F.lit("e"), F.lit("")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.col("p_size").alias("n"), F.length("p_name").alias("exams"), e.alias("examples"))
+
+
+_NUMBER = DRAW.format(seed="quiz", key="CAST(id AS VARCHAR)")
+
+
+@R.add("top13_quiz_scope", LAST + f", {ONE_CARD}, {POINTS}, k AS (SELECT *, CASE WHEN examples > 0 THEN ['p2m', 'm2p', 'ex2p', 'ex2p'] ELSE ['p2m', 'm2p'] END AS ks FROM pz), q AS (SELECT id, exams, ks[CAST(floor({_NUMBER} * len(ks)) AS INT) + 1] AS kind FROM k) SELECT 'all' AS scope, id, kind FROM q UNION ALL SELECT 'weak', id, kind FROM q WHERE id NOT IN (SELECT id FROM cd WHERE reps > 0 AND box >= 4) UNION ALL SELECT 'freq', id, kind FROM q WHERE exams >= 10")
+def top13(spark, d):
+    p, c, out = points(spark, d), one_learner(spark, d), None
+    for scope in ("all", "weak", "freq"):
+        got = C.quiz(p, c, scope, "quiz").select(F.lit(scope).alias("scope"), "id", "kind")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @R.add("top14_matching", "WITH p AS (SELECT p_partkey AS id, p_name AS text, p_size AS weak FROM part), o AS (SELECT text, min((-weak, id)) AS x FROM p GROUP BY text) SELECT x[2] AS id, text FROM (SELECT {'o': min_by(-weak, (-weak, id)), 'i': min_by(id, (-weak, id))} AS s, text FROM p GROUP BY text) t, LATERAL (SELECT [s.o, s.i] AS x) ORDER BY x[1], md5('m|' || x[2]) LIMIT 6")
@@ -206,9 +228,17 @@ def top14(spark, d):
     return C.matching(p, F.col("p_size"), "m")
 
 
-R.add("top5_decks", LAST + f" SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY lapses DESC, box, k) AS place FROM l WHERE box < 4 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lapses DESC, box, k) <= 10")(
-    lambda spark, d: cards(spark, d).where("box < 4").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("lapses"), "box", "k"))).where("place <= 10").select("user_id", "k", "place")
-)
+@R.add("top5_decks", LAST + f", {ONE_CARD}, {POINTS} SELECT 'due' AS deck, id, row_number() OVER (ORDER BY due, id) AS place FROM pz JOIN cd USING (id) WHERE due <= {DUE} UNION ALL SELECT 'new', id, row_number() OVER (ORDER BY n DESC, id) FROM pz WHERE id NOT IN (SELECT id FROM cd) UNION ALL SELECT 'official', id, row_number() OVER (ORDER BY exams DESC, n DESC, id) FROM pz WHERE id NOT IN (SELECT id FROM cd) AND exams > 0 "
+    f"UNION ALL SELECT 'weak', id, row_number() OVER (ORDER BY lapses DESC, id) FROM pz JOIN cd USING (id) WHERE lapses > 0 AND box < 4 UNION ALL SELECT 'all', id, row_number() OVER (ORDER BY {DRAW.format(seed='deck', key='CAST(id AS VARCHAR)')}, id) FROM pz QUALIFY row_number() OVER (ORDER BY {DRAW.format(seed='deck', key='CAST(id AS VARCHAR)')}, id) <= 20")
+def top5(spark, d):
+    """All decks whole, the shuffled one with the limit of a session."""
+    p, c, out = points(spark, d), one_learner(spark, d), None
+    for name, how in (("due", {}), ("new", {}), ("official", {"official": True}), ("weak", {}), ("all", {"limit": 20, "seed": "deck"})):
+        got = C.deck(p, c, "new" if name == "official" else name, F.lit("2024-01-25").cast("date"), **how).select(F.lit(name).alias("deck"), "id", "place")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 R.add("top21_spot_check", "SELECT rid FROM raw ORDER BY md5('spot|' || rid), rid LIMIT 8")(lambda spark, d: table(spark, d, "raw").select("rid").orderBy(F.md5(F.concat(F.lit("spot|"), F.col("rid").cast("string"))), "rid").limit(8))
 R.add("agg21_study_results", f"WITH {ATT} SELECT device, qid, count(*) AS tries, max(floor(secs / 500 * 1000 + 0.5) / 1000) AS best, arg_max(ok, (ts, attempt)) AS last_ok FROM a GROUP BY ALL")(
     lambda spark, d: attempts(spark, d).groupBy("device", "qid").agg(F.count("*").alias("tries"), F.max(F.floor(F.col("secs") / 500 * 1000 + 0.5) / 1000).alias("best"), F.max_by("ok", F.struct("ts", "attempt")).alias("last_ok"))
