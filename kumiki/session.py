@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -22,17 +23,22 @@ SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, a setting of the session has a value; it has its own again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def swept(spark: SparkSession):
     """Within it, the shuffle files of a query go when the query has ended, not when the driver happens to collect its garbage.
 
     Only plans made within it are swept; whatever is read again later must be checkpointed or is computed again.
     """
-    before = spark.conf.get(SWEEP, None)
-    spark.conf.set(SWEEP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(SWEEP, before) if before is not None else spark.conf.unset(SWEEP)
+    return setting(spark, SWEEP, "true")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +55,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the shared one, for tables that are written and read again."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read again, so that a lost executor costs no recomputation.
 

@@ -1,18 +1,21 @@
 """SRC1-SRC16: readers of question files, annotations, lists, cached pages, learner states and lessons.
 
-Fetching, crawl delays and robots rules (SRC5-SRC9) are outside the engine: it reads the pages that a crawler has cached.
+Fetching, crawl delays and robots rules (SRC5, SRC6) are outside the engine: it reads the pages that a crawler has cached.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kumiki import schemas
 from kumiki.functions.scalars import draw
+from kumiki.session import checkpointed
 
 
 def raw_files(spark: SparkSession, glob: str, tier_b: list[str] = (), official: list[str] = ()) -> DataFrame:
@@ -61,30 +64,56 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return w.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
 
-def lookup_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """SRC7: answers of a cached service as a lookup: one row a key, the first by value."""
-    t = table.groupBy(F.col("key").alias("k")).agg(F.min("value").alias("value"))
-    return df.join(t, F.col(key) == F.col("k"), "left").drop("k")
+def canonical_body(body: Column) -> Column:
+    """SRC7: a JSON object with its fields in order, so that equal requests have equal texts."""
+    fields = F.array_sort(F.map_entries(F.from_json(body, "map<string, string>")))
+    return F.to_json(fields)
+
+
+def posted(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """SRC7: requests (url, body) with the cached answer of the same url and body, the least where there are several; null if none.
+
+    `cache` has url, body and answer.
+    """
+    c = cache.select(F.col("url").alias("_u"), canonical_body(F.col("body")).alias("_b"), "answer").groupBy("_u", "_b").agg(F.min("answer").alias("answer"))
+    return asked.withColumn("_k", canonical_body(F.col("body"))).join(c, F.expr("url = _u AND _k = _b"), "left").drop("_u", "_b", "_k")
+
+
+def until_short(pages_: DataFrame, by: list[str], size: int) -> DataFrame:
+    """SRC8: the pages of each list up to its first short one. `pages_` has page and n, the number of rows a page gave."""
+    short = pages_.where(F.col("n") < size).groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("page").alias("_last"))
+    on = F.expr(" AND ".join(f"`{c}` <=> `_{c}`" for c in by))
+    return pages_.join(short, on, "left").where("_last IS NULL OR page <= _last").drop("_last", *(f"_{c}" for c in by))
 
 
-def harvested(responses: DataFrame) -> DataFrame:
-    """SRC10: each id once, from the earliest response."""
-    return responses.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("round", "place"))).where("k = 1").drop("k")
+def harvested(responses: DataFrame, advertised: int, stale: int = 8) -> DataFrame:
+    """SRC10: (id, round): each id with the first round that gave it, up to the round at which `stale` rounds in turn gave no new
+    id, or `advertised` ids were there. `responses` has round and id; only the table of rounds is ordered."""
+    first = responses.groupBy("id").agg(F.min("round").alias("round"))
+    new = responses.select("round").distinct().join(first.groupBy(F.col("round").alias("_r")).agg(F.count("*").alias("new")), F.expr("round = _r"), "left")
+    w = Window.orderBy("round")
+    n = F.coalesce("new", F.lit(0))
+    seen = new.select("round", F.sum(n).over(w).alias("total"), F.sum(n).over(w.rowsBetween(1 - stale, 0)).alias("late"), F.row_number().over(w).alias("k"))
+    stop = seen.where((F.col("total") >= advertised) | ((F.col("k") >= stale) & (F.col("late") == 0))).agg(F.min("round").alias("stop"))
+    return first.crossJoin(F.broadcast(stop)).where("stop IS NULL OR round <= stop").drop("stop")  # one row
 
 
-def reachable(links: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
-    """SRC9: nodes reachable over links (src, dst), with the least number of steps; a round is one join of the new nodes."""
-    from kumiki.session import checkpointed
+def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """SRC9: nodes reachable over links (src, dst), with the least number of steps; a round is one join of the new nodes.
 
-    seen = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    new = seen
-    for k in range(1, rounds + 1):
+    Each round gives nodes that are new, so rounds end; only the new nodes of a round are written.
+    """
+    levels = [checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))]
+    depth = 0
+    while not levels[-1].isEmpty():
+        new, depth = levels[-1], depth + 1
         step = links.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        new = checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
-        if new.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(new))
-    raise RuntimeError(f"more than {rounds} steps from the roots")
+        for x in levels:
+            step = step.join(x.select("node"), "node", "left_anti")
+        levels.append(checkpointed(step.withColumn("depth", F.lit(depth))))
+        if len(levels) > 16:  # so that a round's plan stays small
+            levels = [checkpointed(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
+    return reduce(DataFrame.unionByName, levels)
 
 
 @F.pandas_udf(StringType())
@@ -126,9 +155,9 @@ def collections(s: DataFrame) -> DataFrame:
     return stats.unionByName(rows("srs", card)).unionByName(rows("gcards", card)).unionByName(study).unionByName(notes)
 
 
-def lessons(spark: SparkSession, glob: str) -> DataFrame:
-    """SRC15: lesson documents."""
-    return spark.read.schema(schemas.LESSON).option("multiLine", True).json(glob)
+def lessons(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """SRC15: lesson documents, a file each or (`lines`) a line each."""
+    return spark.read.schema(schemas.LESSON).option("multiLine", not lines).json(glob)
 
 
 def bank_sections(spark: SparkSession, path: str, sections: list[str] | None = None) -> DataFrame:
@@ -137,6 +166,11 @@ def bank_sections(spark: SparkSession, path: str, sections: list[str] | None = N
     return b.where(F.col("section").isin(sections)) if sections else b
 
 
+def bank_counts(bank: DataFrame) -> DataFrame:
+    """SRC12: rows and distinct ids by section, type and source."""
+    return bank.groupBy("section", "type", "source").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def sampled(df: DataFrame, seed: str, key: str, share: float) -> DataFrame:
     """A drawn share of rows by key, the same in every run."""
     return df.where(draw(seed, F.col(key)) < share)

@@ -26,11 +26,12 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def finished(df: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
-    """SNK3: valid rows of distinct id (the first by rank), and their counts by section and type."""
+def finished(df: DataFrame, reason, dimensions: tuple[str, ...] = ("section", "type", "mondai", "exam")) -> tuple[DataFrame, DataFrame]:
+    """SNK3: valid rows of distinct id (the first by rank), and their counts by each dimension (dimension, value, n)."""
     w = Window.partitionBy("id").orderBy("rank")
     ok = df.where(reason.isNull()).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    return ok, ok.groupBy("section", "type").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dimensions)))
+    return ok, ok.select(each.alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
 
 
 def batches(df: DataFrame, path: str) -> None:

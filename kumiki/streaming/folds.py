@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from kumiki.operators.srs import DAYS
+from kumiki.session import new_folder
 
 
 def source(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None) -> DataFrame:
@@ -22,19 +22,12 @@ def source(spark: SparkSession, path: str, schema: StructType, per_trigger: int
     return (r.option("maxFilesPerTrigger", per_trigger) if per_trigger else r).parquet(path)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for a stream's checkpoint and output, under the cluster's shared checkpoint folder."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "/tmp/kumiki-checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result once all that is there has been read: each batch is written as one version, the last version is read.
 
     A batch that runs again after a failure overwrites its own version, so the result is that of one run.
     """
-    spark, where = stream.sparkSession, folder(stream.sparkSession)
+    spark, where = stream.sparkSession, new_folder(stream.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out/v={number}")
