@@ -6,8 +6,8 @@
    (residual frequency), and by how far the labelled documents that hold them agree on a subject; common words and the frames
    of sentences get a weight near 0.
 3. A truncated singular value decomposition of the weighted document by term matrix comes from subspace iteration: each pass
-   multiplies the matrix and its transpose with a block of vectors, inside the tasks; only the block is summed up. Passes go on
-   until the subspace has settled.
+   multiplies the matrix and its transpose with a block of vectors, inside the tasks; only the block is summed up. The iteration
+   begins on a few blocks of documents, then passes over all documents go on until the subspace has settled.
 4. Labelled documents seed one centroid for each subject and kind of script; each sentence goes to the centroid of the greatest
    cosine, and centroids move to their sentences until few sentences change.
 5. The sentences' subjects now say for every term of the corpus how far it belongs to one subject. With these weights steps 3
@@ -24,19 +24,21 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kumiki.session import checkpointed, slots, spread
+from kumiki.llm import fold
+from kumiki.session import checkpointed, slots, spread, swept
 
 BUCKETS, LABELLED = 1 << 17, 50_000
 #: Dimensions of the space for each subject: enough for its words in three scripts, few enough that they fall together.
 RANK = 4
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
-POWER, WEAK = 2, 0.3
+WEAK = 0.3
 #: A subspace has settled if its directions keep this share (mean squared cosine) in a pass, centroids if no more than this share
 #: of the sentences near one changes. More than LONGEST passes are an error.
 SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
@@ -44,47 +46,66 @@ SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
 PLACES = 2
 #: Documents that are multiplied at a time.
 STEP = 500
+#: Blocks of documents on which the iteration begins.
+START = 20
 assert STEP * BUCKETS < 2**31
 BINS = 64
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>|https?://\S+")
 _STOP = re.compile(r"[。｡!?！？\n]|[.．](?!\d)")
-_JAPANESE = re.compile(r"[一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]{3,}")
-_HIRAGANA = re.compile("[ぁ-ゖ]")
-_WORD = re.compile(r"[^\W\d_぀-ヿ一-鿿々ー]+")
+#: Runs of one Japanese script, ends of sentences and of texts, words.
+_TERM = re.compile(r"[一-鿿々]+|[ァ-ヺー]+|[ぁ-ゖ]+|[\x00\x01]|[^\W\d_぀-ヿ一-鿿々ー]+")
 _VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĩũ]")
+_ENDS = re.compile("[\x00\x01]")
 
 
 class Terms(dict):
-    """Hashed terms, remembered."""
+    """Terms as numbers, remembered: four times a 32-bit hash, 1 more for a word with a Vietnamese letter, 2 more for a Japanese
+    run; ends below 0."""
 
     def __missing__(self, term: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        k = self[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+        if term < "\x02":
+            k = -2 if term == "\x01" else -1
+        else:
+            c = term[0]
+            japanese = "ぁ" <= c <= "ヺ" or "一" <= c <= "鿿" or c in "ー々"
+            k = 4 * zlib.crc32(term.encode("utf-8", "surrogatepass")) + (2 if japanese else _VIETNAMESE.search(term) is not None)
+        self[term] = k
         return k
 
-    def sentences(self, text: str, terms: list[int], sizes: list[int], kinds: bytearray) -> None:
-        """Appends the terms of each sentence with a word, their number and its script: 0 Japanese, 1 Vietnamese, 2 other."""
-        if "<" in text or "http" in text:
-            text = _MARKUP.sub("\n", text)
-        if "&" in text:
-            text = html.unescape(text)
-        if not unicodedata.is_normalized("NFKC", text):
-            text = re.sub("[​-‏­⁠﻿]", "", unicodedata.normalize("NFKC", text))
-        get = self.__getitem__
-        for s in _STOP.split(text.lower()):
-            before = len(terms)
-            ja = _JAPANESE.findall(s)
-            terms.extend(map(get, ja))
-            words = _WORD.findall(s)
-            if words:
-                terms.extend(map(get, words))
-                terms.extend(map(get, map(" ".join, zip(words, words[1:]))))
-            n = len(terms) - before
-            if n or _HIRAGANA.search(s):
-                sizes.append(n)
-                kinds.append(0 if ja or not n else 1 if _VIETNAMESE.search(s) else 2)
+    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences with a word, of each text; of each sentence its terms and script: 0 Japanese, 1 Vietnamese, 2 other; the terms."""
+        clean = []
+        for text in texts:
+            text = _ENDS.sub(" ", text) if text else ""
+            if "<" in text or "http" in text:
+                text = _MARKUP.sub("\n", text)
+            if "&" in text:
+                text = _ENDS.sub(" ", html.unescape(text))
+            if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+                text = re.sub("[​-‏­⁠﻿]", "", unicodedata.normalize("NFKC", text))
+            clean.append(text)
+        whole = _STOP.sub("\x00", "\x01".join(clean).lower()) + "\x01"
+        k = np.fromiter(map(self.__getitem__, _TERM.findall(whole)), np.int64)
+        end = k < 0
+        at, ends = np.cumsum(end)[~end], k[end]
+        k = k[~end]
+        japanese = (k & 2) > 0
+        word, s_word = k[~japanese] >> 2, at[~japanese]
+        after = np.flatnonzero(s_word[1:] == s_word[:-1])
+        two = fold.mix((word[after] << 32 | word[after + 1]).view(np.uint64)) % np.uint64(BUCKETS)
+        term = np.concatenate([(k >> 2) % BUCKETS, two.astype(np.int64)]).astype(np.int32)
+        of = np.concatenate([at, s_word[after]])
+        order = np.argsort(of, kind="stable")
+        text_of = np.cumsum(ends == -2) - (ends == -2)  # of each sentence
+        sizes = np.bincount(of, minlength=len(ends))[: len(ends)]
+        kind = np.full(len(ends), 2, np.uint8)
+        kind[at[(k & 1) > 0]] = 1
+        kind[at[japanese]] = 0
+        on = sizes > 0
+        return np.bincount(text_of[on], minlength=len(texts)), sizes[on], kind[on], term[order]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +115,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, STEP):
             part = b.slice(k, STEP)
-            per, sizes, kinds, terms = [], [], bytearray(), []
-            for text in part.column("text").to_pylist():
-                before = len(sizes)
-                if text:
-                    t.sentences(text, terms, sizes, kinds)
-                per.append(len(sizes) - before)
-            flat = _planed(sizes) + bytes(kinds) + _planed(terms)
+            per, sizes, kinds, terms = t.sentences(part.column("text").to_pylist())
+            flat = _planed(sizes) + kinds.tobytes() + _planed(terms)
             body = len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("labels").to_pylist()], pa.list_(pa.list_(pa.int32()))),
@@ -109,8 +125,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _planed(numbers: list[int]) -> bytes:
-    return np.array(numbers, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planed(numbers: np.ndarray) -> bytes:
+    return numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _planes(body: np.ndarray) -> np.ndarray:
@@ -131,6 +147,17 @@ class Block:
         self.sentence = np.repeat(np.arange(s), sizes)
         self.doc = np.repeat(np.arange(self.n), self.per)
 
+    def labelled(self) -> Block:
+        """The block's documents with labels, as a block."""
+        b = object.__new__(Block)
+        on = np.array([bool(x) for x in self.labels], bool)
+        of, number = on[self.doc], np.cumsum(on) - 1
+        b.ids, b.labels, b.n = [i for i, k in zip(self.ids, on) if k], [x for x in self.labels if x], int(on.sum())
+        b.per, b.kind, b.sentences = self.per[on], self.kind[of], int(of.sum())
+        use = of[self.sentence]
+        b.term, b.sentence, b.doc = self.term[use], (np.cumsum(of) - 1)[self.sentence[use]], number[self.doc[of]]
+        return b
+
     def targets(self, subjects: int) -> np.ndarray:
         """(document, subject): the labels of a document, together 1."""
         t = np.zeros((self.n, subjects), np.float32)
@@ -183,17 +210,17 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
                 v = np.frombuffer(zlib.decompress(body), np.float32).astype(np.float64)
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([v.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "body": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "part int, body binary"
-    got = features.mapInArrow(run, schema)
-    if parts > 1:
-        got = got.repartition(min(parts, 2 * slots(features.sparkSession)), "part").mapInArrow(join, schema)
-    else:
-        got = got.repartition(1).mapInArrow(join, schema)
+    spark = features.sparkSession
+    with swept(spark):
+        got = features.mapInArrow(run, schema)
+        got = got.repartition(min(parts, 2 * slots(spark)), "part") if parts > 1 else got.repartition(1)
+        rows = got.mapInArrow(join, schema).collect()  # one row a part
     table = np.zeros(shape, np.float64)
-    for r in got.collect():  # one row a part
-        table[cuts[r["part"]] : cuts[r["part"] + 1]] += np.frombuffer(r["body"], np.float64).reshape(-1, shape[1])
+    for r in rows:
+        table[cuts[r["part"]] : cuts[r["part"] + 1]] += np.frombuffer(r["body"], np.float32).reshape(-1, shape[1])
     return table
 
 
@@ -262,47 +289,89 @@ class Weighing:
         return at[use], x.sentence[use]
 
 
-def _kept(q: np.ndarray, z: np.ndarray) -> float:
-    """Mean squared cosine of the directions of `z` with the span of `q`, without directions that `z` holds nothing of."""
-    u, size, _ = np.linalg.svd(z, full_matrices=False)
-    u = u[:, size > 1e-6 * max(size.max(initial=0), 1e-30)]
-    return float(((q.T @ u) ** 2).sum() / max(1, u.shape[1]))
+class Iteration:
+    """Subspace iteration: directions and, after each product of the matrix with them, the next ones."""
+
+    def __init__(self, q: np.ndarray):
+        self.q = q.astype(np.float32)
+
+    def advance(self, z: np.ndarray) -> bool:
+        """Takes the product `z` of the matrix with `q`; says whether the directions have settled: their mean squared cosine with
+        those before is SETTLED, directions that the product holds nothing of aside."""
+        new, length, _ = np.linalg.svd(z, full_matrices=False)
+        lead = new[:, length > 1e-6 * max(length.max(initial=0), 1e-30)]
+        kept = ((self.q.T @ lead) ** 2).sum() / max(1, lead.shape[1])
+        self.q = new.astype(np.float32)
+        return bool(kept >= SETTLED)
+
+
+def _products(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's part of the matrix, each document's terms once: documents, terms, values; and the documents' sizes."""
+    n = len(w.weight)
+    at, sentence = w.entries(x)
+    both, c = np.unique((x.doc[sentence] * n + at).astype(np.int32), return_counts=True)  # STEP documents: no overflow
+    doc, at = both // n, both % n
+    v = w.weight[at]
+    size = np.maximum(np.bincount(doc, weights=c * v * v, minlength=x.n), 1e-12).astype(np.float32)
+    return doc, at, v * c.astype(np.float32), size
+
+
+def _multiplied(part: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, out: np.ndarray) -> None:
+    """Adds the product of a part, transposed, with the part and `q`."""
+    doc, at, v, size = part
+    y = np.zeros((len(size), q.shape[1]), np.float32)
+    _ordered(y, doc, q[at] * v[:, None])
+    y /= size[:, None]
+    _rows(out, at, y[doc] * v[:, None])
+
+
+def _beginning(features: DataFrame) -> DataFrame:
+    """The first part of the blocks, where they lie: nothing is shuffled."""
+    return features.where(F.spark_partition_id() == 0)
+
+
+def _iterated(parts: list[tuple], q: np.ndarray) -> np.ndarray:
+    it = Iteration(q)
+    for _ in range(LONGEST):
+        z = np.zeros(q.shape)
+        for p in parts:
+            _multiplied(p, it.q, z)
+        if it.advance(z):
+            break
+    return it.q
+
+
+def _first_space(features: DataFrame, w: Weighing, q: np.ndarray) -> np.ndarray:
+    """Vectors to begin with: `q` iterated over START blocks at most of the first part, inside one task. They only save passes over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_products(x, w) for x in islice(_blocks(batches), START)]
+        if parts:
+            yield pa.RecordBatch.from_pydict({"body": pa.array([_iterated(parts, q).tobytes()], pa.binary())})
 
+    body = _beginning(features).mapInArrow(run, "body binary").first()
+    return np.frombuffer(body["body"], np.float32).reshape(q.shape) if body else q
 
-def _space(features: DataFrame, w: Weighing, near: np.ndarray | None = None, power: int = POWER) -> None:
+
+def _space(features: DataFrame, w: Weighing) -> None:
     """Sets w.vectors to the leading right singular vectors of the weighted document by term matrix.
 
-    Passes go on until the subspace has settled, `power` at least. `near` are vectors (bucket by column) known to lie near the
-    wanted space; with them fewer are enough.
+    Passes over all documents go on until the subspace has settled.
     """
     n = len(w.weight)
     start = np.random.default_rng(7).standard_normal((n, min(w.rank, max(1, n))))
-    if near is not None:
-        known = near[w.place >= 0][:, : start.shape[1]]
-        start[:, : known.shape[1]] = known / np.maximum(np.linalg.norm(known, axis=0), 1e-9) * np.sqrt(n)
-    q = np.linalg.qr(start)[0].astype(np.float32)
-    for k in range(LONGEST):
-
-        def add(x: Block, out: np.ndarray, q: np.ndarray = q) -> None:
-            at, sentence = w.entries(x)
-            both, c = np.unique(x.doc[sentence] * n + at, return_counts=True)  # a document's terms once each
-            doc, at = both // n, both % n
-            v = w.weight[at]
-            size = np.maximum(np.bincount(doc, weights=c * v * v, minlength=x.n), 1e-12).astype(np.float32)
-            v *= c
-            y = np.zeros((x.n, q.shape[1]), np.float32)
-            _ordered(y, doc, q[at] * v[:, None])
-            y /= size[:, None]
-            _rows(out, at, y[doc] * v[:, None])
-
-        z = _total(features, (n, q.shape[1]), add)
-        kept = _kept(q, z)
-        q = np.linalg.qr(z)[0].astype(np.float32)
-        if k + 1 >= power and kept >= SETTLED:
+    it = Iteration(_first_space(features, w, np.linalg.qr(start)[0].astype(np.float32)))
+    for _ in range(LONGEST):
+
+        def add(x: Block, out: np.ndarray, q: np.ndarray = it.q) -> None:
+            _multiplied(_products(x, w), q, out)
+
+        if it.advance(_total(features, it.q.shape, add)):
             break
     else:
         raise RuntimeError(f"the space did not settle in {LONGEST} passes")
     w.vectors = np.zeros((n, w.rank), np.float32)
+    q = it.q[:, : w.rank]
     w.vectors[:, : q.shape[1]] = q * w.weight[:, None]
 
 
@@ -335,28 +404,58 @@ def _unit(c: np.ndarray) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], np.ndarray], subjects: int) -> np.ndarray:
-    """Seed centroids (script and subject) from `seeds` (sentence by subject), moved over all sentences until few change."""
+def _moved(e: np.ndarray, top: np.ndarray, c: np.ndarray, before: np.ndarray, out: np.ndarray) -> None:
+    """Adds the sentences near each centroid; below them, how many changed since `before` and how many are near one."""
+    near, ok = _nearest(e, top, c)
+    old, was = _nearest(e, top, before)
+    _rows(out, near[ok], e[ok].astype(np.float64))
+    out[-1, :2] += (ok != was).sum() + (ok & was & (near != old)).sum(), (ok | was).sum()
+
+
+def _first_centroids(features: DataFrame, w: Weighing, c: np.ndarray) -> np.ndarray:
+    """`c` moved over START blocks at most of the first part until few change, inside one task. It only saves passes over
+    all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_embedded(x, w) for x in islice(_blocks(batches), START)]
+        if parts:
+            yield pa.RecordBatch.from_pydict({"body": pa.array([_settled(parts, c).tobytes()], pa.binary())})
+
+    body = _beginning(features).mapInArrow(run, "body binary").first()
+    return np.frombuffer(body["body"], np.float32).reshape(c.shape) if body else c
+
+
+def _settled(parts: list[tuple[np.ndarray, np.ndarray]], c: np.ndarray) -> np.ndarray:
+    before = np.zeros_like(c)
+    for _ in range(LONGEST):
+        t = np.zeros((len(c) + 1, c.shape[1]))
+        for e, top in parts:
+            _moved(e, top, c, before, t)
+        if t[-1, 0] <= CHANGED * t[-1, 1]:
+            break
+        before, c = c, _unit(t[:-1] + 0.01 * c)
+    return c
+
+
+def _centroids(features: DataFrame, w: Weighing, seeds: Callable[[Block], tuple[Block, np.ndarray]], subjects: int) -> np.ndarray:
+    """Seed centroids (script and subject) from `seeds` (a part of a block, sentence by subject), moved over all sentences until
+    few change."""
 
     def seed(x: Block, out: np.ndarray) -> None:
-        r = seeds(x)
-        on = np.flatnonzero(r.sum(1) > 0) if r is not None else ()
+        x, r = seeds(x)
+        on = np.flatnonzero(r.sum(1) > 0)
         if len(on):
             e, _ = _embedded(x, w)
             for g in range(3):
                 s = on[x.kind[on] == g]
                 out[g * subjects : (g + 1) * subjects] += r[s].T @ e[s]
 
-    c = _unit(_total(features, (3 * subjects, w.rank), seed))
+    c = _first_centroids(features, w, _unit(_total(features, (3 * subjects, w.rank), seed)))
     before = np.zeros_like(c)  # near nothing
     for _ in range(LONGEST):
 
         def move(x: Block, out: np.ndarray, c: np.ndarray = c, before: np.ndarray = before) -> None:
-            e, top = _embedded(x, w)
-            near, ok = _nearest(e, top, c)
-            old, was = _nearest(e, top, before)
-            _rows(out, near[ok], e[ok].astype(np.float64))
-            out[-1, :2] += (ok != was).sum() + (ok & was & (near != old)).sum(), (ok | was).sum()
+            _moved(*_embedded(x, w), c, before, out)
 
         t = _total(features, (3 * subjects + 1, w.rank), move)
         if t[-1, 0] <= CHANGED * t[-1, 1]:
@@ -393,7 +492,12 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         return spark.createDataFrame([], "doc_id long, subject string")
     w = Weighing(weight, RANK * n)
     _space(features, w)
-    c = _centroids(features, w, lambda x: x.targets(n)[x.doc] if any(x.labels) else None, n)
+
+    def known_ones(x: Block) -> tuple[Block, np.ndarray]:
+        x = x.labelled()
+        return x, x.targets(n)[x.doc]
+
+    c = _centroids(features, w, known_ones, n)
 
     def first(x: Block) -> tuple[np.ndarray, np.ndarray]:
         near, ok = _assigned(x, w, c, WEAK)
@@ -403,19 +507,19 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
         near, ok = first(x)
         at = near[x.sentence]
         use = ok[x.sentence]
-        np.add.at(out.reshape(-1), x.term[use] * n + at[use], 1.0)
+        out += np.bincount(x.term[use] * n + at[use], minlength=BUCKETS * n).reshape(BUCKETS, n)
 
     of = _total(features, (BUCKETS, n), again)
     v = Weighing(np.where(often, rarity * f / (f + 2) * _purity(f, of, PURITY), 0), RANK * n)
     if not len(v.weight):
         return spark.createDataFrame([], "doc_id long, subject string")
-    _space(features, v, of)
+    _space(features, v)
 
-    def seeds(x: Block) -> np.ndarray:
+    def seeds(x: Block) -> tuple[Block, np.ndarray]:
         near, ok = first(x)
         r = np.zeros((x.sentences, n), np.float32)
         r[np.flatnonzero(ok), near[ok]] = 1
-        return r
+        return x, r
 
     c2 = _centroids(features, v, seeds, n)
 
