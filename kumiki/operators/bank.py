@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def validated(raw: DataFrame, tiers: DataFrame) -> DataFrame:
 
     `tiers` has one row a source with its tier. Null options, answers and texts count as missing.
     """
-    r = reconciled(raw).join(F.broadcast(tiers.select(F.col("source").alias("s"), F.col("tier").alias("t"))), F.expr("source = s"), "left").drop("s")
+    r = reconciled(raw).join(tiers.select(F.col("source").alias("s"), F.col("tier").alias("t")), F.expr("source = s"), "left").drop("s")
     stem = T.clean_text(F.coalesce("question", F.lit("")))
     kind = T.stem_type(stem, F.col("type"))
     return r.select(
@@ -92,30 +94,29 @@ def with_keys(q: DataFrame) -> DataFrame:
     ).withColumnRenamed("_o", "norm_options")
 
 
-def linked(rows: DataFrame, rounds: int = 200) -> DataFrame:
+def linked(rows: DataFrame) -> DataFrame:
     """DED3: (rank, kept, survivor): a row is kept iff no earlier kept row shares either key.
 
     `rows` has rank (unique, the order of preference), k and lk; rows equal in both keys are collapsed first, as only the first
     of them can be kept. The rest is decided in rounds: within each key the earliest undecided row is kept if it is earliest in
     both its keys; rows sharing a key with a kept earlier row are dropped. A round is two aggregations over the undecided keys
-    with map-side combine, so a key of any size costs one row a task. `survivor` is the kept row of the exact key, else of the
+    with map-side combine, so a key of any size costs one row a task, and decides a row at least; only the rows it decides are written. `survivor` is the kept row of the exact key, else of the
     loose key; of a kept row it is itself. Null keys are as empty ones.
     """
     r = rows.select("rank", F.coalesce("k", F.lit("")).alias("k"), F.coalesce("lk", F.lit("")).alias("lk"))
     r = checkpointed(r.select("rank", F.xxhash64("k", F.lit(1)).alias("k1"), F.xxhash64("k", F.lit(2)).alias("k2"), F.xxhash64("lk", F.lit(1)).alias("l1"), F.xxhash64("lk", F.lit(2)).alias("l2")))
     todo = checkpointed(r.groupBy("k1", "k2", "l1", "l2").agg(F.min("rank").alias("rank")))
-    kept = todo.where("false")
-    for _ in range(rounds):
-        if todo.isEmpty():
-            break
+    cols, done = todo.columns, [todo.where("false")]
+    while not todo.isEmpty():
         a = todo.groupBy("k1", "k2").agg(F.min("rank").alias("ka"))
         b = todo.groupBy("l1", "l2").agg(F.min("rank").alias("la"))
-        now = checkpointed(todo.join(a, ["k1", "k2"]).join(b, ["l1", "l2"]).where("rank = ka AND rank = la").select(*todo.columns))
-        kept = checkpointed(kept.unionByName(now))
+        now = checkpointed(todo.join(a, ["k1", "k2"]).join(b, ["l1", "l2"]).where("rank = ka AND rank = la").select(*cols))
+        done.append(now)
         todo = todo.join(now.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
-        todo = checkpointed(todo.join(now.select("l1", "l2").distinct(), ["l1", "l2"], "left_anti").select(*kept.columns))
-    else:
-        raise RuntimeError(f"linkage did not settle in {rounds} rounds")
+        todo = checkpointed(todo.join(now.select("l1", "l2").distinct(), ["l1", "l2"], "left_anti").select(*cols))
+        if len(done) > 32:  # so that the plan of the union stays small
+            done = [checkpointed(reduce(DataFrame.unionByName, done))]
+    kept = reduce(DataFrame.unionByName, done)
     by_k = kept.select("k1", "k2", F.col("rank").alias("sk"))
     by_l = kept.select("l1", "l2", F.col("rank").alias("sl"))
     out = r.join(by_k, ["k1", "k2"], "left").join(by_l, ["l1", "l2"], "left")
@@ -124,31 +125,56 @@ def linked(rows: DataFrame, rounds: int = 200) -> DataFrame:
     return out.select("rank", F.coalesce(F.col("sk") == F.col("rank"), F.lit(False)).alias("kept"), F.coalesce(sk, sl).alias("survivor"))
 
 
-def survivors(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """DED4: kept rows with explanation and exam from their first donor where they lack them; `donors` counts dropped rows."""
-    lost = links.where("NOT kept").join(rows.select("rank", "explanation", "exam"), "rank")
+def survivors(rows: DataFrame, links: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """DED4: kept rows with explanation and exam from their first donor where they lack them; `donors` counts dropped rows.
+
+    `annotations` (id, opts, trans, note, one row an id) adds `ex`: the row's own annotation, else what the first donor with one
+    gives (its options only if both rows have the same normalized options in the same order), and `suspect` from that note.
+    """
+    dropped = links.where("NOT kept")
+    lost = dropped.join(rows.select("rank", "explanation", "exam"), "rank")
     gift = lost.groupBy(F.col("survivor").alias("s")).agg(
         F.min_by("explanation", F.when(F.nullif("explanation", F.lit("")).isNotNull(), F.col("rank"))).alias("ge"),
         F.min_by("exam", F.when(F.nullif("exam", F.lit("")).isNotNull(), F.col("rank"))).alias("gx"),
         F.count("*").alias("donors"),
     )
     kept = rows.join(links.where("kept").select("rank"), "rank", "left_semi").join(gift, F.expr("rank = s"), "left")
-    return (
+    kept = (
         kept.withColumn("explanation", F.coalesce(F.nullif("explanation", F.lit("")), "ge"))
         .withColumn("exam", F.coalesce(F.nullif("exam", F.lit("")), "gx"))
         .withColumn("donors", F.coalesce("donors", F.lit(0)))
         .drop("s", "ge", "gx")
     )
+    return kept if annotations is None else _annotated(kept, rows, dropped, annotations)
+
+
+def _annotated(kept: DataFrame, rows: DataFrame, dropped: DataFrame, annotations: DataFrame) -> DataFrame:
+    some = F.struct(
+        F.when(F.size("opts") > 0, F.col("opts")).alias("opts"), F.nullif("trans", F.lit("")).alias("trans"), F.nullif("note", F.lit("")).alias("note")
+    )
+    a = annotations.select(F.col("id").alias("_a"), some.alias("_e"))
+    gives = dropped.join(rows.select("rank", "id", F.col("norm_options").alias("_o")), "rank").join(a, F.expr("id = _a")).select("survivor", "rank", "_o", "_e")
+    own = rows.select(F.col("rank").alias("_r"), F.col("norm_options").alias("_k"))
+    gives = gives.join(own, F.expr("survivor = _r")).select(
+        "survivor", "rank", F.struct(F.when(F.col("_o") == F.col("_k"), F.col("_e.opts")).alias("opts"), F.col("_e.trans").alias("trans"), F.col("_e.note").alias("note")).alias("_g")
+    )
+    first = gives.where("_g.opts IS NOT NULL OR _g.trans IS NOT NULL OR _g.note IS NOT NULL").groupBy(F.col("survivor").alias("_s")).agg(F.min_by("_g", "rank").alias("_g"))
+    j = kept.join(a, F.expr("id = _a"), "left").join(first, F.expr("rank = _s"), "left")
+    ex = F.when(F.col("_a").isNotNull(), F.col("_e")).otherwise(F.col("_g"))
+    return j.withColumn("ex", ex).withColumn("suspect", suspect(F.col("ex.note"))).drop("_a", "_e", "_s", "_g")
 
 
 def canonical_passages(passages: DataFrame) -> DataFrame:
-    """DED5, DED6: (pid, canonical, vi): the first pid of each text's normalized head, with the first translation of its texts.
+    """DED5, DED6: (pid, canonical, vi): the first pid of each text's normalized head, with that pid's translation, else the first
+    one of the other pids of the text.
 
     `passages` has rank, pid, text, vi.
     """
     h = passages.withColumn("h", F.md5(F.substring(T.norm(F.col("text")), 1, 200)))
-    first = h.groupBy("h").agg(F.min_by("pid", "rank").alias("canonical"), F.min_by("vi", F.when(F.nullif("vi", F.lit("")).isNotNull(), F.col("rank"))).alias("vi"))
-    return h.select("h", "pid").distinct().join(first, "h").select("pid", "canonical", "vi")
+    first = h.groupBy("h").agg(F.min_by("pid", "rank").alias("canonical"))
+    told = h.where(F.nullif("vi", F.lit("")).isNotNull()).join(first, "h")
+    told = told.groupBy("h").agg(F.min_by("vi", F.struct(F.col("pid") != F.col("canonical"), F.col("rank"))).alias("vi"))
+    return h.select("h", "pid").distinct().join(first, "h").join(told, "h", "left").select("pid", "canonical", "vi").distinct()
 
 
 def exams_of(bank: DataFrame, raw_sizes: DataFrame, sources: DataFrame, least: int = 10, share: float = 0.6) -> DataFrame:
@@ -162,7 +188,7 @@ def exams_of(bank: DataFrame, raw_sizes: DataFrame, sources: DataFrame, least: i
     parts = b.groupBy("exam", "section").agg(F.array_sort(F.collect_list(order)).alias("l"), F.max(F.struct("rank", "source")).alias("last"))
     parts = parts.select("exam", "section", F.transform("l", lambda x: x["id"]).alias("ids"), "last")
     e = parts.groupBy("exam").agg(F.map_from_entries(F.collect_list(F.struct("section", "ids"))).alias("parts"), F.sum(F.size("ids")).alias("total"), F.max("last").alias("last"))
-    off = F.broadcast(sources.select(F.col("source").alias("s"), "official"))
+    off = sources.select(F.col("source").alias("s"), "official")
     e = e.join(raw_sizes, "exam", "left").where((F.col("total") >= least) & (F.col("total") >= share * F.coalesce("size", "total")))
     e = e.withColumn("source", F.col("last.source")).join(off, F.expr("source = s"), "left")
     return e.select("exam", "source", "parts", "total", official(F.col("exam"), F.col("official")).alias("official"))

@@ -8,10 +8,10 @@ holds `at`. Both sides may have a key with a third of all rows, so the work is s
 2. Keys whose pre-aggregated rows are at least a fixed share of the total are heavy. There can be no more than 1 / share of
    them per side, whatever the data, so the list of heavy keys is broadcast.
 3. Light keys are few rows each: their intervals come from a window over the key, and a shuffled left anti join decides.
-4. Heavy keys are decided by a left anti join with their broadcast intervals if those are at most `broadcast_rows`; else by
-   a sweep over (key, month): month totals carry the number of open intervals into each month, so that no task gets more
-   than one month of a key.
-5. The orphans of both ways are united.
+4. Heavy keys: running sums in two levels (parts of a key, then rows of a part) give the moments at which presence begins or
+   ends. If these are at most `broadcast_rows`, their intervals are broadcast to a left anti join; else references and changes
+   are swept together by the same running sums, so that no task gets more than a part of a key.
+5. The orphans of both ways are united; they go back to the referring rows by the same split, heavy moments broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kumiki.operators.quality import running
 from kumiki.session import checkpointed
 
 HEAVY_SHARE = 0.02
-HEAVY_LEAST = 20_000
 BROADCAST_ROWS = 100_000
 #: A key that holds more than white space.
 WRITTEN = r"[^\s\u00a0\u3000]"
@@ -43,24 +43,13 @@ def _changes(targets: DataFrame) -> DataFrame:
     )
 
 
-def _month(c: str) -> F.Column:
-    return F.trunc(F.col(c).cast("date"), "month")
+def _edges(n: DataFrame) -> DataFrame:
+    """Of changes with their running sum `n` those at which presence begins or ends."""
+    return n.where((F.col("n") > 0) != (F.col("n") - F.col("d") > 0))
 
 
-def _intervals(changes: DataFrame, salted: bool) -> DataFrame:
+def _intervals(edges: DataFrame) -> DataFrame:
     """Disjoint (key, begin, end) in which the number of open intervals is positive."""
-    if salted:
-        c = changes.withColumn("month", _month("at"))
-        totals = c.groupBy("key", "month").agg(F.sum("d").alias("m"))
-        before = Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select("key", "month", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("carry"))
-        w = Window.partitionBy("key", "month").orderBy("at")
-        n = c.join(carry, ["key", "month"]).withColumn("n", F.col("carry") + F.sum("d").over(w))
-        edges = n.where((F.col("n") > 0) != (F.col("n") - F.col("d") > 0))
-    else:
-        w = Window.partitionBy("key").orderBy("at")
-        n = changes.withColumn("n", F.sum("d").over(w))
-        edges = n.where((F.col("n") > 0) != (F.col("n") - F.col("d") > 0))
     k = Window.partitionBy("key").orderBy("at")
     return edges.select("key", F.col("at").alias("begin"), F.lead("at").over(k).alias("end"), "n").where("n > 0").drop("n")
 
@@ -73,52 +62,46 @@ def _absent(refs: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def _swept(refs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Orphans among `refs` by running sums over (key, month); the way for heavy keys with too many intervals to broadcast."""
-    both = refs.select("key", "at", F.lit(0).cast("long").alias("d"), F.lit(True).alias("ref")).unionByName(
-        changes.select("key", "at", "d", F.lit(False).alias("ref"))
-    ).withColumn("month", _month("at"))
-    totals = both.groupBy("key", "month").agg(F.sum("d").alias("m"))
-    before = Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("key", "month", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("carry"))
-    w = Window.partitionBy("key", "month").orderBy("at", "ref")
-    n = both.join(carry, ["key", "month"]).withColumn("n", F.col("carry") + F.sum("d").over(w))
-    return n.where("ref AND n <= 0").select("key", "at").distinct()
-
-
-def orphan_moments(
-    refs: DataFrame,
-    targets: DataFrame,
-    heavy_share: float = HEAVY_SHARE,
-    heavy_least: int = HEAVY_LEAST,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Distinct (key, at) of `refs` (key, at) for which no interval of `targets` (key, begin, end) holds `at`.
+    """Orphans among `refs` (none with a null moment) by running sums; at one moment changes come first."""
+    both = refs.select("key", "at", F.lit(0).cast("long").alias("d"), "n", F.lit(1).alias("ref")).unionByName(
+        changes.select("key", "at", "d", F.lit(0).cast("long").alias("n"), F.lit(0).alias("ref"))
+    )
+    return running(both, ["key"], [F.col("at"), F.col("ref")], "d", "open").where("ref = 1 AND open <= 0").select("key", "at", "n")
+
+
+def orphan_moments(refs: DataFrame, targets: DataFrame, heavy_share: float = HEAVY_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct (key, at) of `refs` (key, at) for which no interval of `targets` (key, begin, end) holds `at`, and `n`, their rows.
 
     Null or blank keys are no references. A null `at` is no moment at which anything could be present: it is an orphan.
     Intervals that overlap, repeat or have no length are allowed. Empty targets make every reference an orphan.
     """
-    refs = refs.where(F.col("key").rlike(WRITTEN)).groupBy("key", "at").agg(F.count("*").alias("n"))
-    changes = _changes(targets)
+    refs = checkpointed(refs.where(F.col("key").rlike(WRITTEN)).groupBy("key", "at").agg(F.count("*").alias("n")))
+    changes = checkpointed(_changes(targets))
     sized = refs.select("key", F.lit(1).alias("w"), F.lit(0).alias("v")).unionByName(
         changes.select("key", F.lit(0).alias("w"), F.lit(1).alias("v"))
     )
     weight = sized.groupBy("key").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
-    total = weight.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    least_w, least_v = (max(heavy_least, int(total[k] * heavy_share)) for k in ("w", "v"))
-    if max(total["w"], total["v"]) < heavy_least:
-        return _absent(refs, _intervals(changes, salted=False)).select("key", "at")
-    heavy = checkpointed(weight.where((F.col("w") >= least_w) | (F.col("v") >= least_v)).select("key"))
+    least = {k: max(2, int(x.count() * heavy_share)) for k, x in (("w", refs), ("v", changes))}
+    heavy = checkpointed(weight.where((F.col("w") >= least["w"]) | (F.col("v") >= least["v"])).select("key"))
     on = F.broadcast(heavy)  # at most 2 / heavy_share rows: each holds that share of one side
-    light = _absent(
-        refs.join(on, "key", "left_anti"), _intervals(changes.join(on, "key", "left_anti"), salted=False)
-    ).select("key", "at")
+    light = changes.join(on, "key", "left_anti").withColumn("n", F.sum("d").over(Window.partitionBy("key").orderBy("at")))
+    found = _absent(refs.join(on, "key", "left_anti"), _intervals(_edges(light))).select("key", "at", "n")
     if heavy.isEmpty():
-        return light
+        return found
     hot_refs, hot_changes = refs.join(on, "key", "left_semi"), changes.join(on, "key", "left_semi")
-    hot = checkpointed(_intervals(hot_changes, salted=True))
-    if hot.count() <= broadcast_rows:
-        return light.unionByName(_absent(hot_refs, F.broadcast(hot)).select("key", "at"))
-    return light.unionByName(_swept(hot_refs, hot_changes)).unionByName(hot_refs.where("at IS NULL").select("key", "at"))
+    edges = checkpointed(_edges(running(hot_changes, ["key"], [F.col("at")], "d", "n")))
+    if edges.count() <= broadcast_rows:
+        return found.unionByName(_absent(hot_refs, F.broadcast(_intervals(edges))).select("key", "at", "n"))
+    return found.unionByName(_swept(hot_refs.where("at IS NOT NULL"), hot_changes)).unionByName(hot_refs.where("at IS NULL").select("key", "at", "n"))
+
+
+def _referring(rows: DataFrame, lost: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """The rows (with key and at) whose moment is in `lost`; moments of a fixed share of all rows are broadcast, others shuffled."""
+    lost = checkpointed(lost.select(F.col("key").alias("k"), F.col("at").alias("t"), "n"))
+    least = max(2, int(rows.count() * heavy_share))
+    heavy, light = F.broadcast(lost.where(F.col("n") >= least).drop("n")), lost.where(F.col("n") < least).drop("n")  # heavy: at most 1 / heavy_share
+    on = F.expr("key = k AND at <=> t")
+    return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))
 
 
 def bank_references(bank: DataFrame, exams: DataFrame) -> DataFrame:
@@ -139,7 +122,7 @@ def bank_orphans(bank: DataFrame, passages: DataFrame, exams: DataFrame, aliases
     it in one step. Repeated exams, aliases and deliveries count once for presence and each for `n`.
     """
     refs = bank_references(bank, exams)
-    refs = refs.groupBy("tab", "rec_id", "key", "at").agg(F.count("*").alias("n"))
+    refs = checkpointed(refs.groupBy("tab", "rec_id", "key", "at").agg(F.count("*").alias("n")))
     shown = passages.select(F.col("pid").alias("key"), F.col("added_at").alias("begin"), F.col("deleted_at").alias("end"))
     kept = bank.select(F.col("id").alias("key"), F.col("built_at").alias("begin"), F.col("removed_at").alias("end")).distinct()
     steps = aliases.select("old_id", "kept_id").where("old_id IS NOT NULL AND kept_id IS NOT NULL").distinct()
@@ -148,6 +131,6 @@ def bank_orphans(bank: DataFrame, passages: DataFrame, exams: DataFrame, aliases
     for tab, targets in (("bank", shown), ("exams", kept.unionByName(through))):
         own = refs.where(F.col("tab") == tab)
         lost = orphan_moments(own.select("key", "at"), targets, **how)
-        found = own.join(lost.withColumnRenamed("key", "k").withColumnRenamed("at", "t"), F.expr("key = k AND at <=> t"), "left_semi")
+        found = _referring(own, lost)
         out = found if out is None else out.unionByName(found)
     return out

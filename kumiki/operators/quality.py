@@ -102,6 +102,17 @@ def _placed(r: DataFrame, by: list[str]) -> DataFrame:
     return _with_parts(r, n, by, "_b").withColumn("place", place.cast("long")).drop("_b")
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` up to each row in its group, as `name`, in two levels so that no group is summed in one task.
+
+    The order must tell all rows of a group apart.
+    """
+    r = _ranged(df, by, order)
+    n = r.groupBy(*by, "_p").agg(F.sum(value).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)))
+    here = F.sum(value).over(Window.partitionBy(*by, "_p").orderBy(*_orders(r)))
+    return _with_parts(r, n, by, "_b").withColumn(name, here + F.col("_b")).select(*df.columns, name)
+
+
 def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """`df` with `place`, 1, 2, ... in each group, in two levels so that no group is sorted in one task."""
     r = _ranged(df, by, order)

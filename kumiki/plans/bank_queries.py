@@ -10,6 +10,7 @@ from kumiki.functions import text as T
 from kumiki.functions.markup import walked
 from kumiki.operators import bank as B
 from kumiki.operators import quality as Q
+from kumiki.plans.nfkc import norm
 from kumiki.plans.registry import Registry
 from kumiki.session import table
 
@@ -31,7 +32,7 @@ def valid(spark, d):
 def ranked(spark, d):
     """Valid rows with their rank: tier A before B, official sources first, then order of arrival."""
     s = table(spark, d, "sources").select(F.col("source").alias("so"), "official")
-    v = valid(spark, d).where("reason IS NULL").join(F.broadcast(s), F.expr("source = so"), "left")
+    v = valid(spark, d).where("reason IS NULL").join(s, F.expr("source = so"), "left")
     grade = F.when(F.col("tier") == "B", 2).otherwise(0) + F.when(F.coalesce("official", F.lit(False)), 0).otherwise(1)
     return v.withColumn("rank", F.shiftleft(grade.cast("long"), 48) + F.col("rid")).drop("so", "official")
 
@@ -84,18 +85,60 @@ def ded3_documents(spark, d):
 
 def ded4(spark, d):
     r = B.with_keys(ranked(spark, d))
-    return B.survivors(r, B.linked(r)).select("rid", "id", "explanation", "exam", "donors")
+    return B.survivors(r, B.linked(r), annotations(spark, d)).select("rid", "id", "explanation", "exam", "donors", "ex", "suspect")
 
 
 QUERIES["ded4_survivors"] = ded4
 
 
+_H = f"p AS (SELECT pid, vi, md5(substr({norm('text')}, 1, 200)) AS h, {{'a': added_at, 'p': pid}} AS r FROM passages)"
+
+
+@R.add("ded5_passages", f"WITH {_H}, f AS (SELECT h, arg_min(pid, r) AS canonical FROM p GROUP BY h), t AS (SELECT h, arg_min(vi, (pid <> canonical, r)) AS vi FROM p JOIN f USING (h) WHERE vi <> '' GROUP BY h) SELECT DISTINCT pid, canonical, t.vi FROM p JOIN f USING (h) LEFT JOIN t USING (h)")
 def ded5(spark, d):
     p = table(spark, d, "passages").withColumn("rank", F.struct("added_at", "pid"))
     return B.canonical_passages(p)
 
 
-QUERIES["ded5_passages"] = ded5
+def answered(spark, d):
+    """Raw rows with a right option, as they were crawled, with their keys; `rank` is the order of arrival."""
+    r = raw(spark, d).where("size(options) BETWEEN 2 AND 4 AND answer >= 0 AND answer < size(options)").withColumn("rank", F.col("rid"))
+    return B.with_keys(r)
+
+
+_KEYS = (
+    f"x AS (SELECT rid, id, exam, explanation, {norm('question')} AS s, list_transform(options, lambda x: {norm('x')}) AS o, answer, "
+    "CASE WHEN type = 'listening' OR coalesce(image, '') <> '' THEN '|' || coalesce(audio, '') || '|' || coalesce(image, '') || '|' || substr(coalesce(transcript, ''), 1, 80) ELSE '' END AS m FROM raw WHERE len(options) BETWEEN 2 AND 4 AND answer >= 0 AND answer < len(options)), "
+    "y AS (SELECT *, md5(substr(s, 1, 160) || '|' || array_to_string(list_sort(o), '|') || m) AS k, md5(s || '|' || o[answer + 1] || m) AS l FROM x)"
+)
+#: The linkage by its definition: one row after the other.
+_LINKED = (
+    f"WITH {_KEYS}, r AS (SELECT list_reduce(list({{'ks': [k], 'ls': [l], 'ids': [rid]}} ORDER BY rid), lambda a, b: CASE WHEN list_contains(a.ks, b.ks[1]) OR list_contains(a.ls, b.ls[1]) THEN a "
+    "ELSE {'ks': list_concat(a.ks, b.ks), 'ls': list_concat(a.ls, b.ls), 'ids': list_concat(a.ids, b.ids)} END) AS a FROM y), kp AS (SELECT unnest(a.ids) AS rid FROM r), kk AS (SELECT y.* FROM y JOIN kp USING (rid)), "
+    "ln AS (SELECT y.rid, y.rid IN (SELECT rid FROM kp) AS kept, coalesce(CASE WHEN a.rid <= y.rid THEN a.rid END, CASE WHEN b.rid <= y.rid THEN b.rid END) AS survivor FROM y LEFT JOIN kk a ON a.k = y.k LEFT JOIN kk b ON b.l = y.l)"
+)
+R.add("ded1_raw_keys", f"WITH {_KEYS} SELECT rid, k, l AS lk FROM y")(lambda spark, d: answered(spark, d).select("rid", F.md5("k").alias("k"), F.md5("lk").alias("lk")))
+R.add("ded3_raw_linked", _LINKED + " SELECT rid AS rank, kept, survivor FROM ln")(lambda spark, d: B.linked(answered(spark, d)))
+
+
+def annotations(spark, d):
+    return table(spark, d, "explain_out").groupBy("id").agg(F.max_by(F.struct("opts", "trans", "note"), "oid").alias("x")).select("id", "x.*")
+
+
+@R.add(
+    "ded4_raw_survivors",
+    _LINKED
+    + r""", a AS (SELECT id, arg_max({'o': CASE WHEN len(opts) > 0 THEN opts END, 't': nullif(trans, ''), 'n': nullif(note, '')}, oid) AS e FROM explain_out GROUP BY id),
+    g0 AS (SELECT ln.survivor, ln.rid, y.explanation, y.exam, a.e, y.o = sv.o AS same FROM ln JOIN y USING (rid) JOIN y sv ON sv.rid = ln.survivor LEFT JOIN a ON a.id = y.id WHERE NOT kept),
+    g1 AS (SELECT *, CASE WHEN e IS NOT NULL THEN {'o': CASE WHEN same THEN e.o END, 't': e.t, 'n': e.n} END AS f FROM g0),
+    g AS (SELECT survivor, count(*) AS donors, arg_min(explanation, rid) FILTER (explanation <> '') AS ge, arg_min(exam, rid) FILTER (exam <> '') AS gx, arg_min(f, rid) FILTER (f.o IS NOT NULL OR f.t IS NOT NULL OR f.n IS NOT NULL) AS f FROM g1 GROUP BY survivor)
+    SELECT y.rid, coalesce(nullif(explanation, ''), ge) AS explanation, coalesce(nullif(exam, ''), gx) AS exam, coalesce(donors, 0) AS donors, ex.o AS opts, ex.t AS trans, ex.n AS note, coalesce(contains(ex.n, '(?)') AND NOT regexp_matches(ex.n, '\(\?\)\s*Đề gắn nhãn'), false) AS suspect
+    FROM (SELECT y.*, g.*, CASE WHEN a.id IS NOT NULL THEN a.e ELSE g.f END AS ex FROM y JOIN kp USING (rid) LEFT JOIN g ON g.survivor = y.rid LEFT JOIN a ON a.id = y.id) y""",
+)
+def ded4_raw(spark, d):
+    r = answered(spark, d)
+    s = B.survivors(r, B.linked(r), annotations(spark, d))
+    return s.select("rid", "explanation", "exam", "donors", "ex.opts", "ex.trans", "ex.note", "suspect")
 
 
 @R.add(
@@ -186,7 +229,7 @@ R.add("jn21_exams_ready", "SELECT id, built_at, len(list_filter(['moji', 'bunpo'
     lambda spark, d: table(spark, d, "exams").select("id", "built_at", F.forall(F.array(F.lit("moji"), F.lit("bunpo")), lambda s: F.coalesce(F.size(F.try_element_at("parts", s)), F.lit(0)) > 0).alias("ready"))
 )
 R.add("jn22_unknown_sources", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM sources)")(
-    lambda spark, d: table(spark, d, "documents").where("source IS NOT NULL").select("source").join(F.broadcast(table(spark, d, "sources").select("source")), "source", "left_anti").distinct()
+    lambda spark, d: table(spark, d, "documents").where("source IS NOT NULL").select("source").join(table(spark, d, "sources").select("source"), "source", "left_anti").distinct()
 )
 R.add("jn23_answer_cardinality", "SELECT rid, len(list_filter(options, lambda o: o = options[answer + 1])) = 1 AS single FROM raw WHERE answer IS NOT NULL")(
     lambda spark, d: raw(spark, d).where("answer IS NOT NULL").select("rid", (F.size(F.filter("options", lambda o: o == F.get("options", F.col("answer")))) == 1).alias("single"))

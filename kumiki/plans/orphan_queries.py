@@ -16,6 +16,12 @@ def p1_found(spark, d):
     return _orphans(spark, d).select("tab", "rec_id", F.col("key").alias("ref_id")).distinct()
 
 
+def p1_found_swept(spark, d):
+    """The same where no list of intervals may be broadcast and a thousandth of the rows makes a key heavy."""
+    o = bank_orphans(*(table(spark, d, t) for t in ("bank", "passages", "exams", "aliases")), heavy_share=0.001, broadcast_rows=0)
+    return o.select("tab", "rec_id", F.col("key").alias("ref_id")).distinct()
+
+
 def p1_counts(spark, d):
     """Orphan references per table and month of built_at; each writing row counts."""
     month = F.date_format("at", "yyyy-MM").alias("month")
@@ -37,9 +43,10 @@ WITH refs AS (
     ELSE NOT EXISTS (SELECT 1 FROM q WHERE q.k = r.k AND q.b <= r.t AND (q.e IS NULL OR q.e > r.t)) END
 )"""
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_found_swept": p1_found_swept}
 ORACLES = {
     "p1_found": _CTE + " SELECT DISTINCT tab, rec_id, k AS ref_id FROM lost",
+    "p1_found_swept": _CTE + " SELECT DISTINCT tab, rec_id, k AS ref_id FROM lost",
     "p1_counts": _CTE
     + " SELECT tab, strftime(t, '%Y-%m') AS month, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM lost GROUP BY ALL",
 }

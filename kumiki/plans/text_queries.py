@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kumiki.functions import text as T
 from kumiki.functions.markup import html_text
+from kumiki.plans.nfkc import nfkc, norm
 from kumiki.plans.registry import Registry
 from kumiki.session import table
 
@@ -29,8 +30,8 @@ def _translated(column: str, signs: str) -> str:
     return f"translate({column}, '{quoted}', '')"
 
 
-QUERIES["txt1_norm"] = _one(T.norm, "question")
-QUERIES["txt6_slug"] = _one(T.slug, "exam")
+R.add("txt1_norm", f"SELECT rid, {norm('question')} AS v FROM raw")(_one(T.norm, "question"))
+R.add("txt6_slug", f"SELECT rid, CASE WHEN v <> '' THEN v WHEN exam IS NOT NULL THEN substr(sha1(exam), 1, 8) END AS v FROM (SELECT rid, exam, lower(regexp_replace(regexp_replace(strip_accents({nfkc('exam')}), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS v FROM raw)")(_one(T.slug, "exam"))
 R.add("txt2_fix_spacing", "SELECT rid, regexp_replace(regexp_replace(question, '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\\1\\2', 'g'), '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\\1\\2', 'g') AS v FROM raw")(_one(T.fix_spacing, "question"))
 R.add(
     "txt3_clean_text",

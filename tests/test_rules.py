@@ -113,7 +113,7 @@ def test_newer_epoch(spark):
 INTERVALS = [("a", 1, 5), ("a", 3, None), ("b", 2, 2), ("b", 4, 9), ("b", 4, 9), ("c", None, 9), ("d", 1, 3), ("d", 3, 6), ("d", 40, None)]
 
 
-@pytest.mark.parametrize("how", [{}, {"heavy_least": 1, "heavy_share": 0.01}, {"heavy_least": 1, "heavy_share": 0.01, "broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"heavy_share": 0.9}, {"heavy_share": 0.01, "broadcast_rows": 0}])
 def test_orphans_by_every_way(spark, how):
     day = lambda n: None if n is None else D(2024, 1, 1) + dt.timedelta(days=n)
     refs = [(k, day(t)) for k in "abcde" for t in [0, 1, 2, 3, 4, 5, 6, 9, 39, 40, 70, None]] + [("", day(1)), (None, day(1)), ("　", day(1))]
