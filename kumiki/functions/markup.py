@@ -108,6 +108,44 @@ def table_grid(s: pd.Series) -> pd.Series:
     return s.map(grid, na_action="ignore")
 
 
+def structure(page: str) -> str | None:
+    """WIN12: the first table of a page as one text: cells of a row joined by plus signs, rows by slashes, each row once.
+
+    A cell that spans rows is appended to those of the next rows that have no spanning cell themselves.
+    """
+    rows: list[str] = []
+    shared, left = "", 0
+    table = re.search(r"(?is)<table\b.*?</table>", page)
+    for row in re.findall(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr>|</table>|$)", table[0] if table else ""):
+        cells = [(re.search(r"rowspan\s*=\s*[\"']?(\d+)", a, re.I), to_text(v)) for a, v in re.findall(r"(?is)<t[dh]\b([^>]*)>(.*?)(?=<t[dh]\b|</t[dh]>|$)", row)]
+        texts = [v for _, v in cells]
+        spans = [(int(m[1]), v) for m, v in cells if m]
+        if spans:
+            left, shared = spans[-1][0] - 1, spans[-1][1]
+        elif left > 0:
+            texts.append(shared)
+            left -= 1
+        if any(texts):
+            rows.append(" + ".join(v for v in texts if v))
+    return " / ".join(dict.fromkeys(rows)) or None
+
+
+@F.pandas_udf(StringType())
+def table_structure(s: pd.Series) -> pd.Series:
+    return s.map(structure, na_action="ignore")
+
+
+def flight(page: str) -> str | None:
+    """ARR4: the data that a page pushes in pieces, `push([1, "..."])`, put together in the order of the page."""
+    parts = re.findall(r'\.push\(\[\s*1\s*,\s*("(?:[^"\\]|\\.)*")\s*\]\)', page, re.S)
+    return "".join(map(json.loads, parts)) if parts else None
+
+
+@F.pandas_udf(StringType())
+def flight_data(s: pd.Series) -> pd.Series:
+    return s.map(flight, na_action="ignore")
+
+
 def balanced(text: str, start: int = 0) -> str | None:
     """ARR4: the first balanced brace expression at or after `start`, strings respected."""
     i = text.find("{", start)
@@ -139,18 +177,37 @@ def embedded_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: balanced(html.unescape(x)), na_action="ignore")
 
 
+#: Names that wrap a value, and names that wrap a list of values.
+_WRAPPERS, _LISTS = {"ShallowReactive", "Reactive", "Ref", "ShallowRef", "EmptyRef"}, {"Set", "Map"}
+
+
 def hydrate(flat: list) -> object:
-    """ARR5: the tree of a flattened reference array: numbers point to entries, entry 0 is the root; cycles end in None."""
+    """ARR5: the tree of a flattened reference array: numbers point to entries, entry 0 is the root; cycles end in None.
+
+    What is no number inside a list or an object stands for itself. Wrappers give what they wrap, sets and maps a list.
+    """
     done: dict[int, object] = {}
     busy: set[int] = set()
 
+    def inner(x: object) -> object:
+        return get(x) if isinstance(x, int) and not isinstance(x, bool) else x
+
+    def built(v: object) -> object:
+        if isinstance(v, dict):
+            return {a: inner(b) for a, b in v.items()}
+        if not isinstance(v, list):
+            return v
+        name = v[0] if v and isinstance(v[0], str) else None
+        if name in _WRAPPERS:
+            return inner(v[1]) if len(v) > 1 else None
+        return [inner(x) for x in (v[1:] if name in _LISTS else v)]
+
     def get(k: int) -> object:
-        if not isinstance(k, int) or not 0 <= k < len(flat) or k in busy:
+        if not 0 <= k < len(flat) or k in busy:
             return None
         if k not in done:
             busy.add(k)
-            v = flat[k]
-            done[k] = {a: get(b) for a, b in v.items()} if isinstance(v, dict) else [get(b) for b in v] if isinstance(v, list) else v
+            done[k] = built(flat[k])
             busy.discard(k)
         return done[k]
 

@@ -28,6 +28,28 @@ def nice_max(c: Column) -> Column:
     return F.greatest(F.when(r <= 1, p).when(r <= 2, 2 * p).when(r <= 5, 5 * p).otherwise(10 * p), F.lit(5.0))
 
 
+def start_of_day(ts: Column) -> Column:
+    """SCL5: midnight of a moment's day."""
+    return F.date_trunc("day", ts)
+
+
+def day_key(ts: Column) -> Column:
+    """SCL5: the day of a moment as YYYY-MM-DD."""
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def days_between(a: Column, b: Column) -> Column:
+    """SCL5: days from a to b, rounded to whole ones, halves up."""
+    return F.floor((F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 86_400e6 + 0.5).cast("int")
+
+
+def uid(ts: Column, key: Column, seed: str) -> Column:
+    """SCL11: the milliseconds of a moment and a drawn number, both to the base 36. The draw follows seed and key, so that a task
+    that runs again gives the same ids."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key.cast("string"))), 1, 8), 16, 36)
+    return F.lower(F.concat(F.conv(F.unix_millis(ts.cast("timestamp")).cast("string"), 10, 36), drawn))
+
+
 def rel_day(day: Column, today: Column) -> Column:
     """SCL6: overdue, today, tomorrow or 'in n'."""
     n = F.datediff(day, today)

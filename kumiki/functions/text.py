@@ -137,12 +137,38 @@ def escape_html(c: Column) -> Column:
 
 
 def render(c: Column) -> Column:
-    """TXT12: stem markup as HTML: escaped, ruby, underlines and blanks."""
+    """TXT12: stem markup as HTML: escaped, ruby, underlines, blanks (numbered ones too), stars, images and line breaks."""
     c = F.regexp_replace(escape_html(c), r"\{([^{}|]+)\|([^{}|]*)\}", "<ruby>$1<rt>$2</rt></ruby>")
+    c = F.regexp_replace(c, r"\[\[img:(https?://[^\s\]]+)\]\]\n?", '<img src="$1">')
     c = F.regexp_replace(F.regexp_replace(c, r"\[\[u:(.*?)\]\]", "<u>$1</u>"), "＿([^＿★\\s]+)＿", "<u>$1</u>")
+    c = F.regexp_replace(F.regexp_replace(c, "＿{2,}[ 　]*([0-9０-９]{1,2})[ 　]*＿{2,}", '<span class="blank">$1</span>'), "＿{2,}", '<span class="blank"></span>')
     return F.regexp_replace(F.replace(c, F.lit("★"), F.lit("<b>★</b>")), "\n", "<br>")
 
 
+def rich(c: Column) -> Column:
+    """TXT12: an explanation as HTML: paragraphs at empty lines, runs of lines with a dash or bullet as lists, bold between stars."""
+
+    def line(x: Column) -> Column:
+        return F.regexp_replace(escape_html(x), r"\*\*([^*]+?)\*\*", "<b>$1</b>")
+
+    def add(state: Column, x: Column) -> Column:
+        item = F.regexp_extract(x, r"^[\s　]*[-•][\s　]+(.*)$", 1)
+        listed = x.rlike(r"^[\s　]*[-•][\s　]+")
+        close = F.when(state["open"] == "", "").when(state["open"] == "ul", "</ul>").otherwise("</p>")
+        same_list, same_text = state["open"] == "ul", state["open"] == "p"
+        text = (
+            F.when(listed, F.concat(F.when(same_list, "").otherwise(F.concat(close, F.lit("<ul>"))), F.lit("<li>"), line(item), F.lit("</li>")))
+            .when(F.trim(F.translate(x, "　", " ")) == "", F.when(x == "", close).otherwise(""))
+            .otherwise(F.concat(F.when(same_text, "<br>").otherwise(F.concat(close, F.lit("<p>"))), line(x)))
+        )
+        opened = F.when(listed, "ul").when(x == "", "").when(F.trim(F.translate(x, "　", " ")) == "", state["open"]).otherwise("p")
+        return F.struct(F.concat(state["html"], text).alias("html"), opened.alias("open"))
+
+    lines = F.concat(F.split(F.regexp_replace(c, r"\n{2,}", "\n\n"), "\n"), F.array(F.lit("")))
+    start = F.struct(F.lit("").alias("html"), F.lit("").alias("open"))
+    return F.aggregate(lines, start, add, lambda s: s["html"])
+
+
 def trunc(c: Column, n: int) -> Column:
     """TXT13: white space collapsed; longer texts end in an ellipsis."""
     c = strip(F.regexp_replace(c, r"\s+", " "))

@@ -27,17 +27,25 @@ def last_writer(local: DataFrame, remote: DataFrame, dead: DataFrame) -> DataFra
     return w.join(dead.select("coll", "id", F.col("t").alias("d")), ["coll", "id"], "left").where("d IS NULL OR t > d").drop("d")
 
 
-def daily(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """MRG4, JN19, MRG7: of each day and device the greater counter (answers, then seconds, then remote), then day totals.
+def owned(counters: DataFrame, owner: Column) -> DataFrame:
+    """MRG7: daily counters of old records, which name no device, belong to the side's own device."""
+    return counters.withColumn("device", F.coalesce("device", owner))
+
 
-    Counters without a device belong to the side's own device, given by the caller in `device`.
-    """
+def daily(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """MRG4, JN19: of each day and device the greater counter (answers, then seconds, then remote), then day totals."""
     x = local.select("day", "device", "a", "c", "s", F.lit(0).alias("r"))
     y = remote.select("day", "device", "a", "c", "s", F.lit(1).alias("r"))
     best = x.unionByName(y).groupBy("day", "device").agg(F.max(F.struct("a", F.coalesce("s", F.lit(0)).alias("k"), "r", "c", "s")).alias("m"))
     return best.groupBy("day").agg(F.sum("m.a").alias("answered"), F.sum("m.c").alias("correct"), F.sum("m.s").alias("secs"))
 
 
+def keys(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """SET2: the keys of both sides, each once, and which side has it."""
+    x = local.select("coll", "id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(remote.select("coll", "id", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return x.groupBy("coll", "id").agg((F.max("x") == 1).alias("local"), (F.max("y") == 1).alias("remote"))
+
+
 def history(local: DataFrame, remote: DataFrame, dead: DataFrame, cap: int = HISTORY, by: list[str] = ()) -> DataFrame:
     """MRG3: sessions of both sides once (the remote copy), deleted ids never, the newest `cap` of each owner."""
     from pyspark.sql import Window
@@ -58,6 +66,31 @@ def newer_epoch(a_id: Column, a_at: Column, b_id: Column, b_at: Column) -> Colum
     return (a_id != b_id) & ((b_at > a_at) | ((b_at == a_at) & (b_id > a_id)))
 
 
+def merged(local: DataFrame, remote: DataFrame, dead: DataFrame, local_epoch: tuple[str, object], remote_epoch: tuple[str, object]) -> DataFrame:
+    """MRG1, MRG6: the state of both sides; an epoch is (id, moment). Of different epochs the older side keeps only what it changed
+    after the newer one began."""
+    (a, at), (b, bt) = local_epoch, remote_epoch
+    if a != b:
+        if (bt, b) > (at, a):
+            local = fenced(local, F.lit(bt))
+        else:
+            remote = fenced(remote, F.lit(at))
+    return last_writer(local, remote, dead)
+
+
+def imported(local: DataFrame, file: DataFrame, dead: DataFrame, mode: str) -> DataFrame:
+    """MRG8: a state after an import: 'merge' takes the file as the other side of the same epoch, 'replace' takes the file alone,
+    'reset' takes nothing. The last two begin a new epoch: `new_epoch`."""
+    if mode == "merge":
+        return last_writer(local, file, dead)
+    return file.select("coll", "id", "t", "v") if mode == "replace" else local.where("false").select("coll", "id", "t", "v")
+
+
+def new_epoch(mode: str, epoch: tuple[str, object], fresh: tuple[str, object]) -> tuple[str, object]:
+    """MRG8: the epoch after an import: a merge keeps the local one."""
+    return epoch if mode == "merge" else fresh
+
+
 def settings(local: DataFrame, remote: DataFrame) -> DataFrame:
     """MRG5: settings by the later change (remote of equals); the theme stays the local one."""
     x = local.select("owner", F.col("at").alias("ax"), F.col("body").alias("bx"), F.col("theme").alias("tx"))

@@ -182,6 +182,23 @@ def neighbours(units: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
     return out.select(*by, key, "before", "after")
 
 
+def exams_ready(exams: DataFrame, history: DataFrame, need: list[str]) -> DataFrame:
+    """JN21: exams with `ready` (every needed section has items) and `done` (the exam's name is in the history's `exam`)."""
+    ready = F.forall(F.array(*map(F.lit, need)), lambda s: F.coalesce(F.size(F.try_element_at("parts", s)), F.lit(0)) > 0)
+    h = history.where("exam IS NOT NULL").select(F.col("exam").alias("_x")).distinct()
+    return exams.join(h, F.expr("name = _x"), "left").withColumns({"ready": F.coalesce(ready, F.lit(False)), "done": F.col("_x").isNotNull()}).drop("_x")
+
+
+def missing(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """JN22: (kind, key): distinct keys of each check's first column that its second one lacks; empty keys are no references."""
+    out = None
+    for kind, refs, targets in checks:
+        r = refs.toDF("key").where("key <> ''").distinct()
+        got = r.join(targets.toDF("_k"), F.expr("key = _k"), "left_anti").select(F.lit(kind).alias("kind"), "key")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def patched(values: Column, fixes: Column) -> Column:
     """ARR3, JN6: values with those of `fixes` (map of place to value) put in."""
     return F.transform(values, lambda x, i: F.coalesce(F.try_element_at(fixes, i), x))

@@ -139,6 +139,12 @@ R.add("scl4_nice_max", "SELECT o_orderkey, greatest(CASE WHEN r <= 1 THEN p WHEN
 R.add("scl6_durations", "SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS v, CASE WHEN n < 0 THEN 'overdue' WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'tomorrow' ELSE 'in ' || n END AS due FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 50 + 0.5) AS INT) AS s, CAST(o_orderdate AS DATE) - DATE '1997-06-01' AS n FROM orders)")(
     lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.duration(F.col("o_totalprice") / 50).alias("v"), S.rel_day(F.to_date("o_orderdate"), F.lit("1997-06-01").cast("date")).alias("due"))
 )
+R.add("scl5_days", "SELECT event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, strftime(ts, '%Y-%m-%d') AS key, CAST(floor((epoch_us(TIMESTAMP '2024-02-01 18:00:00') - epoch_us(ts)) / 86400e6 + 0.5) AS INT) AS days FROM events")(
+    lambda spark, d: table(spark, d, "events").select("event_id", S.start_of_day(F.col("ts")).cast("timestamp_ntz").alias("start"), S.day_key(F.col("ts")).alias("key"), S.days_between(F.col("ts"), F.expr("timestamp_ntz'2024-02-01 18:00:00'")).alias("days"))
+)
+R.add("scl11_uids", "SELECT event_id, lower(to_base(epoch_us(ts) // 1000, 36) || to_base(CAST(('0x' || substr(md5('u|' || event_id), 1, 8)) AS BIGINT), 36)) AS uid FROM events")(
+    lambda spark, d: table(spark, d, "events").select("event_id", S.uid(F.col("ts"), F.col("event_id"), "u").alias("uid"))
+)
 R.add("scl7_mondays", "SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(date_trunc('week', o_orderdate) AS DATE) + 7 AS following FROM orders")(
     lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.monday_of(F.to_date("o_orderdate")).alias("monday"), S.monday_of(F.to_date("o_orderdate"), True).alias("following"))
 )

@@ -225,11 +225,16 @@ R.add("win8_positions", "WITH q AS (SELECT rid, exam, mondai, passage, CASE mond
 R.add("win9_neighbours", "SELECT subject, lag(subject) OVER (ORDER BY subject) AS before, lead(subject) OVER (ORDER BY subject) AS after FROM subjects")(
     lambda spark, d: Q.neighbours(table(spark, d, "subjects"), "subject")
 )
-R.add("jn21_exams_ready", "SELECT id, built_at, len(list_filter(['moji', 'bunpo'], lambda s: coalesce(len(parts[s]), 0) = 0)) = 0 AS ready FROM exams")(
-    lambda spark, d: table(spark, d, "exams").select("id", "built_at", F.forall(F.array(F.lit("moji"), F.lit("bunpo")), lambda s: F.coalesce(F.size(F.try_element_at("parts", s)), F.lit(0)) > 0).alias("ready"))
+R.add("jn21_exams_ready", "SELECT id, built_at, len(list_filter(['moji', 'bunpo'], lambda s: coalesce(len(parts[s]), 0) = 0)) = 0 AS ready, coalesce(name IN (SELECT exam FROM raw WHERE exam IS NOT NULL), false) AS done FROM exams")(
+    # exams of which there are crawled rows play the part of those in the learner's history
+    lambda spark, d: Q.exams_ready(table(spark, d, "exams"), raw(spark, d).select("exam"), ["moji", "bunpo"]).select("id", "built_at", "ready", "done")
 )
-R.add("jn22_unknown_sources", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM sources)")(
-    lambda spark, d: table(spark, d, "documents").where("source IS NOT NULL").select("source").join(table(spark, d, "sources").select("source"), "source", "left_anti").distinct()
+R.add("jn22_references", "SELECT DISTINCT 'source' AS kind, source AS key FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM sources) UNION ALL SELECT DISTINCT 'pass', passage_id FROM bank WHERE passage_id <> '' AND passage_id NOT IN (SELECT pid FROM passages WHERE pid IS NOT NULL) UNION ALL SELECT DISTINCT 'ref', kept_id FROM aliases WHERE kept_id <> '' AND kept_id NOT IN (SELECT id FROM bank WHERE id IS NOT NULL)")(
+    lambda spark, d: Q.missing([
+        ("source", table(spark, d, "documents").select("source"), table(spark, d, "sources").select("source")),
+        ("pass", table(spark, d, "bank").select("passage_id"), table(spark, d, "passages").select("pid")),
+        ("ref", table(spark, d, "aliases").select("kept_id"), table(spark, d, "bank").select("id")),
+    ])
 )
 R.add("jn23_answer_cardinality", "SELECT rid, len(list_filter(options, lambda o: o = options[answer + 1])) = 1 AS single FROM raw WHERE answer IS NOT NULL")(
     lambda spark, d: raw(spark, d).where("answer IS NOT NULL").select("rid", (F.size(F.filter("options", lambda o: o == F.get("options", F.col("answer")))) == 1).alias("single"))

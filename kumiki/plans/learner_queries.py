@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -137,9 +139,45 @@ R.add("mrg4_daily", f"WITH {DAILY2}, m AS (SELECT * FROM d QUALIFY row_number()
 R.add("mrg5_settings", "WITH o AS (SELECT event_id % 2 AS side, user_id AS owner, max(ts) AS at_, max_by(value, ts) AS body, max_by(event_type, ts) AS theme FROM events GROUP BY ALL), x AS (SELECT * FROM o WHERE side = 0), y AS (SELECT * FROM o WHERE side = 1) SELECT coalesce(x.owner, y.owner) AS owner, CASE WHEN y.at_ IS NULL OR x.at_ > y.at_ THEN x.body ELSE y.body END AS body, coalesce(x.theme, y.theme) AS theme, greatest(x.at_, y.at_) AS \"at\" FROM x FULL JOIN y ON x.owner = y.owner")(
     lambda spark, d: M.settings(*(table(spark, d, "events").where(f"event_id % 2 = {k}").groupBy(F.col("user_id").alias("owner")).agg(F.max("ts").alias("at"), F.max_by("value", "ts").alias("body"), F.max_by("event_type", "ts").alias("theme")) for k in (0, 1)))
 )
-R.add("mrg6_fenced", f"WITH {SIDES} SELECT coll, id, t, v FROM x WHERE t > TIMESTAMP '2024-01-15' AND coll <> 'daily'")(lambda spark, d: M.fenced(_side(spark, d, 0), F.expr("timestamp_ntz'2024-01-15'")))
-R.add("agg14_state_summary", f"WITH {SIDES} SELECT coll, count(*) AS keys, count(DISTINCT CAST(t AS DATE)) AS days FROM x GROUP BY coll")(
-    lambda spark, d: _side(spark, d, 0).groupBy("coll").agg(F.count("*").alias("keys"), F.countDistinct(F.to_date("t")).alias("days"))
+_CUT = "TIMESTAMP '2024-01-15'"
+_WON = "CASE WHEN y.t IS NULL OR x.t > y.t THEN x.{0} ELSE y.{0} END AS {0}"
+_MERGED = "SELECT coalesce(x.coll, y.coll) AS coll, coalesce(x.id, y.id) AS id, " + ", ".join(_WON.format(c) for c in ("t", "v")) + " FROM {x} x FULL JOIN {y} y ON x.coll = y.coll AND x.id = y.id"
+_ALIVE = "SELECT m.coll, m.id, m.t, m.v FROM ({m}) m LEFT JOIN dead USING (coll, id) WHERE dead.t IS NULL OR m.t > dead.t"
+
+
+@R.add("mrg6_fenced", f"WITH {SIDES} " + _ALIVE.format(m=_MERGED.format(x=f"(SELECT * FROM x WHERE t > {_CUT} AND coll <> 'daily')", y="y")))
+def mrg6(spark, d):
+    """The remote side has begun a new epoch."""
+    at = datetime.datetime(2024, 1, 15)
+    return M.merged(_side(spark, d, 0), _side(spark, d, 1), _dead(spark, d), ("a", datetime.datetime(2024, 1, 1)), ("b", at))
+
+
+def _daily(spark, d, side, device):
+    e = table(spark, d, "events").where(f"event_id % 2 = {side}").groupBy(F.to_date("ts").alias("day"), device.alias("device"))
+    return e.agg(F.count("*").alias("a"), F.count_if(F.expr("value < 50")).alias("c"), F.sum(F.floor("value")).cast("long").alias("s"))
+
+
+@R.add("mrg7_legacy_daily", "WITH d AS (SELECT event_id % 2 AS r, CAST(ts AS DATE) AS day, CASE WHEN user_id % 7 <> 3 THEN user_id % 7 END AS dev, count(*) AS a, count_if(value < 50) AS c, CAST(sum(floor(value)) AS BIGINT) AS s FROM events GROUP BY ALL), o AS (SELECT r, day, coalesce(dev, CASE r WHEN 0 THEN 100 ELSE 200 END) AS device, a, c, s FROM d), m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY day, device ORDER BY a DESC, s DESC, r DESC) = 1) SELECT day, sum(a) AS answered, sum(c) AS correct, sum(s) AS secs FROM m GROUP BY day")
+def mrg7(spark, d):
+    """Counters of device 3 are from before devices were named."""
+    device = F.when(F.col("user_id") % 7 != 3, F.col("user_id") % 7)
+    return M.daily(M.owned(_daily(spark, d, 0, device), F.lit(100)), M.owned(_daily(spark, d, 1, device), F.lit(200)))
+
+
+@R.add("mrg8_imports", f"WITH {SIDES} SELECT 'merge' AS mode, * FROM (" + _ALIVE.format(m=_MERGED.format(x="x", y="y")) + ") UNION ALL SELECT 'replace', coll, id, t, v FROM y")
+def mrg8(spark, d):
+    out = None
+    for mode in ("merge", "replace", "reset"):
+        got = M.imported(_side(spark, d, 0), _side(spark, d, 1), _dead(spark, d), mode).select(F.lit(mode).alias("mode"), "coll", "id", "t", "v")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+R.add("set2_keys", f"WITH {SIDES} SELECT coalesce(x.coll, y.coll) AS coll, coalesce(x.id, y.id) AS id, x.id IS NOT NULL AS local, y.id IS NOT NULL AS remote FROM x FULL JOIN y ON x.coll = y.coll AND x.id = y.id")(lambda spark, d: M.keys(_side(spark, d, 0), _side(spark, d, 1)))
+R.add("set4_intersect", "SELECT source, section FROM raw INTERSECT SELECT source, section FROM bank")(lambda spark, d: table(spark, d, "raw").select("source", "section").intersect(table(spark, d, "bank").select("source", "section")))
+R.add("set4_except_all", "SELECT source, section FROM raw EXCEPT ALL SELECT source, section FROM bank")(lambda spark, d: table(spark, d, "raw").select("source", "section").exceptAll(table(spark, d, "bank").select("source", "section")))
+R.add("agg14_state_summary", f"WITH {SIDES} SELECT side, coll, count(*) AS keys, count(DISTINCT CAST(t AS DATE)) AS days FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL")(
+    lambda spark, d: _side(spark, d, 0).withColumn("side", F.lit(0)).unionByName(_side(spark, d, 1).withColumn("side", F.lit(1))).groupBy("side", "coll").agg(F.count("*").alias("keys"), F.countDistinct(F.to_date("t")).alias("days"))
 )
 
 DRAW = "CAST(('0x' || substr(md5('{seed}|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"

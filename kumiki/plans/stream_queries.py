@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kumiki.functions.markup import embedded_json, table_grid
+from kumiki.functions.markup import embedded_json, flight_data, hydrated, table_grid, table_structure, walked
 from kumiki.plans.attempt_queries import ATT, STATS
 from kumiki.plans.learner_queries import KIND, LAST
 from kumiki.plans.registry import Registry
@@ -39,12 +39,44 @@ def str4_windows(spark, d):
     return S.drained(e, "complete")
 
 
-@R.add("snk8_codec", "SELECT rid, true AS same FROM raw")
-def snk8(spark, d):
-    j = table(spark, d, "raw").select("rid", F.to_json(F.struct("id", "question", "options", "passage")).alias("j"))
-    return j.withColumn("b", W.encoded("j")).select("rid", (W.decoded("b") == F.col("j")).alias("same"))
+@R.add("str5_merge_stream", "SELECT event_type AS coll, user_id AS id, max(ts) AS t, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY ALL HAVING coalesce(max(ts) FILTER (value < 3), TIMESTAMP '1970-01-01') < max(ts) FILTER (value >= 3)".replace("max(ts) AS t, arg_max(value, (ts, event_id)) AS v", "max(ts) FILTER (value >= 3) AS t, arg_max(value, (ts, event_id)) FILTER (value >= 3) AS v"))
+def str5(spark, d):
+    """Changes and deletions (values below 3) in any order, late or again: the last change of each key, if no deletion is later."""
+    e = _events(spark, d).select(F.col("event_type").alias("coll"), F.col("user_id").alias("id"), "ts", "event_id", F.when(F.col("value") >= 3, F.col("value")).alias("v"))
+    return S.drained(S.running_writes(e), "complete").select("coll", "id", "t", F.col("value").alias("v"))
 
 
-QUERIES["arr4_embedded_json"] = lambda spark, d: table(spark, d, "events").select("event_id", embedded_json(F.concat(F.lit("<script>var x = "), "props", F.lit("; {</script>"))).alias("v"))
-ORACLES["arr4_embedded_json"] = "SELECT event_id, props AS v FROM events"
-QUERIES["win12_table_grid"] = lambda spark, d: table(spark, d, "documents").select("doc_id", table_grid("text").alias("v"))
+@R.add("snk8_codec", "SELECT rid, question || chr(10) || coalesce(passage, '') AS text, true AS tagged FROM raw")
+def snk8(spark, d):
+    j = table(spark, d, "raw").select("rid", W.encoded(F.concat_ws("\n", "question", F.coalesce("passage", F.lit("")))).alias("b"))
+    return j.select("rid", W.decoded("b").alias("text"), F.col("b").rlike("^(gz|js):").alias("tagged"))
+
+
+_INNER = '\'{"id": "\' || id || \'", "n": {"a": {"b": "}{ \\" }"}}, "s": {}}\''
+R.add("arr4_embedded_json", f"SELECT rid, {_INNER} AS v FROM raw")(
+    # braces in strings, an escaped quotation mark, entities, and a second object behind it
+    lambda spark, d: table(spark, d, "raw").select("rid", embedded_json(F.concat(F.lit("<html><script>window.data = {&quot;id&quot;: &quot;"), "id", F.lit('&quot;, "n": {"a": {"b": "}{ \\" }"}}, &#34;s&#34;: {}};</script><script>{"other": 1}</script>'))).alias("v"))
+)
+R.add("arr4_flight_data", "SELECT rid, question || '|' || id AS v FROM raw")(
+    lambda spark, d: table(spark, d, "raw").select("rid", flight_data(F.concat(F.lit("<script>self.f.push([0])</script><script>self.f.push([1,"), F.get_json_object(F.to_json(F.struct(F.to_json(F.array("question")).alias("a"))), "$.a").substr(F.lit(2), F.length(F.to_json(F.array("question"))) - 2), F.lit(']);</script><p>x</p><script>self.f.push([1, "|"])\nself.f.push([1,"'), "id", F.lit('"])</script>'))).alias("v"))
+)
+R.add("arr5_hydrated", """SELECT rid, '{"id": "' || id || '", "list": ["a", "' || source || '", true], "loop": null, "plain": "x"}' AS v FROM raw""")(
+    lambda spark, d: table(spark, d, "raw").select("rid", hydrated(F.concat(F.lit('[["ShallowReactive", 1], {"id": 2, "list": 3, "loop": 0, "plain": "x"}, "'), "id", F.lit('", ["Set", 4, 5, true], "a", ["Ref", 6], "'), "source", F.lit('"]'))).alias("v"))
+)
+R.add("arr7_nested_paths", "WITH o AS (SELECT rid, unnest(options) AS o, generate_subscripts(options, 1) - 1 AS i FROM raw) SELECT rid, '$.id' AS path, id AS text FROM raw UNION ALL SELECT rid, '$.x.answer', CAST(answer AS VARCHAR) FROM raw WHERE answer IS NOT NULL UNION ALL SELECT rid, '$.x.o[' || i || '].t', o FROM o WHERE o IS NOT NULL")(
+    lambda spark, d: table(spark, d, "raw").select("rid", F.to_json(F.struct("id", F.struct("answer", F.transform("options", lambda o: F.struct(o.alias("t"))).alias("o")).alias("x"))).alias("j")).select("rid", F.explode(walked("j")).alias("p")).select("rid", "p.path", "p.text")
+)
+
+
+def _cells():
+    """Rows of a table: the id spans all of them, each has an option."""
+    first = F.concat(F.lit("<tr><td rowspan="), F.size("options").cast("string"), F.lit(">"), "id", F.lit("</td>"))
+    return F.array_join(F.transform("options", lambda o, i: F.concat(F.when(i == 0, first).otherwise("<tr>"), F.lit("<td>"), F.md5(o), F.lit("</td></tr>"))), "")
+
+
+R.add("win12_table_grid", "SELECT rid, list_transform(options, lambda o: [id, md5(o)]) AS v FROM raw WHERE len(options) > 0")(
+    lambda spark, d: table(spark, d, "raw").where("size(options) > 0").select("rid", table_grid(F.concat(F.lit("<table class=usage>"), _cells(), F.lit("</table>"))).alias("v"))
+)
+R.add("win12_structures", "SELECT rid, array_to_string(list_distinct_in_order, ' / ') AS v FROM (SELECT rid, list_transform(list_filter(list_transform(options, lambda o, i: CASE WHEN i = 1 THEN id || ' + ' || md5(o) ELSE md5(o) || ' + ' || id END), lambda x, i: list_position(list_transform(options, lambda o, j: CASE WHEN j = 1 THEN id || ' + ' || md5(o) ELSE md5(o) || ' + ' || id END), x) = i), lambda x: x) AS list_distinct_in_order FROM raw WHERE len(options) > 0)")(
+    lambda spark, d: table(spark, d, "raw").where("size(options) > 0").select("rid", table_structure(F.concat(F.lit("<p>x</p><table class=usage>"), _cells(), F.lit("</table><table><tr><td>y</td></tr></table>"))).alias("v"))
+)

@@ -154,9 +154,23 @@ _CLEAN = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g
 _SPACED = r"regexp_replace(regexp_replace({}, '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\1\2', 'g'), '([぀-ヿ㐀-鿿]) +([぀-ヿ㐀-鿿])', '\1\2', 'g')"
 _LATIN = r"regexp_replace({}, '([A-Za-z0-9,.])\n([A-Za-z0-9])', '\1 \2', 'g')"
 ORACLES["txt12_render"] = (
-    "SELECT rid, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace("
+    "SELECT rid, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
     + _ESC
-    + r", '\{([^{}|]+)\|([^{}|]*)\}', '<ruby>\1<rt>\2</rt></ruby>', 'g'), '\[\[u:(.*?)\]\]', '<u>\1</u>', 'g'), '＿([^＿★\s]+)＿', '<u>\1</u>', 'g'), '★', '<b>★</b>'), '\n', '<br>', 'g') AS v FROM raw"
+    + r", '\{([^{}|]+)\|([^{}|]*)\}', '<ruby>\1<rt>\2</rt></ruby>', 'g'), '\[\[img:(https?://[^\s\]]+)\]\]\n?', '<img src=@\1@>', 'g'), '\[\[u:(.*?)\]\]', '<u>\1</u>', 'g'), '＿([^＿★\s]+)＿', '<u>\1</u>', 'g'), "
+    r"'＿{2,}[ \x{3000}]*([0-9０-９]{1,2})[ \x{3000}]*＿{2,}', '<span class=@blank@>\1</span>', 'g'), '＿{2,}', '<span class=@blank@></span>', 'g'), '★', '<b>★</b>'), '\n', '<br>', 'g') AS v FROM raw"
+).replace("@", '"')  # no other at sign stands in it
+_PAGE = "'A **b** [[img:https://a.b/' || rid || '.png]]' || chr(10) || '＿＿ 3 ＿＿' || chr(10) || question"
+R.add("txt12_images", ORACLES["txt12_render"].replace("FROM raw", f"FROM (SELECT rid, {_PAGE} AS question FROM raw)"))(
+    lambda spark, d: _raw(spark, d).select("rid", T.render(F.concat(F.lit("A **b** [[img:https://a.b/"), F.col("rid").cast("string"), F.lit(".png]]\n＿＿ 3 ＿＿\n"), "question")).alias("v"))
+)
+_HEX = "md5(CAST(rid AS VARCHAR))"
+R.add("txt12_rich", f"SELECT rid, '<p>x &lt;' || {_HEX} || '<br>y</p><ul><li><b>' || {_HEX} || '</b></li><li>z</li></ul><p>w</p><p>v</p>' AS v FROM raw")(
+    lambda spark, d: _raw(spark, d).select("rid", F.md5(F.col("rid").cast("string")).alias("h")).select("rid", T.rich(F.concat(F.lit("x <"), "h", F.lit("\ny\n - **"), "h", F.lit("**\n• z\nw\n\n\nv"))).alias("v"))
+)
+R.add("txt14_built_pages", f"SELECT rid, {_HEX} || chr(10) || 'a & b' || repeat(chr(10), 2) || '漢字' || repeat(chr(10), 2) || {_HEX} || ' | ＿c＿' AS v FROM raw")(
+    lambda spark, d: _raw(spark, d).select("rid", F.md5(F.col("rid").cast("string")).alias("h")).select(
+        "rid", html_text(F.concat(F.lit("<style>x</style><div> "), "h", F.lit("<br>a &amp; b</div><script>if (a < b) {}</script><p><ruby>漢<rp>(</rp><rt>かん</rt></ruby>字</p><table><tr><td>"), "h", F.lit("</td><td><u>c</u></td></tr></table>"))).alias("v")
+    )
 )
 ORACLES["txt15_pseudo_markup"] = "SELECT doc_id, " + _STRIP.format(_CLEAN.format(_RUBY.format(_RUBY.format(f"regexp_replace({_CELLS}, '<[^>]+>', '', 'g')")))) + " AS v FROM documents"
 ORACLES["txt16_ocr_newlines"] = (

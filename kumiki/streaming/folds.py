@@ -46,6 +46,16 @@ def running_stats(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("qid").agg(F.count("*").alias("n"), F.count_if("ok").alias("c"))
 
 
+def running_writes(changes: DataFrame) -> DataFrame:
+    """STR5: (coll, id, t, value): the last change of each key so far, unless a deletion (null v) is as late. Order, delay and
+    repetition of the changes are without effect. `changes` has coll, id, ts, event_id and v."""
+    live, dead = F.col("v").isNotNull(), F.col("v").isNull()
+    g = changes.groupBy("coll", "id").agg(
+        F.max(F.when(live, F.col("ts"))).alias("t"), F.max_by("v", F.when(live, F.struct("ts", "event_id"))).alias("value"), F.max(F.when(dead, F.col("ts"))).alias("d")
+    )
+    return g.where("t IS NOT NULL AND (d IS NULL OR t > d)").drop("d")
+
+
 def running_lockouts(failures: DataFrame, gap: str, most: int, late: str) -> DataFrame:
     """STR4: sessions of failures with gaps below `gap` and at least `most` failures, closed once the watermark has passed."""
     f = failures.withWatermark("ts", late)
