@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kumiki.plans import attempt_queries, bank_queries, classify_queries, learner_queries, lookup_queries, orphan_queries, source_queries, stream_queries, text_queries
+from kumiki.plans import attempt_queries, bank_queries, classify_queries, learner_queries, lesson_queries, lookup_queries, orphan_queries, source_queries, stream_queries, text_queries
 
-MODULES = [attempt_queries, text_queries, bank_queries, classify_queries, learner_queries, lookup_queries, stream_queries, orphan_queries, source_queries]
+MODULES = [attempt_queries, text_queries, bank_queries, classify_queries, learner_queries, lookup_queries, stream_queries, orphan_queries, source_queries, lesson_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
