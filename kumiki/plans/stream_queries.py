@@ -8,7 +8,7 @@ from kumiki.functions.markup import embedded_json, flight_data, hydrated, table_
 from kumiki.plans.attempt_queries import ATT, STATS
 from kumiki.plans.learner_queries import KIND, LAST
 from kumiki.plans.registry import Registry
-from kumiki.session import table
+from kumiki.session import new_folder, table
 from kumiki.sources import writers as W
 from kumiki.streaming import folds as S
 
@@ -46,6 +46,19 @@ def str5(spark, d):
     return S.drained(S.running_writes(e), "complete").select("coll", "id", "t", F.col("value").alias("v"))
 
 
+@R.add("str3_synced", "SELECT event_type AS coll, count(*) AS n, 2 AS revisions FROM events GROUP BY event_type")
+def str3(spark, d):
+    """Two devices put their counts (one number a kind) into a store, the second one after a conflict."""
+    where = new_folder(spark, "store")
+    counts = table(spark, d, "events").groupBy("event_type", F.expr("event_id % 2").alias("side")).count().collect()  # ten rows
+    sides = [{r["event_type"]: r["count"] for r in counts if r["side"] == k} for k in (0, 1)]
+    add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
+    S.synced(spark, where, sides[0], add)
+    assert S.put_if(spark, where, 0, "{}") == (False, 1)
+    merged = S.synced(spark, where, sides[1], add)
+    return spark.createDataFrame([(k, n, S.put_if(spark, where, 0, "{}")[1]) for k, n in merged.items()], "coll string, n long, revisions int")
+
+
 @R.add("snk8_codec", "SELECT rid, question || chr(10) || coalesce(passage, '') AS text, true AS tagged FROM raw")
 def snk8(spark, d):
     j = table(spark, d, "raw").select("rid", W.encoded(F.concat_ws("\n", "question", F.coalesce("passage", F.lit("")))).alias("b"))

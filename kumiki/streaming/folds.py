@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -88,30 +88,45 @@ def running_cards(events: DataFrame) -> DataFrame:
     )
 
 
-def put_if(path: str, base: int, blob: str) -> tuple[bool, int]:
+def _store(spark: SparkSession, path: str):
+    """The folder of a store in the file system it names, which all machines share."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    return fs, p
+
+
+def _latest(fs, p) -> int:
+    return max([int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()], default=0)
+
+
+def put_if(spark: SparkSession, path: str, base: int, blob: str) -> tuple[bool, int]:
     """STR3: writes revision base + 1 if the stored revision is still `base`; the answer is whether it did, and the revision.
 
-    A revision is a file made with an exclusive create, which one of several writers can win.
+    A revision is a file made without overwriting, which one of several writers can win.
     """
-    os.makedirs(path, exist_ok=True)
-    have = max([int(f) for f in os.listdir(path) if f.isdigit()], default=0)
+    fs, p = _store(spark, path)
+    have = _latest(fs, p)
     if have != base:
         return False, have
     try:
-        with open(os.path.join(path, str(base + 1)), "x", encoding="utf-8") as f:
-            json.dump({"rev": base + 1, "blob": blob}, f)
-    except FileExistsError:
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(p, str(base + 1)), False)
+    except Py4JJavaError as e:
+        if "exist" not in str(e.java_exception):
+            raise
         return False, base + 1
+    out.write(json.dumps({"rev": base + 1, "blob": blob}).encode())
+    out.close()
     return True, base + 1
 
 
-def synced(path: str, local: dict, merge, tries: int = 4) -> dict | None:
+def synced(spark: SparkSession, path: str, local: dict, merge, tries: int = 4) -> dict | None:
     """STR3: pull, merge, write if unchanged; again on a conflict, at most `tries` times."""
     for _ in range(tries):
-        revs = [int(f) for f in os.listdir(path) if f.isdigit()] if os.path.isdir(path) else []
-        rev = max(revs, default=0)
-        remote = json.loads(json.load(open(os.path.join(path, str(rev)), encoding="utf-8"))["blob"]) if rev else None
-        merged = merge(local, remote) if remote is not None else local
-        if put_if(path, rev, json.dumps(merged, sort_keys=True))[0]:
+        fs, p = _store(spark, path)
+        rev = _latest(fs, p)
+        remote = json.loads(spark.read.option("wholetext", True).text(f"{path}/{rev}").first()[0])["blob"] if rev else None
+        merged = merge(local, json.loads(remote)) if remote is not None else local
+        if put_if(spark, path, rev, json.dumps(merged, sort_keys=True))[0]:
             return merged
     return None

@@ -263,11 +263,11 @@ def test_lockout_stream_equals_batch(spark, tmp_path):
     assert [(r.key, r.fails) for r in got] == [(r.key, r.fails) for r in want] == [(1, 3)]
 
 
-def test_compare_and_set(tmp_path):
+def test_compare_and_set(spark, tmp_path):
     p = str(tmp_path / "row")
-    assert folds.put_if(p, 0, "a") == (True, 1) and folds.put_if(p, 0, "b") == (False, 1)
-    assert folds.synced(p + "2", {"x": 1}, lambda a, b: {**b, **a}) == {"x": 1}
-    assert folds.synced(p + "2", {"y": 2}, lambda a, b: {**b, **a}) == {"x": 1, "y": 2}
+    assert folds.put_if(spark, p, 0, "a") == (True, 1) and folds.put_if(spark, p, 0, "b") == (False, 1)
+    assert folds.synced(spark, p + "2", {"x": 1}, lambda a, b: {**b, **a}) == {"x": 1}
+    assert folds.synced(spark, p + "2", {"y": 2}, lambda a, b: {**b, **a}) == {"x": 1, "y": 2}
 
 
 def test_build_job(spark, tmp_path):
