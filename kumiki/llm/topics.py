@@ -39,6 +39,8 @@ BUCKETS, LABELLED = 1 << 17, 50_000
 RANK = 4
 SHARE, COSINE, STRENGTH, PURITY, CLUMPED = 0.25, 0.5, 1.0, 0.4, 0.1
 WEAK = 0.3
+#: What the cosine of a sentence with its nearest centroid must exceed where the subject is named; to move a centroid, COSINE.
+NAMED = 0.1
 #: A subspace has settled if its directions keep this share (mean squared cosine) in a pass, centroids if no more than this share
 #: of the sentences near one changes. More than LONGEST passes are an error.
 SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
@@ -388,16 +390,16 @@ def _embedded(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray]:
     return e / np.maximum(size, 1e-9)[:, None], np.where(size > 1e-6, top, 0)
 
 
-def _nearest(e: np.ndarray, top: np.ndarray, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each sentence, whether it is near and a weight exceeds `strength`."""
+def _nearest(e: np.ndarray, top: np.ndarray, centroids: np.ndarray, strength: float = 0.0, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each sentence, whether its cosine exceeds `cosine` and a weight `strength`."""
     cos = e @ centroids.T
     near = cos.argmax(1)
-    return near, (cos[np.arange(len(cos)), near] > COSINE) & (top > strength)
+    return near, (cos[np.arange(len(cos)), near] > cosine) & (top > strength)
 
 
-def _assigned(x: Block, w: Weighing, centroids: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def _assigned(x: Block, w: Weighing, centroids: np.ndarray, strength: float = 0.0, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """`_nearest` of the sentences of a block."""
-    return _nearest(*_embedded(x, w), centroids, strength)
+    return _nearest(*_embedded(x, w), centroids, strength, cosine)
 
 
 def _unit(c: np.ndarray) -> np.ndarray:
@@ -525,7 +527,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], share
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _blocks(batches):
-            near, ok = _assigned(x, v, c2, STRENGTH)
+            near, ok = _assigned(x, v, c2, STRENGTH, NAMED)
             hits = np.bincount(x.doc[ok] * n + near[ok] % n, minlength=x.n * n).reshape(x.n, n)
             d, s = np.nonzero((hits > 0) & (hits >= share * x.per[:, None] - 1e-9))
             yield pa.RecordBatch.from_arrays([pa.array([x.ids[i] for i in d], pa.int64()), pa.array([subjects[k] for k in s], pa.string())], ["doc_id", "subject"])
