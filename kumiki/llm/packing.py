@@ -5,7 +5,7 @@ descending length; of the open containers that can take an item under every capa
 each as a share and weighted, are of the least norm takes it. Open containers are kept by their remaining tokens, so a search
 begins at the tightest and ends where no further container can have a lesser norm.
 
-Items are packed in groups of about `group_tokens` tokens, hashed by document; every group leaves its `loose` emptiest
+Items are packed in groups of about `group_tokens` tokens and GROUP_ITEMS items, hashed by document; every group leaves its `loose` emptiest
 containers to the next level, where one group gets those of `merge` groups, until one group is left. No task ever gets more
 than that, whatever the data, and all but a few containers of each group are as good as a packing of the whole group.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from kumiki.session import checkpointed, spread
 
 CAPACITY, DOCUMENTS = 2048, 512
 WEIGHTS = (1.0, 0.1, 0.1)
-GROUP_TOKENS, LOOSE, MERGE = 20_000_000, 16, 16
+GROUP_TOKENS, GROUP_ITEMS, LOOSE, MERGE = 20_000_000, 200_000, 16, 16
 
 
 def sized(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
@@ -117,19 +118,20 @@ def _packed(capacity: int, documents: int, attention: int, level: int, last: boo
 def packed(sizes: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(container, doc_id, piece, start, n): each text's place; `start` and `n` in tokens of the text.
 
-    Only a text above the capacity is split, into pieces of the capacity and a rest. Texts without tokens need no room: they
-    come out with a null container and n = 0. `attention` is the greatest sum of squared lengths (unbounded by default); it
-    must be at least capacity squared, so that every item fits a container of its own. Null sizes are as 0.
+    Only a text above a capacity is split, into the greatest pieces that a container can hold and a rest. Texts without tokens
+    need no room: they come out with a null container and n = 0. `attention` is the greatest sum of squared lengths; by default
+    capacity squared, which never binds. Null sizes are as 0.
     """
     attention = attention or capacity * capacity
-    if attention < capacity * capacity or documents < 1:
-        raise ValueError("each item must fit a container of its own")
+    if min(capacity, documents, attention) < 1:
+        raise ValueError("capacities must be positive")
+    whole = min(capacity, isqrt(attention))  # the longest item that fits a container of its own
     sizes = checkpointed(sizes.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")))
     items = sizes.where("n > 0").select(
-        "doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("piece", "start"), F.col("n").alias("all")
-    ).select("doc_id", "piece", "start", F.least(F.col("all") - F.col("start"), F.lit(capacity)).alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    groups = max(1, -(-total // group_tokens))
+        "doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(whole).cast("long"))).alias("piece", "start"), F.col("n").alias("all")
+    ).select("doc_id", "piece", "start", F.least(F.col("all") - F.col("start"), F.lit(whole)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.ceil(F.col("n") / whole)), F.lit(0)).alias("items")).first()
+    groups = max(1, -(-total["n"] // group_tokens), -(-total["items"] // GROUP_ITEMS))
     schema = "doc_id long, piece int, start long, n long, container long, grp long"
     todo = items.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     done = None

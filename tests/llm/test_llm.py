@@ -353,6 +353,21 @@ def test_packing(spark, group_tokens, documents):
         assert len(load) <= 1.03 * sum(n or 0 for _, n in sizes) / 2048 + 2
 
 
+def test_packing_with_a_binding_attention(spark):
+    """Texts above half the capacity are split, as their square alone would be too much; no container is over any capacity."""
+    rnd = random.Random(2)
+    sizes = [(i, rnd.randrange(1, 1500)) for i in range(400)] + [(1000, 1024), (1001, 1025), (1002, 5000)]
+    got = packing.packed(spark.createDataFrame(sizes, "doc_id long, n long"), attention=1024**2, group_tokens=30_000).collect()
+    load, parts = {}, {}
+    for r in got:
+        load.setdefault(r.container, []).append(r.n)
+        parts.setdefault(r.doc_id, []).append((r.start, r.n))
+    assert all(sum(x) <= 2048 and sum(n * n for n in x) <= 1024**2 for x in load.values()) and any(len(x) > 1 for x in load.values())
+    for i, n in sizes:
+        p = sorted(parts[i])
+        assert sum(x for _, x in p) == n and [a for a, _ in p] == [k * 1024 for k in range(len(p))] and len(p) == -(-n // 1024)
+
+
 @pytest.mark.parametrize("documents,attention", [(512, 2048**2), (20, 2048**2), (40, 300_000)])
 def test_best_fit_takes_the_least_norm(documents, attention):
     rnd = random.Random(documents)
@@ -372,7 +387,7 @@ def test_best_fit_takes_the_least_norm(documents, attention):
 def test_packing_of_nothing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, n long")).count() == 0
     with pytest.raises(ValueError):
-        packing.packed(spark.createDataFrame([], "doc_id long, n long"), attention=1)
+        packing.packed(spark.createDataFrame([], "doc_id long, n long"), documents=0)
 
 
 # subjects
