@@ -295,3 +295,125 @@ def test_build_job(spark, tmp_path):
 
 def test_paths_of_a_document():
     assert markup.walk({"a": [1, {"b": "x"}], "c": None, "d": True}) == [("$.a[0]", "1"), ("$.a[1].b", "x"), ("$.d", "true")]
+
+
+def test_two_level_windows(spark):
+    """Numbers, runs, carried and back-filled values equal a plain pass, with nulls, ties and a group of most rows."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, None, "p", "q"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o long, passage_id string").repartition(7)
+    by = {}
+    for g, o, p in rows:
+        by.setdefault(g, []).append((o, p))
+    place = {(r.g, r.o): r.place for r in quality.numbered(df, ["g"], [F.col("o")]).collect()}
+    forward = {r.o: r.passage_id for r in quality.carry_forward(df, "g", "o", "passage_id").collect()}
+    back = {r.o: r.passage_id for r in quality.back_fill(df, ["g"], "o", "passage_id").collect()}
+    sums = {r.o: r.s for r in quality.running(df, ["g"], [F.col("o")], "o", "s").collect()}
+    items = sorted((r.g or "", r.item, r.pid, r.n, r.pos) for r in quality.passage_items(df, "g", ["o"]).collect())
+    want = []
+    for g, xs in by.items():
+        seen, total, item, last = None, 0, 0, None
+        for i, (o, p) in enumerate(sorted(xs)):
+            seen, total = p if p is not None else seen, total + o
+            assert place[g, o] == i + 1 and forward[o] == seen and sums[o] == total
+            if p is None or p != last:
+                item += 1
+                want.append([g or "", item, p, 0, i + 1])
+            want[-1][3] += 1
+            last = p
+        nxt = None
+        for o, p in sorted(xs, reverse=True):
+            nxt = p if p is not None else nxt
+            assert back[o] == nxt
+    assert items == sorted(map(tuple, want))
+    near = {r.o: (r.before, r.after) for r in quality.neighbours(df.where("g IS NOT NULL"), "o", ["g"]).collect()}
+    b = sorted(o for o, _ in by["b"])
+    assert [near[o] for o in b] == [(x, y) for x, y in zip([None, *b], [*b[1:], None])]
+    assert quality.numbered(df.where("false"), ["g"], [F.col("o")]).count() == 0
+
+
+def test_classes_of_sources(spark):
+    from kumiki.operators import classify as C
+
+    def at(place):
+        return tuple(spark.range(1).select(place.alias("x")).first().x)
+
+    lit, opts = F.lit, lambda *x: F.array(*map(F.lit, x))
+    none = lit(None).cast("string")
+    assert at(C.by_label(lit("vocab"), lit("usage"), lit("a {{()}} b"))) == ("moji", 3, "context")
+    assert at(C.by_label(lit("listening"), lit("quick_response"), none)) == ("choukai", 5, "listening")
+    assert at(C.by_shape(lit("kanji"), lit("＿交換＿する"), opts("こうかん", "こかん"), False)) == ("moji", 1, "kanji_reading")
+    assert at(C.by_shape(lit("kanji"), lit("＿交換＿する"), opts("swap", "ask"), True)) == ("moji", None, "kanji_meaning")
+    assert at(C.by_instruction(lit("reading"), none, none, lit("x" * 351))) == ("dokkai", 5, "reading_mid")
+    assert at(C.by_prefix(lit("問題１ -  Kanji   Reading"))) == ("moji", 1, "kanji_reading")
+    assert at(C.by_map(lit("nghe hiểu tổng hợp"))) == ("choukai", None, "listening")
+    assert at(C.by_group(lit("Vocab"), lit("相談"), opts("＿相談＿した", "＿相談＿な", "＿相談＿を", "x"))) == ("moji", 5, "usage")
+    assert at(C.by_direction(lit("kanji_choice"), lit("kanji_to_reading"), none)) == ("moji", 1, "kanji_reading")
+    assert at(C.by_header(lit("同じひらがなで書く 漢字"), lit("k"))) == ("moji", None, "orthography")
+    assert at(C.by_content(none, lit("bunpo"), lit(3), lit(2), lit("a（　）b"))) == ("bunpo", 1, "grammar_form")
+    assert at(C.by_block(lit("kanji"), none)) == ("moji", 2, "orthography")
+    r = spark.range(1).select(C.recovered_options(opts("", "", ""), lit("男：x\n1. はい \n２．いいえ\n3) たぶん")).alias("a"), C.recovered_options(opts("", ""), none).alias("b")).first()
+    assert r.a == ["はい", "いいえ", "たぶん"] and r.b == ["1", "2"]
+
+
+def test_merged_tasks(spark):
+    """Six groups of a grammar paper, the last one with six items on two passages: its last two items are of task 7."""
+    from kumiki.operators import classify as C
+
+    rows = [("e", "grammar", f"g{k}", 10 * k + i, "問題", f"p{i // 4}" if k == 5 else None) for k in range(6) for i in range(6 if k == 5 else 2)]
+    df = spark.createDataFrame(rows, "exam string, paper string, g string, o long, ins string, passage string")
+    got = {r.o: (r.place.type, r.odd) for r in C.by_position(df, "exam", "paper", "g", "o", "ins", "passage").collect()}
+    assert [got[50 + i][0] for i in range(6)] == ["reading_long"] * 4 + ["info_retrieval"] * 2 and got[0] == ("grammar_form", True) and len(got) == 16
+
+
+def test_inherited_annotations(spark):
+    rows = [(1, "keep", ["x", "y"], None, None), (2, "gives", ["x", "y"], "e", "ex"), (3, "later", ["y", "x"], None, None)]
+    r = spark.createDataFrame(rows, "rank long, id string, norm_options array<string>, explanation string, exam string")
+    links = spark.createDataFrame([(1, True, 1), (2, False, 1), (3, False, 1)], "rank long, kept boolean, survivor long")
+    schema = "id string, opts array<string>, trans string, note string"
+
+    def out(*notes):
+        x = B.survivors(r, links, spark.createDataFrame([*notes], schema)).first()
+        return (x.explanation, x.exam, x.donors, x.ex and tuple(x.ex), x.suspect)
+
+    assert out(("later", ["a", "b"], "t", "(?) sai")) == ("e", "ex", 2, (None, "t", "(?) sai"), True)
+    assert out(("gives", ["a", "b"], "", None), ("later", None, "t", None)) == ("e", "ex", 2, (["a", "b"], None, None), False)
+    assert out(("keep", None, "own", None), ("gives", None, "t", None)) == ("e", "ex", 2, (None, "own", None), False)
+    assert out(("other", None, "t", None)) == ("e", "ex", 2, None, False)
+
+
+def test_decks_and_quizzes(spark):
+    points = spark.createDataFrame([(1, "g", 5, 0, 0), (2, "g", 3, 12, 1), (3, "h", 9, 2, 4)], "id long, grp string, n long, exams long, examples long")
+    cards = spark.createDataFrame([(1, 0, "2024-01-02", 3, 2), (2, 5, "2024-01-01", 9, 1)], "id long, box int, due string, reps int, lapses int").withColumn("due", F.to_date("due"))
+    day = F.lit("2024-01-02").cast("date")
+
+    def deck(mode, **how):
+        return [r.id for r in compose.deck(points, cards, mode, day, **how).orderBy("place").collect()]
+
+    assert deck("due") == [2, 1] and deck("new") == [3] and deck("weak") == [1] and sorted(deck("all", seed="s")) == [1, 2, 3] and len(deck("all", seed="s", limit=2)) == 2 and deck("due", group="g", limit=1) == [2]
+    assert deck("new", official=True) == [3] and compose.deck(points.where("false"), cards, "due", day).count() == 0
+    kinds = {s: {r.id: r.kind for r in compose.quiz(points, cards, s, "q").collect()} for s in ("all", "weak", "freq")}
+    assert set(kinds["all"]) == {1, 2, 3} and set(kinds["weak"]) == {1, 3} and set(kinds["freq"]) == {2} and kinds["all"][1] in ("p2m", "m2p")
+
+
+def test_import_modes(spark):
+    a, b = side(spark, [("srs", "1", 5, "a"), ("srs", "2", 1, "a")]), side(spark, [("srs", "1", 2, "b"), ("srs", "3", 1, "b")])
+    dead = side(spark, []).select("coll", "id", "t")
+
+    def rows(mode):
+        return {r.id: r.v for r in merge.imported(a, b, dead, mode).collect()}
+
+    assert rows("merge") == {"1": "a", "2": "a", "3": "b"} and rows("replace") == {"1": "b", "3": "b"} and rows("reset") == {}
+    assert merge.new_epoch("merge", ("a", 1), ("b", 2)) == ("a", 1) and merge.new_epoch("reset", ("a", 1), ("b", 2)) == ("b", 2)
+    both = merge.merged(a, b, dead, ("a", D(2024, 1, 1)), ("b", D(2024, 1, 3)))
+    assert {r.id: r.v for r in both.collect()} == {"1": "a", "3": "b"}
+
+
+def test_table_structure_and_payloads():
+    M = markup
+
+    page = "<table class=usage><tr><td>V</td><td rowspan=2>ことだ</td></tr><tr><td>N</td></tr><tr><td>A</td></tr></table>"
+    assert M.structure(page) == "V + ことだ / N + ことだ / A" and M.structure("no table") is None
+    assert M.hydrate([["Reactive", 1], {"a": 2, "b": 3, "c": 0, "d": "x"}, "v", ["Set", 2, True, "y"]]) == {"a": "v", "b": ["v", True, "y"], "c": None, "d": "x"}
+    assert M.hydrate([]) is None and M.hydrate([["Ref"]]) is None
+    assert M.flight('<script>f.push([1,"a\\"b"])</script>f.push([0])<script>f.push([1, "c"])</script>') == 'a"bc' and M.flight("") is None
