@@ -218,7 +218,8 @@ def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np
     spark = features.sparkSession
     with swept(spark):
         got = features.mapInArrow(run, schema)
-        got = got.repartition(min(parts, 2 * slots(spark)), "part") if parts > 1 else got.repartition(1)
+        few = min(parts, 2 * slots(spark))
+        got = got.repartitionById(few, F.col("part") % few) if parts > 1 else got.repartition(1)
         rows = got.mapInArrow(join, schema).collect()  # one row a part
     table = np.zeros(shape, np.float64)
     for r in rows:
