@@ -138,7 +138,7 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENT
     level = 0
     while True:
         run = _packed(capacity, documents, attention, level, groups == 1)
-        got = checkpointed(todo.repartition(int(groups), "grp").mapInArrow(run, schema))
+        got = checkpointed(todo.repartitionById(int(groups), F.col("grp").cast("int")).mapInArrow(run, schema))
         full = got.where("container IS NOT NULL")
         done = full if done is None else done.unionByName(full)
         if groups == 1:
