@@ -29,8 +29,7 @@ def str2(spark, d):
 @R.add("str2_cards_stream", LAST + " SELECT user_id, k, box, due, reps, lapses FROM l")
 def str2_cards(spark, d):
     e = _events(spark, d).select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "ts", F.col("event_id").alias("id"), F.expr(KIND).alias("kind"))
-    out = S.drained(S.running_cards(e), "update")
-    return out.groupBy("user_id", "k").agg(F.max_by(F.struct("box", "due", "reps", "lapses"), "reps").alias("x")).select("user_id", "k", "x.*")
+    return S.running_cards(e)
 
 
 @R.add("str4_daily_windows", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL")

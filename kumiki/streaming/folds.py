@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from kumiki.operators.srs import DAYS
@@ -63,29 +60,51 @@ def running_lockouts(failures: DataFrame, gap: str, most: int, late: str) -> Dat
     return w.where(F.col("fails") >= most).select("key", F.col("session_window.start").alias("begin"), "fails")
 
 
+def _box(before: Column, e: Column) -> Column:
+    """The box of a card after one event: again goes to 0, hard stays, easy goes up 2 and all else 1, 5 at most."""
+    up = F.least(F.lit(5), before + F.when(e["kind"] == "easy", 2).otherwise(1))
+    return F.when(e["kind"] == "again", 0).when(e["kind"] == "hard", before).otherwise(up).cast("int")
+
+
+def folded_cards(events: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(user_id, k, box, due, reps, lapses): the cards `before` (None: no card yet) after `events` (user_id, k, ts, id, kind)."""
+    keys = ["user_id", "k"]
+    both = events.select(*keys, F.struct("ts", "id", "kind").alias("e"), F.lit(None).cast("struct<box:int,due:date,reps:int,lapses:int>").alias("c"))
+    if before is not None:
+        both = both.unionByName(before.select(*keys, F.struct("box", "due", "reps", "lapses").alias("c")), allowMissingColumns=True)
+    g = both.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"), F.first("c", ignorenulls=True).alias("c"))  # nulls aren't collected
+    g = g.withColumn("box", F.aggregate("es", F.coalesce("c.box", F.lit(0)), _box)).withColumn("last", F.try_element_at("es", F.lit(-1)))
+    days = F.element_at(F.array(*map(F.lit, DAYS)), F.col("box") + 1)
+    wait = F.when(F.col("last.kind") == "again", 1).when(F.col("last.kind") == "hard", 2).otherwise(days)
+    return g.select(
+        *keys, "box", F.when(F.col("last").isNull(), F.col("c.due")).otherwise(F.date_add(F.to_date("last.ts"), wait)).alias("due"),
+        (F.coalesce("c.reps", F.lit(0)) + F.size("es")).alias("reps"),
+        (F.coalesce("c.lapses", F.lit(0)) + F.size(F.filter("es", lambda e: e["kind"] == "again"))).alias("lapses"),
+    )
+
+
 def running_cards(events: DataFrame) -> DataFrame:
-    """STR2: the card of each (user, item) after each batch, folded in the state of its key."""
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        box, reps, lapses = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        due = None
-        for ts, kind in zip(rows["ts"], rows["kind"]):
-            if kind == "again":
-                box, lapses, wait = 0, lapses + 1, 1
-            elif kind == "hard":
-                wait = 2
-            else:
-                box = min(5, box + (2 if kind == "easy" else 1))
-                wait = DAYS[box]
-            reps += 1
-            due = (pd.Timestamp(ts).normalize() + pd.Timedelta(days=wait)).date()
-        state.update((int(box), int(reps), int(lapses)))
-        yield pd.DataFrame({"user_id": [key[0]], "k": [key[1]], "box": [box], "due": [due], "reps": [reps], "lapses": [lapses]})
-
-    return events.groupBy("user_id", "k").applyInPandasWithState(
-        fold, "user_id long, k long, box int, due date, reps int, lapses int", "box int, reps int, lapses int", "update", GroupStateTimeout.NoTimeout
-    )
+    """STR2: the card of each (user, item) once all that is there has been read, folded batch by batch.
+
+    Each batch writes all cards as one version, from its events and the version before it, without Python. A batch that runs again
+    overwrites its own version; versions that no batch can need any more are removed.
+    """
+    spark, where = events.sparkSession, new_folder(events.sparkSession, "cards")
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{where}/out/v={number - 1}") if number else None
+        folded_cards(batch, before).write.mode("overwrite").parquet(f"{where}/out/v={number}")
+        if number > 1:
+            fs, old = _store(spark, f"{where}/out/v={number - 2}")
+            fs.delete(old, True)
+
+    q = events.writeStream.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    fs, p = _store(spark, f"{where}/out")
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    if not names:  # nothing to read
+        return spark.createDataFrame([], "user_id long, k long, box int, due date, reps int, lapses int")
+    return spark.read.parquet(f"{where}/out/v={max(int(n[2:]) for n in names)}")
 
 
 def _store(spark: SparkSession, path: str):

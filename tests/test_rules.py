@@ -3,7 +3,9 @@
 import datetime as dt
 import json
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +265,44 @@ def test_lockout_stream_equals_batch(spark, tmp_path):
     assert [(r.key, r.fails) for r in got] == [(r.key, r.fails) for r in want] == [(1, 3)]
 
 
+def card_of(events):
+    box = reps = lapses = 0
+    for ts, kind in events:
+        box = 0 if kind == "again" else box if kind == "hard" else min(5, box + (2 if kind == "easy" else 1))
+        wait = {"again": 1, "hard": 2}.get(kind) or [1, 3, 7, 14, 30, 60][box]
+        reps, lapses = reps + 1, lapses + (kind == "again")
+    return box, (ts + dt.timedelta(days=wait)).date(), reps, lapses
+
+
+def test_card_stream_folds_batch_by_batch(spark, tmp_path):
+    """60,000 cards at first, then five batches for some of them and new ones, against a plain fold; a Python call a card takes minutes."""
+    rnd, rows, at = random.Random(5), [], D(2024, 1, 1)
+    for n in range(6):
+        for k in range(60_000) if n == 0 else rnd.sample(range(60_500), 400):
+            for _ in range(1 if n == 0 else rnd.randrange(1, 4)):
+                at += dt.timedelta(seconds=rnd.randrange(1, 9))
+                rows.append((n, k % 7, k, at, len(rows), rnd.choice(["again", "hard", "good", "easy", "easy"])))
+    schema = "n int, user_id long, k long, ts timestamp_ntz, id long, kind string"
+    for n in range(6):
+        part = pd.DataFrame([r for r in rows if r[0] == n], columns=["n", "user_id", "k", "ts", "id", "kind"])
+        spark.createDataFrame(part.sample(frac=1, random_state=n), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/f")
+        time.sleep(1.1)  # files of one second have no order
+    began = time.time()
+    stream = folds.source(spark, f"{tmp_path}/f", spark.read.parquet(f"{tmp_path}/f").schema, 1)
+    got = {(r.user_id, r.k): tuple(r)[2:] for r in folds.running_cards(stream).collect()}
+    took, own = time.time() - began, {}
+    for _, user, k, ts, _, kind in rows:
+        own.setdefault((user, k), []).append((ts, kind))
+    assert got == {key: card_of(e) for key, e in own.items()}
+    assert took < 40
+
+
+def test_card_stream_of_nothing(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    schema = spark.createDataFrame([], "user_id long, k long, ts timestamp_ntz, id long, kind string").schema
+    assert folds.running_cards(folds.source(spark, f"{tmp_path}/f", schema)).count() == 0
+
+
 def test_compare_and_set(spark, tmp_path):
     p = str(tmp_path / "row")
     assert folds.put_if(spark, p, 0, "a") == (True, 1) and folds.put_if(spark, p, 0, "b") == (False, 1)
