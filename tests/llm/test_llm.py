@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -162,6 +163,28 @@ def test_versions_equal_brute_force(spark, seed, hot):
     assert want and set(got) == want and len(got) == len(want)
 
 
+def test_the_product_enumerates_only_what_positions_allow(monkeypatch):
+    """Texts of a fixed vocabulary: the entries that reach the bit maps are few beside the pairs that share a prefix n-gram."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(300)]
+    texts = ["".join(rnd.choices(words, k=30)) for _ in range(600)]
+    texts += [x[:-10] + "".join(rnd.choices(words, k=2)) for x in texts[:50]]
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "tag": [0] * len(texts), "text": texts})
+    f = np.zeros(neardup.BUCKETS, np.int64)
+    for b in neardup._frequencies(iter([rows])):
+        f[b.column("bucket").to_numpy()] += b.column("n").to_numpy()
+    cells = list(neardup._prefixes(f, 0.65, 4096, 1)(iter([rows])))
+    cell = np.concatenate([b.column("cells").flatten().to_numpy() for b in cells])
+    shared = sum(k * (k - 1) // 2 for k in np.unique(cell, return_counts=True)[1])
+    repeat, made = np.repeat, []
+    monkeypatch.setattr(neardup.np, "repeat", lambda x, k: made.append(len(y := repeat(x, k))) or y)
+    got = {tuple(x) for b in neardup._product(0.65)(iter(cells)) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    g = [set(neardup.grams(x).tolist()) for x in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(g[i] & g[j]) >= 0.65 * len(g[i] | g[j])}
+    assert want and want <= got
+    assert sum(made[1:]) < 1.5 * shared  # three arrays of them; the first is the rows of the entries
+
+
 def test_versions_of_nothing(spark):
     p, m = neardup.versions(spark.createDataFrame([(1, None, None)], "rid long, passage string, question string"))
     assert p.count() == 0 and m.count() == 0
