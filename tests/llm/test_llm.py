@@ -127,6 +127,19 @@ def test_one_doubtful_source_against_many_trusted_ones(spark):
     assert all(got[i].z_explanation > 0.5 for i in range(12)) and got[12].n_explanation == 0
 
 
+def test_unlisted_empty_talk_of_a_doubtful_source_counts_as_nothing(spark):
+    """The same wording of several groups: the rates of the sources that say it decide, not its letters."""
+    other = lambda i: [(f"q{i}", "s1", f"an explanation of {i}"), (f"q{i}", "s2", f"in other words {i}")]
+    long = "more about this can be read here soon, please come back to this page"
+    rows = [x for i in range(40) for x in [(f"q{i}", "s0", long), *other(i)]]
+    often = rows + [x for i in range(40, 240) for x in [(f"q{i}", "s0", "N/A"), *other(i)]]
+    never = rows + [x for i in range(40, 240) for x in [(f"q{i}", "s0", f"what s0 says of {i}"), *other(i)]]
+    shared = [(q, "s1" if e == long else s, e) for q, s, e in often]
+    for given, n in ((often, False), (never, True), (shared, True)):
+        got = judged_many(spark, given)
+        assert all((got[i].n_explanation > 0) == (n if e == long else e != "N/A") for i, (_, _, e) in enumerate(given)) and len(got) == len(given)
+
+
 # near-duplicates
 
 
