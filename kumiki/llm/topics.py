@@ -48,6 +48,10 @@ SETTLED, CHANGED, LONGEST = 0.995, 0.001, 100
 PLACES = 2
 #: Documents that are multiplied at a time.
 STEP = 500
+#: Entries of a sentence that are added together with those of others, those beyond are added by themselves.
+SHORT = 64
+#: A part of the matrix is multiplied as a whole if it has at most so many cells, and so many for each that isn't 0.
+CELLS, THIN = 1 << 22, 128
 #: Blocks of documents on which the iteration begins.
 START = 20
 assert STEP * BUCKETS < 2**31
@@ -191,6 +195,25 @@ def _ordered(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         out[at[starts]] += np.add.reduceat(values, starts, axis=0)
 
 
+def _summed(out: np.ndarray, at: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
+    """As `_ordered` with table[rows]: the first entries of all sums are added together, then the second ones, up to SHORT."""
+    if not len(at):
+        return
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sizes = np.diff(np.r_[starts, len(at)])
+    by = np.argsort(-sizes, kind="stable")
+    first, sizes = starts[by], sizes[by]
+    sums = table[rows[first]]
+    left = np.searchsorted(-sizes, -np.arange(2, SHORT + 1), "right")  # sums with so many entries at least
+    for k, n in enumerate(left.tolist(), 1):
+        if not n:
+            break
+        sums[:n] += table[rows[first[:n] + k]]
+    for i in range(int(np.searchsorted(-sizes, -SHORT, "left"))):
+        sums[i] += table[rows[first[i] + SHORT : first[i] + sizes[i]]].sum(0)
+    out[at[first]] += sums
+
+
 def _total(features: DataFrame, shape: tuple[int, int], add: Callable[[Block, np.ndarray], None]) -> np.ndarray:
     """The sum over all blocks of what `add` puts into a table of `shape`; parts of the table are summed by tasks of their own."""
     parts = max(1, min(64, shape[0] * shape[1] // 65_536))
@@ -322,6 +345,14 @@ def _products(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _multiplied(part: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, out: np.ndarray) -> None:
     """Adds the product of a part, transposed, with the part and `q`."""
     doc, at, v, size = part
+    here = np.zeros(len(q), bool)
+    here[at] = True
+    terms = np.flatnonzero(here)
+    if len(size) * len(terms) <= min(CELLS, THIN * len(at)):
+        m = np.zeros((len(size), len(terms)), np.float32)
+        m[doc, (np.cumsum(here) - 1)[at]] = v  # each document's terms are there once
+        out[terms] += m.T @ (m @ q[terms] / size[:, None])
+        return
     y = np.zeros((len(size), q.shape[1]), np.float32)
     _ordered(y, doc, q[at] * v[:, None])
     y /= size[:, None]
@@ -384,7 +415,7 @@ def _embedded(x: Block, w: Weighing) -> tuple[np.ndarray, np.ndarray]:
     e = np.zeros((x.sentences, w.rank), np.float32)
     top = np.zeros(x.sentences, np.float32)
     if len(at):
-        _ordered(e, sentence, w.vectors[at])
+        _summed(e, sentence, w.vectors, at)
         starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
         top[sentence[starts]] = np.maximum.reduceat(w.weight[at], starts)
     size = np.linalg.norm(e, axis=1)

@@ -544,6 +544,28 @@ def test_niche_words_decide_at_every_size(spark):
     assert {(r.doc_id, r.subject) for r in got if r.doc_id < 100} == {(0, "law"), (1, "law"), (10, "music"), (11, "music")}
 
 
+def test_sums_and_products_of_blocks_equal_plain_ones(monkeypatch):
+    rnd = np.random.default_rng(4)
+    table = rnd.standard_normal((40, 6)).astype(np.float32)
+    sizes = rnd.integers(0, 9, 200)
+    sizes[[3, 77, 150]] = 500, topics.SHORT, topics.SHORT + 1
+    at, rows = np.repeat(np.arange(200), sizes), rnd.integers(0, 40, sizes.sum())
+    got, want = np.zeros((200, 6), np.float32), np.zeros((200, 6))
+    topics._summed(got, at, table, rows)
+    np.add.at(want, at, table[rows])
+    assert np.allclose(got, want, atol=1e-3)
+    topics._summed(got, at[:0], table, rows[:0])
+    doc, term = np.nonzero(rnd.random((30, 40)) < 0.2)
+    v, size = rnd.random(len(doc)).astype(np.float32), rnd.random(30).astype(np.float32) + 1
+    m = np.zeros((30, 40))
+    m[doc, term] = v
+    for cells in (0, 1 << 22):
+        monkeypatch.setattr(topics, "CELLS", cells)
+        out = np.ones((40, 6))
+        topics._multiplied((doc, term, v, size), table, out)
+        assert np.allclose(out, 1 + m.T @ (m @ table / size[:, None]), atol=1e-4)
+
+
 def test_subjects_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert topics.subject_areas(spark.createDataFrame([(1, "some text. more text.")], "doc_id long, text string"), none, ["law"]).count() == 0
